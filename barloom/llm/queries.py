@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linerules, quality, toxicity, urlfilter
+from . import decontam, htmltext, langid, linerules, mixing, neardup, quality, tokencount, toxicity, urlfilter
 from .common import bucket_of_id, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -32,6 +32,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = bucket_of_id(F.col("doc_id"), 4) == 2
@@ -79,6 +83,47 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, spark.sparkContext.broadcast(model), metadata=("n_chars",)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+MIX_TARGETS = {"source": 0.5, "lang": 0.5, "topic": 0.8}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.word_count(F.col("text")).alias("n_tokens"))
+    return mixing.mix(counted, MIX_TARGETS, tokens="n_tokens", detail=True).withColumn("probability", F.round("probability", 6))
+
+
+def op7_sql(rounds: int = 12, keep: float = 0.5, steps: int = 8) -> str:
+    """The same fitting, unrolled: ``rounds`` times over the margins, then ``steps`` of sharing out what full cells leave."""
+    steps_sql, last = [], "start"
+    for i in range(rounds):
+        for d in MIX_TARGETS:
+            name = f"fit_{i}_{d}"
+            steps_sql.append(f"{name} AS (SELECT * REPLACE (weight * share_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})")
+            last = name
+    rates = [f"rate_0 AS (SELECT {keep} * sum(tokens) / sum(weight) AS f FROM {last})"]
+    for i in range(steps):
+        rates.append(
+            f"rate_{i + 1} AS (SELECT greatest(f, coalesce((SELECT ({keep} * sum(tokens) - coalesce(sum(tokens) FILTER (weight * f >= tokens), 0)) / sum(weight) FILTER (weight * f < tokens) FROM {last}), f)) AS f FROM rate_{i})"
+        )
+    margins = [f"m_{d} AS (SELECT {d}, n ** {t} / sum(n ** {t}) OVER () AS share_{d} FROM (SELECT {d}, sum(tokens)::DOUBLE AS n FROM cells GROUP BY 1))" for d, t in MIX_TARGETS.items()]
+    joins = " ".join(f"JOIN m_{d} USING ({d})" for d in MIX_TARGETS)
+    return f"""
+WITH docs AS (
+  SELECT doc_id, source, lang,
+         CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '!!') THEN 'notice' WHEN contains(t, '***') OR contains(t, '%%%') OR contains(t, '&&&') THEN 'marked' ELSE 'prose' END AS topic,
+         len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0),
+{", ".join(margins)},
+start AS (SELECT *, tokens::DOUBLE AS weight FROM cells {joins}),
+{", ".join(steps_sql)},
+{", ".join(rates)}
+SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability
+FROM (SELECT d.*, least(1.0, weight * f / tokens) AS p FROM docs d JOIN {last} USING (source, lang, topic), rate_{steps})
+WHERE ('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT / 4503599627370496.0 < p
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = linerules.line_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_lines_kept")
@@ -107,9 +152,37 @@ FROM judged
 """
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP9_SQL = """
+WITH RECURSIVE docs AS (SELECT doc_id, string_split_regex(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     ')), ' +') AS w0 FROM documents),
+words AS (SELECT doc_id, list_filter(w0, lambda x: x <> '') AS w FROM docs),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes s ON a = s.doc_id JOIN sizes t ON b = t.doc_id WHERE 100 * c >= 75 * (s.n + t.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON reach.r = a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op3_language_id, op4_decontamination, op5_toxicity, op6_quality, op8_quality_rules)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_url_filters, op2_html_extraction, op3_language_id, op4_decontamination, op5_toxicity,
+            op6_quality, op7_mixing, op8_quality_rules, op9_near_duplicates, op10_token_counts,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op7_mixing": op7_sql(), "op8_quality_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL}
