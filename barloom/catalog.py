@@ -4,16 +4,105 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.safe import clean_zero
+from .operators import indicators
+from .plans import duck
+from .plans.graph import Graph
+from .sources import bars as B
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+BARS_SQL = """SELECT event_type AS ticker, date_trunc('hour', ts)::TIMESTAMP AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume
+FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL"""
+USER_BARS_SQL = BARS_SQL.replace("event_type", "user_id::VARCHAR", 1).replace("event_type", "user_id").replace("'hour'", "'day'")
+FRAME = 250
+FRAME_SQL = f"SELECT * FROM ({BARS_SQL}) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) <= {FRAME}"
+
+MACD = {"fastperiod": 12, "slowperiod": 26, "signalperiod": 9}
+# Parameters with which each indicator is registered; what isn't named takes only a period of 15.
+PARAMETERS: dict[str, dict] = {
+    **{n: {"series_type": s, "time_period": 15} for n, s in (("SMA", "OPEN"), ("EMA", "HIGH"), ("WMA", "LOW"), ("DEMA", "CLOSE"), ("TEMA", "LOW"), ("TRIMA", "CLOSE"), ("T3", "OPEN"), ("RSI", "LOW"), ("CMO", "OPEN"), ("ROC", "OPEN"), ("ROCR", "CLOSE"), ("MOM", "LOW"), ("TRIX", "CLOSE"), ("MIDPOINT", "HIGH"))},
+    "FAMA": {"time_period": 15, "slowlimit": 0.1, "series_type": "OPEN"}, "MAMA": {"time_period": 15, "fastlimit": 0.1, "series_type": "OPEN"},
+    **{n: {"series_type": s, **MACD} for n, s in (("MACD_MACD", "HIGH"), ("MACD_SIGNAL", "HIGH"), ("MACD_HIST", "LOW"), ("MACDEXT_MACD", "OPEN"), ("MACDEXT_SIGNAL", "CLOSE"), ("MACDEXT_HIST", "CLOSE"))},
+    "ADOSC": {"fastperiod": 12, "slowperiod": 26}, "APO": {"series_type": "LOW", "fastperiod": 12, "slowperiod": 26, "matype": 1}, "PPO": {"series_type": "CLOSE", "fastperiod": 12, "slowperiod": 26, "matype": 1},
+    "STOCH_SLOWK": {"fastkperiod": 17, "slowkperiod": 7, "slowkmatype": 1}, "STOCH_SLOWD": {"fastkperiod": 5, "slowkperiod": 7, "slowdperiod": 7, "slowkmatype": 1, "slowdmatype": 1},
+    "STOCHF_FASTK": {"fastkperiod": 17}, "STOCHF_FASTD": {"fastkperiod": 5, "fastdperiod": 3, "fastdmatype": 1},
+    "STOCHRSI_FASTK": {"time_period": 15, "series_type": "CLOSE", "fastkperiod": 5}, "STOCHRSI_FASTD": {"time_period": 15, "series_type": "HIGH", "fastkperiod": 17, "fastdperiod": 5, "fastdmatype": 1},
+    **{n: {"series_type": s, "time_period": 15, "nbdevup": 2, "nbdevdn": 2, "matype": 1} for n, s in (("BBANDS_RMB", "OPEN"), ("BBANDS_RUB", "LOW"), ("BBANDS_RLB", "HIGH"))},
+    "ULTOSC": {"timeperiod1": 7, "timeperiod2": 13, "timeperiod3": 29}, "SAR": {"acceleration": 0.02, "maximum": 0.2},
+    **{n: {"series_type": s} for n, s in (("HT_DCPERIOD", "HIGH"), ("HT_DCPHASE", "LOW"), ("HT_PHASOR_PHASE", "CLOSE"), ("HT_PHASOR_QUADRATURE", "OPEN"), ("HT_SINE_LEAD_SINE", "CLOSE"), ("HT_SINE_SINE", "CLOSE"), ("HT_TRENDLINE", "HIGH"), ("HT_TRENDMODE", "LOW"))},
+}
+CUMULATIVE = {"AD", "ADOSC", "OBV", "HT_DCPERIOD", "HT_DCPHASE"}
+"""Rounded to 4 digits: sums over whole series."""
+
+
+def parameters(name: str) -> dict:
+    return PARAMETERS.get(name, {"time_period": 15})
+
+
+def digits(name: str) -> int:
+    return 4 if name in CUMULATIVE else 6
+
+
+def last_rows(bars: DataFrame, n: int) -> DataFrame:
+    """The last n bars per ticker."""
+    return bars.withColumn("__n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("ts")))).where(F.col("__n") <= n).drop("__n")
+
+
+def indicator_query(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = B.bars_events(spark, sf_dir)
+        if name.startswith("HT_"):
+            bars = last_rows(bars, FRAME)
+        out = indicators.series(bars, {"value": (name, parameters(name))})
+        return out.select("ticker", "ts", clean_zero(F.col("value"), digits(name)).alias("value"))
+
+    return query
+
+
+def indicator_sql(name: str) -> str:
+    g = Graph()
+    return duck.sql(FRAME_SQL if name.startswith("HT_") else BARS_SQL, {"value": indicators.build(g, name, parameters(name))}, digits(name))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """SMA(15) and RSI(15) on the close of hourly event bars."""
+    wanted = {n.lower(): (n, {"series_type": "CLOSE", "time_period": 15}) for n in ("SMA", "RSI")}
+    out = indicators.series(B.bars_events(spark, sf_dir), wanted)
+    return out.select("ticker", "ts", *[clean_zero(F.col(c), 6).alias(c) for c in wanted])
+
+
+def flagship_sql() -> str:
+    g = Graph()
+    return duck.sql(BARS_SQL, {n.lower(): indicators.build(g, n, {"series_type": "CLOSE", "time_period": 15}) for n in ("SMA", "RSI")})
+
+
+def rounded_bars(make: Query, n: int = 6) -> Query:
+    return lambda spark, sf_dir: make(spark, sf_dir).select("ticker", "ts", *[clean_zero(F.col(c), n).alias(c) for c in B.BAR_COLUMNS[2:]])
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def rounded_bars_sql(base: str, n: int = 6) -> str:
+    return f"SELECT ticker, ts, {', '.join(f'round({c}, {n}) + 0.0 AS {c}' for c in B.BAR_COLUMNS[2:])} FROM ({base})"
+
+
+LINEITEM_BARS_SQL = """SELECT l_suppkey::VARCHAR AS ticker, date_trunc('month', l_shipdate)::TIMESTAMP AS ts, arg_min(p, k) AS open, max(p) AS high, min(p) AS low, arg_max(p, k) AS close, sum(l_quantity) AS volume
+FROM (SELECT *, l_extendedprice / l_quantity AS p, {'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_partkey, 'e': l_suppkey, 'f': l_extendedprice, 'g': l_quantity} AS k FROM lineitem) GROUP BY 1, 2"""
+
+
+def queries() -> dict[str, Query]:
+    from . import catalog_tables
+
+    out: dict[str, Query] = {"flagship": flagship, "bars_events": rounded_bars(B.bars_events), "bars_users": rounded_bars(B.bars_users), "bars_lineitem": rounded_bars(B.bars_lineitem, 9)}
+    out |= {f"ind_{name.lower()}": indicator_query(name) for name in indicators.INDICATORS}
+    return out | catalog_tables.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import catalog_tables
+
+    out = {"flagship": flagship_sql(), "bars_events": rounded_bars_sql(BARS_SQL), "bars_users": rounded_bars_sql(USER_BARS_SQL), "bars_lineitem": rounded_bars_sql(LINEITEM_BARS_SQL, 9)}
+    out |= {f"ind_{name.lower()}": indicator_sql(name) for name in indicators.INDICATORS}
+    return out | catalog_tables.oracle_sql()
