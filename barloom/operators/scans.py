@@ -92,7 +92,7 @@ def ewm_chunked(df: DataFrame, source: str, alpha: float, out: str, keys: list[s
     """
     placed = df.withColumn("__chunk", chunk.cast("long"))
     key_fields = [f for f in df.schema.fields if f.name in keys]
-    line_schema = StructType(key_fields).add("__chunk", "long").add("a", "double").add("b", "double").add("last", "long").add("rows", "long").add("lead", "long")
+    line_schema = StructType(list(key_fields)).add("__chunk", "long").add("a", "double").add("b", "double").add("last", "long").add("rows", "long").add("lead", "long")
 
     def line(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(order, kind="stable")[source].astype(float).reset_index(drop=True)
@@ -108,7 +108,7 @@ def ewm_chunked(df: DataFrame, source: str, alpha: float, out: str, keys: list[s
         return pd.DataFrame(head | {"a": [float(ewm(unit, alpha).iloc[-1])], "b": [float(own.iloc[-1])], "last": [int(seen[-1])], "rows": [len(x)], "lead": [int(seen[0])]})
 
     lines = placed.groupBy(*keys, "__chunk").applyInPandas(line, line_schema)
-    carry_schema = StructType(key_fields).add("__chunk", "long").add("__y", "double").add("__gap", "long")
+    carry_schema = StructType(list(key_fields)).add("__chunk", "long").add("__y", "double").add("__gap", "long")
 
     def carry(rows: pd.DataFrame) -> pd.DataFrame:
         """One row per chunk of a key: the state each starts with, and the rows since its last value."""
@@ -135,6 +135,8 @@ def ewm_chunked(df: DataFrame, source: str, alpha: float, out: str, keys: list[s
     seeded = placed.join(states, [*keys, "__chunk"], "left")
     schema = StructType(df.schema.fields + [StructField(out, DoubleType())])
 
+    columns = list(df.columns)
+
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
         x, y, gap = rows[source].astype(float), rows["__y"].iloc[0], int(rows["__gap"].iloc[0])
@@ -143,6 +145,6 @@ def ewm_chunked(df: DataFrame, source: str, alpha: float, out: str, keys: list[s
         else:
             seed = pd.Series([y] + [np.nan] * gap)
             rows[out] = ewm(pd.concat([seed, x], ignore_index=True), alpha).iloc[gap + 1 :].to_numpy()
-        return rows[[*df.columns, out]]
+        return rows[[*columns, out]]
 
     return seeded.groupBy(*keys, "__chunk").applyInPandas(finish, schema)
