@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,16 +52,39 @@ def unit_hash(key: Column, salt: str) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def filtered(df: DataFrame, judge: Callable[[DataFrame, Callable[[str], str]], DataFrame], condition: str | Column) -> DataFrame:
+    """The rows that ``judge`` adds columns to and ``condition`` keeps, with their own columns only, whatever those are named.
+
+    ``judge`` gets the rows with placeholder names, and a function from a column's name to its placeholder.
+    """
+    place = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    judged = judge(df.toDF(*place.values()), place.__getitem__).where(condition)
+    return judged.select(*[F.col(p).alias(c) for c, p in place.items()])
+
+
 def bounded_sample(df: DataFrame, n: int, key: Column, salt: str, total: int | None = None) -> DataFrame:
     """About ``n`` rows, the same for the same rows: a row stays if its hash is below n / count."""
     total = df.count() if total is None else total
     return df if total <= n else df.where(unit_hash(key, salt) < n / total)
 
 
+SLOTS = 1 << 20
+
+
+def narrowed(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows of ``df`` whose key may be among the wanted ones: a prefilter before an exact join, so that rows which can't match aren't shuffled.
+
+    What is broadcast are the slots that wanted keys hash to, SLOTS rows of 8 bytes at most however large the table is.
+    """
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(SLOTS)).alias("__slot")
+    slots = wanted.select(slot(wanted_key)).distinct()
+    return df.withColumn("__slot", slot(key)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+
+
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of ``batch`` with their texts, each of about SLICE_BYTES, so that memory follows the slice and not the batch."""
     texts = batch.column(column)
-    sizes = pa.compute.binary_length(texts).to_pylist()
+    sizes = pc.binary_length(texts).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         held += (n or 0) + 64
