@@ -53,12 +53,10 @@ def equity_metrics(days: DataFrame) -> DataFrame:
     """One row: net, days, greatest drawdown, its longest run in days, and Sharpe and Sortino ratios of daily results (null without spread)."""
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     peaks = days.withColumn("peak", F.sum((F.col("drawdown") <= 0).cast("int")).over(w))
-    runs = peaks.where("drawdown > 0").groupBy("peak").count()
-    longest = runs.agg(F.coalesce(F.max("count"), F.lit(0)).alias("drawdown_days"))
+    under = F.sum((F.col("drawdown") > 0).cast("long")).over(Window.partitionBy("peak").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     below = F.sqrt(F.avg(F.pow(F.least(F.col("pnl"), F.lit(0.0)), F.lit(2))))
-    main = days.agg(F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("net"), F.count("*").alias("days"), F.coalesce(F.max("drawdown"), F.lit(0.0)).alias("max_drawdown"),
-                    F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")).alias("sharpe"), F.try_divide(F.avg("pnl"), below).alias("sortino"))
-    return main.crossJoin(longest)  # one row each
+    return peaks.withColumn("under", under).agg(F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("net"), F.count("*").alias("days"), F.coalesce(F.max("drawdown"), F.lit(0.0)).alias("max_drawdown"),
+                    F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")).alias("sharpe"), F.try_divide(F.avg("pnl"), below).alias("sortino"), F.coalesce(F.max("under"), F.lit(0)).alias("drawdown_days"))
 
 
 def walk_forward(rows: DataFrame, *, initial: float = 0.2, step: float = 0.04, rolls: int = 20) -> DataFrame:
@@ -69,9 +67,9 @@ def walk_forward(rows: DataFrame, *, initial: float = 0.2, step: float = 0.04, r
     """
     times = rows.select("ts").distinct().withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp")))
     days = times.groupBy("day").count()
-    before = days.select("day", F.coalesce(F.sum("count").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    total = days.agg(F.sum("count").alias("total"))  # one row
-    placed = times.withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy("ts"))).join(before, "day").crossJoin(F.broadcast(total))
+    w = Window.orderBy("day")
+    before = days.select("day", F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    placed = times.withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy("ts"))).join(before, "day")
     share = ((F.col("before") + F.col("n") - 1) / F.col("total")).alias("share")
     every = placed.select("ts", share, F.explode(F.sequence(F.lit(0), F.lit(rolls - 1))).alias("roll"))
     start = F.lit(initial) + F.col("roll") * step
