@@ -34,11 +34,12 @@ def margin(cells: DataFrame, name: str, target: float | Mapping[str, float]) ->
     if isinstance(target, Mapping):
         total = float(sum(target.values())) or 1.0
         weight = F.coalesce(*[F.when(F.col(name) == k, F.lit(v / total)) for k, v in sorted(target.items())], F.lit(None).cast("double"))
-        marked = sums.withColumn("w", weight).crossJoin(F.broadcast(sums.agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(weight.isNull(), F.col("n"))), F.lit(0)).alias("rest"))))
-        return marked.select(name, F.when(F.col("w").isNull(), F.col("n") / F.col("all")).otherwise(F.col("w") * (1 - F.col("rest") / F.col("all"))).alias(f"__share_{name}"))
+        every, rest = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(weight.isNull(), F.col("n"))), F.lit(0))).first()
+        every = every or 1
+        return sums.select(name, F.when(weight.isNull(), F.col("n") / every).otherwise(weight * (1 - rest / every)).alias(f"__share_{name}"))
     raised = sums.where("n > 0").select(name, F.pow(F.col("n").cast("double"), F.lit(float(target))).alias("w"))
-    total = raised.agg(F.sum("w").alias("all"))  # one row
-    return raised.crossJoin(F.broadcast(total)).select(name, (F.col("w") / F.col("all")).alias(f"__share_{name}"))
+    every = raised.agg(F.sum("w")).first()[0] or 1.0
+    return raised.select(name, (F.col("w") / every).alias(f"__share_{name}"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *, rounds: int = 12) -> DataFrame:
