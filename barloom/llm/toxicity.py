@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_sample, with_columns_from_text
+from .common import Memo, bounded_sample, cut, text_slices, with_columns_from_text
 
 WORDS = re.compile(r"[^\W_]+")
 BITS = 18
@@ -22,30 +24,48 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(p) & ((1 << BITS) - 1) for p in parts]
 
 
-def hashed_words(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` and ids array<int>: the distinct features of the distinct lower-case words of the whole text."""
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """(feature, positive, unlabelled): in how many texts of (positive, text) a feature is. A task sends one row per feature at most."""
+
+    def count(batches):
+        ids, seen = Memo(features, 100_000), np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                for positive, t in zip(part.column("positive").to_pylist(), texts, strict=True):
+                    own = {i for w in set(WORDS.findall(t.lower())) for i in ids[w]}
+                    seen[int(positive), np.fromiter(own, np.int64, len(own))] += 1
+                    ids.trim()
+        found = np.flatnonzero(seen.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(seen[1, found]), pa.array(seen[0, found])], ["feature", "positive", "unlabelled"])
+
+    parts = rows.mapInArrow(count, "feature int, positive bigint, unlabelled bigint")
+    return parts.groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("unlabelled").alias("unlabelled"))
+
+
+def active_features(rows: DataFrame, place: dict[int, int]) -> DataFrame:
+    """positive and ids array<int>: the places of each text's features that have one."""
 
     def make():
-        ids = Memo(features, 100_000)
+        ids = Memo(lambda w: tuple(place[i] for i in features(w) if i in place), 100_000)
 
         def run(texts):
             out = []
             for t in texts:
-                out.append(sorted({i for w in set(WORDS.findall((t or "").lower())) for i in ids[w]}))
+                out.append(sorted({i for found in filter(None, map(ids.__getitem__, set(WORDS.findall(t.lower())))) for i in found}))
                 ids.trim()
             return [out]
 
         return run
 
-    return with_columns_from_text(df, text, "ids array<int>", make, keep)
+    return with_columns_from_text(rows, "text", "ids array<int>", make, ["positive"])
 
 
 class Sparse:
     """Rows of active features with value 1, as one flat array."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.flat = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+    def __init__(self, ids: pa.ListArray):
+        self.starts = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.flat = ids.flatten().to_numpy(zero_copy_only=False)
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -63,32 +83,35 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def nnpu(positive: Sparse, unlabelled: Sparse, prior: float, features: int, *, steps: int = 1000, batch: int = 384, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)), logistic loss, by Adam.
+    """Weights and bias that minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)), by Adam.
 
-    Where the second part is negative (it cannot be, for true negatives), the step goes up that part alone, as the non-negative
-    estimator asks: the model then unlearns what it has fitted to single unlabelled texts.
+    The loss is the sigmoid of the wrong side's score, which a single text can't drive far. Where the second part is negative (it
+    cannot be, for true negatives), the step goes up that part alone, as the non-negative estimator asks: the model then
+    unlearns what it has fitted to single unlabelled texts. Weights are averaged over the second half of the steps.
     """
     rng = np.random.default_rng(seed)
-    w, m, v = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
+    w, m, v, total = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     w[-1] = np.log(prior / (1 - prior))
     for step in range(1, steps + 1):
         p, u = rng.integers(0, len(positive), min(batch, len(positive))), rng.integers(0, len(unlabelled), 2 * batch)
         fp, rp = positive.take(p)
         fu, ru = unlabelled.take(u)
-        zp = np.bincount(rp, w[fp], len(p)) + w[-1]
-        zu = np.bincount(ru, w[fu], len(u)) + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        dp_minus, du_minus = -prior * sigmoid(zp) / len(p), sigmoid(zu) / len(u)
-        if negative >= 0:
-            dp, du = dp_minus - prior * sigmoid(-zp) / len(p), du_minus
+        sp = sigmoid(np.bincount(rp, w[fp], len(p)) + w[-1])
+        su = sigmoid(np.bincount(ru, w[fu], len(u)) + w[-1])
+        slope_p, slope_u = prior * sp * (1 - sp) / len(p), su * (1 - su) / len(u)
+        if su.mean() - prior * sp.mean() >= 0:
+            dp, du = -2 * slope_p, slope_u
         else:
-            dp, du = -dp_minus, -du_minus
-        grad = np.bincount(fp, dp[rp], features + 1) + np.bincount(fu, du[ru], features + 1)
+            dp, du = slope_p, -slope_u
+        grad = np.bincount(fp, dp[rp], features + 1).astype(float) + np.bincount(fu, du[ru], features + 1)
         grad[-1] = dp.sum() + du.sum()
         grad[:-1] += decay * w[:-1]
         m += 0.1 * (grad - m)
         v += 0.001 * (grad * grad - v)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if step > steps // 2:
+            total += w
+    w = total / (steps - steps // 2)
     return w[:-1], float(w[-1])
 
 
@@ -97,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     ``train_rows``, a condition on the key, says which labels may be used. About ``max_positive`` and ``max_unlabelled`` rows are used
     at most, chosen by a hash of the key, and features in ``min_count`` positives at
-    least, and ``min_lift`` times as common there as in unlabelled texts: these documented bounds hold what the driver fits.
+    least, and ``min_lift`` times as common there as in unlabelled texts: these documented bounds hold what the driver fits, the
+    active features of the sampled texts.
     ``prior``, the share of toxic texts, is the share among the allowed labels where it isn't given. Without toxic labels every score is 0.
     """
     allowed = labels if train_rows is None else labels.where(train_rows)
@@ -108,20 +132,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     prior = min(max(prior or toxic / known, 1e-4), 1 - 1e-4)
     texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("text")).where("text is not null")
     confirmed = bounded_sample(usable.where("y = 1"), max_positive, F.col("__key"), "toxic", toxic)
-    mixed = bounded_sample(texts, max_unlabelled, F.col("__key"), "unlabelled")
-    rows = lambda df: Sparse([np.asarray(x) for x in hashed_words(df, "text", []).toPandas()["ids"]])
     # the confirmed keys are at most about max_positive, so they may be broadcast
-    positive, unlabelled = rows(texts.join(F.broadcast(confirmed.select("__key")), "__key")), rows(mixed)
-    if not len(positive) or not len(unlabelled):
+    positive = texts.join(F.broadcast(confirmed.select("__key")), "__key").select(F.lit(True).alias("positive"), "text")
+    rows = cut(positive.unionByName(bounded_sample(texts, max_unlabelled, F.col("__key"), "unlabelled").select(F.lit(False).alias("positive"), "text")))
+    n = {r["positive"]: r["count"] for r in rows.groupBy("positive").count().collect()}
+    if len(n) < 2:
         return {"weights": {}, "bias": -40.0}
-    seen, common = np.bincount(positive.flat, minlength=1 << BITS), np.bincount(unlabelled.flat, minlength=1 << BITS)
-    lift = (seen / len(positive)) / ((common + 1) / len(unlabelled))
-    active = np.flatnonzero((seen >= min(min_count, max(2, len(positive) // 20))) & (lift >= min_lift))
-    place = np.full(1 << BITS, -1)
-    place[active] = np.arange(len(active))
-    shrink = lambda s: Sparse([(r := place[s.flat[a:b]])[r >= 0] for a, b in zip(s.starts[:-1], s.starts[1:], strict=True)])
-    w, bias = nnpu(shrink(positive), shrink(unlabelled), prior, len(active))
-    return {"weights": dict(zip(active.tolist(), w.tolist(), strict=True)), "bias": bias}
+    lift = (F.col("positive") / n[True]) / ((F.col("unlabelled") + 1) / n[False])
+    counts = feature_counts(rows).where((F.col("positive") >= min(min_count, max(2, n[True] // 20))) & (lift >= min_lift))
+    active = sorted(r["feature"] for r in counts.select("feature").collect())
+    found = active_features(rows, {f: i for i, f in enumerate(active)}).toArrow()
+    side = lambda positive: Sparse(found.filter(pc.equal(found["positive"], positive)).column("ids").combine_chunks())
+    w, bias = nnpu(side(True), side(False), prior, len(active))
+    return {"weights": dict(zip(active, w.tolist(), strict=True)), "bias": bias}
 
 
 def score(df: DataFrame, model: Broadcast, text: str = "text") -> DataFrame:
