@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -85,27 +86,29 @@ def machine(flat: np.ndarray, value: np.ndarray, starts: np.ndarray, w: np.ndarr
     return bias + np.add.reduceat(w[flat] * value, at) + 0.5 * (s * s - np.add.reduceat(vx * vx, at, axis=0)).sum(axis=1), s
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, epochs: int = 8, batch: int = 256, rate: float = 0.02, decay: float = 1e-5, seed: int = 6) -> dict:
-    """Adam on the logistic loss, classes weighted as they are."""
+def fit(flat: np.ndarray, words: np.ndarray, starts: np.ndarray, y: np.ndarray, *, epochs: int = 8, batch: int = 256, rate: float = 0.02, decay: float = 1e-5, seed: int = 6) -> dict:
+    """Adam on the logistic loss. Row i has the features flat[starts[i] : starts[i + 1]], the first words[i] of them words."""
     rng = np.random.default_rng(seed)
-    used = np.unique(np.concatenate([f for f, _ in rows]))
+    used = np.unique(flat)
     place = np.zeros(1 << BITS, np.int64)
     place[used] = np.arange(len(used))
+    length = np.diff(starts)
     theta = np.concatenate([np.zeros((len(used), 1)), rng.normal(0, 0.01, (len(used), FACTORS))], axis=1)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     step = 0
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
-            flat = place[np.concatenate([rows[i][0] for i in part])]
-            value = np.concatenate([rows[i][1] for i in part])
-            n = np.array([len(rows[i][0]) for i in part])
-            starts = np.concatenate([[0], np.cumsum(n)])
-            z, s = machine(flat, value, starts, theta[:, 0], theta[:, 1:], bias)
+        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
+            n = length[part]
+            at = np.concatenate([[0], np.cumsum(n)])
+            offset = np.arange(at[-1]) - np.repeat(at[:-1], n)
+            ids = place[flat[np.repeat(starts[part], n) + offset]]
+            value = np.where(offset < np.repeat(words[part], n), np.repeat(1 / np.sqrt(np.maximum(1, words[part])), n), 1.0)
+            z, s = machine(ids, value, at, theta[:, 0], theta[:, 1:], bias)
             d = (sigmoid(z) - y[part]) / len(part)
             dx = np.repeat(d, n) * value
-            touched, inverse = np.unique(flat, return_inverse=True)
-            g = np.concatenate([dx[:, None], dx[:, None] * (np.repeat(s, n, axis=0) - theta[flat, 1:] * value[:, None])], axis=1)
+            touched, inverse = np.unique(ids, return_inverse=True)
+            g = np.concatenate([dx[:, None], dx[:, None] * (np.repeat(s, n, axis=0) - theta[ids, 1:] * value[:, None])], axis=1)
             grad = np.stack([np.bincount(inverse, g[:, j], len(touched)) for j in range(1 + FACTORS)], axis=1) + decay * theta[touched]
             step += 1
             m1[touched] += 0.1 * (grad - m1[touched])
@@ -129,21 +132,21 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     # chosen has about max_rows rows at most, so it may be broadcast
     joined = rows.join(F.broadcast(chosen), "__key").select("y", "extra", F.col("text"))
 
-    schema = "y double, ids array<int>, x array<double>"
-
     def features(batches):
         run = featuriser(len(metadata))
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                extra = part.column("extra").to_pylist() if metadata else None
-                flat, value, starts = run(texts, extra)
-                cut_at = lambda a: [a[i:j] for i, j in zip(starts[:-1], starts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(cut_at(flat.astype(np.int32)), pa.list_(pa.int32())), pa.array(cut_at(value), pa.list_(pa.float64()))], ["y", "ids", "x"])
+                flat, value, starts = run(texts, part.column("extra").to_pylist() if metadata else None)
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                words = np.diff(starts) - STATISTICS - len(metadata)
+                yield pa.RecordBatch.from_arrays([part.column("y"), lists, pa.array(words.astype(np.int32))], ["y", "ids", "words"])
 
-    sample = joined.mapInArrow(features, schema).toPandas()
-    if not len(sample):
+    sample = joined.mapInArrow(features, "y double, ids array<int>, words int").toArrow()
+    if not sample.num_rows:
         return {"w": np.zeros(1 << BITS, np.float32), "v": np.zeros((1 << BITS, FACTORS), np.float32), "bias": 0.0}
-    return fit([(np.asarray(i, np.int64), np.asarray(x)) for i, x in zip(sample.ids, sample.x, strict=True)], sample.y.to_numpy())
+    ids = sample.column("ids").combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return fit(ids.flatten().to_numpy(zero_copy_only=False), sample.column("words").to_numpy(), starts, sample.column("y").to_numpy())
 
 
 def score(df: DataFrame, model: Broadcast, text: str = "text", *, metadata: tuple[str, ...] = (), threshold: float = 0.7) -> DataFrame:
