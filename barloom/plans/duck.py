@@ -56,12 +56,11 @@ def scan(node: Node, name: str, source: str, key: str) -> list[str]:
         )
         return [f"{loop} AS ({first} UNION ALL {step})", f"{name} AS MATERIALIZED (SELECT s.*, r.y AS {out} FROM {source} s LEFT JOIN {loop} r ON s.{key} = r.k AND s.rn__ = r.i)"]
     assert node.what == "quadrature", node.what
-    m, angle = "((a.rn__ - b.rn__) % n + n) % n", "pi() * (((a.rn__ - b.rn__) % n + n) % n) / n"
+    m, angle = "(((a.rn__ - b.rn__) % n + n) % n)", "pi() * (((a.rn__ - b.rn__) % n + n) % n) / n"
     even = f"CASE WHEN {m} % 2 = 1 THEN 2.0 / n / tan({angle}) ELSE 0 END"
     odd = f"CASE WHEN {m} = 0 THEN 0 ELSE (1 / tan({angle}) - cos(pi() * {m}) / sin({angle})) / n END"
     n = f"(SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM {source})"
     q = f"SELECT a.{key} AS k, a.rn__ AS i, sum(b.{x[0]} * CASE WHEN n % 2 = 0 THEN {even} ELSE {odd} END) AS y FROM {n} a JOIN (SELECT {key}, rn__, {x[0]} FROM {source}) b USING ({key}) GROUP BY ALL"
-    q = q.replace("a.ticker AS k", f"a.{key} AS k")
     return [f"{loop} AS ({q})", f"{name} AS MATERIALIZED (SELECT s.*, r.y AS {out} FROM {source} s JOIN {loop} r ON s.{key} = r.k AND s.rn__ = r.i)"]
 
 
