@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +12,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_sample, cut, with_columns_from_text
+from .common import bounded_sample, cut, with_columns_from_text
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 63
 """A run of more letters is scored in parts of so many, each like a word."""
 MARK = "▁"
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -34,49 +33,70 @@ def load_pieces(path: str) -> list[str]:
 def words_of(text: str) -> list[str]:
     """Lower-case letter runs, long ones in parts."""
     words = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST for w in words):
+    if words and max(map(len, words)) > LONGEST:
         words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
     return words
 
 
 class Pieces:
-    """Finds vocabulary pieces in many words at once, by rolling hash."""
+    """A trie of the vocabulary that is walked from one place of many words at once."""
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in sorted({len(p) for p in pieces}):
-            ids = np.array([i for i, p in enumerate(pieces) if len(p) == k])
-            prefix = self.prefixes([pieces[i] for i in ids], k)
-            order = np.argsort(prefix[:, k])
-            self.tables[k] = prefix[order, k], ids[order]
-
-    @staticmethod
-    def prefixes(strings: list[str], width: int) -> np.ndarray:
-        """Hash of each prefix of each string, [n, width + 1]."""
-        codes = np.array(strings, dtype=f"U{width}").view(np.uint32).reshape(len(strings), width).astype(np.uint64)
-        h = np.zeros((len(strings), width + 1), np.uint64)
-        for t in range(width):
-            h[:, t + 1] = h[:, t] * MULTIPLIER + codes[:, t] + np.uint64(1)
-        return h
-
-    def lattice(self, words: list[str]) -> tuple[np.ndarray, Callable[[int, int], np.ndarray]]:
-        """Lengths (the mark included) and a function (end, k) to the piece id of each word's k letters before end; -1: none, n: an unknown letter."""
+        self.single, self.letter = np.full(0x110000, self.n, np.int32), np.zeros(0x110000, np.int32)
+        longer = sorted({c for p in pieces if len(p) > 1 for c in p})
+        self.letter[[ord(c) for c in longer]] = np.arange(1, len(longer) + 1)
+        nodes: list[dict[str, int]] = [{}]
+        of = [-1]
+        for i, p in enumerate(pieces):
+            if len(p) == 1:
+                self.single[ord(p)] = i
+                continue
+            at = 0
+            for c in p:
+                if c not in nodes[at]:
+                    nodes[at][c] = len(nodes)
+                    nodes.append({})
+                    of.append(-1)
+                at = nodes[at][c]
+            of[at] = i
+        self.piece = np.array(of, np.int32)
+        self.child = np.zeros((len(nodes), len(longer) + 1), np.int32)
+        for i, node in enumerate(nodes):
+            for c, to in node.items():
+                self.child[i, self.letter[ord(c)]] = to
+
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, Iterator[tuple[int, int, np.ndarray, np.ndarray]]]:
+        """Lengths (the mark included) and, start by start, (start, letters, rows, piece ids) of all pieces in the words; n is an unknown letter."""
         marked = [MARK + w for w in words]
         lengths = np.array([len(w) for w in marked])
-        h = self.prefixes(marked, int(lengths.max()))
-        power = np.cumprod(np.full(LONGEST + 2, MULTIPLIER, np.uint64)) if len(words) else None
-
-        def ids(end: int, k: int) -> np.ndarray:
-            out = np.full(len(words), self.n if k == 1 else -1)
-            if k in self.tables:
-                known, names = self.tables[k]
-                part = h[:, end] - h[:, end - k] * power[k - 1]
-                at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-                out = np.where(known[at] == part, names[at], out)
-            return out
-
-        return lengths, ids
+        width = int(lengths.max())
+        codes = np.array(marked, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
+        letter, single = self.letter[codes], self.single[codes]
+
+        def walk():
+            for start in range(width):
+                rows = np.flatnonzero(lengths > start)
+                yield start, 1, rows, single[rows, start]
+                at = self.child[0, letter[rows, start]]
+                for place in range(start + 1, width):
+                    live = (at > 0) & (lengths[rows] > place)
+                    rows = rows[live]
+                    if not len(rows):
+                        break
+                    at = self.child[at[live], letter[rows, place]]
+                    ids = self.piece[at]
+                    hit = (at > 0) & (ids >= 0)
+                    if hit.any():
+                        yield start, place - start + 1, rows[hit], ids[hit]
+
+        return lengths, walk()
+
+
+def by_length(words: list[str], languages: int) -> list[np.ndarray]:
+    """Places of words in parts of like length and bounded size."""
+    order = np.argsort([len(w) for w in words], kind="stable")
+    return np.array_split(order, max(1, math.ceil(len(words) * max(4, languages) / 16384)))
 
 
 def forward(finder: Pieces, probability: np.ndarray, words: list[str]) -> np.ndarray:
@@ -84,20 +104,13 @@ def forward(finder: Pieces, probability: np.ndarray, words: list[str]) -> np.nda
 
     Words are at most LONGEST letters, so doubles with the floor of ``estimate`` don't underflow.
     """
-    order = np.argsort([len(w) for w in words], kind="stable")
     out = np.empty((len(words), probability.shape[1]))
-    for part in np.array_split(order, max(1, math.ceil(len(words) * max(4, probability.shape[1]) / 16384))):
-        lengths, ids = finder.lattice([words[i] for i in part])
-        width = int(lengths.max())
-        alpha = np.zeros((width + 1, len(part), probability.shape[1]))
+    for part in by_length(words, probability.shape[1]):
+        lengths, arcs = finder.arcs([words[i] for i in part])
+        alpha = np.zeros((int(lengths.max()) + 1, len(part), probability.shape[1]))
         alpha[0] = 1
-        for end in range(1, width + 1):
-            live = lengths >= end
-            for k in range(1, min(end, max(finder.tables)) + 1):
-                if k == 1 or k in finder.tables:
-                    found = ids(end, k)
-                    hit = np.flatnonzero(live & (found >= 0))
-                    alpha[end, hit] += alpha[end - k, hit] * probability[found[hit]]
+        for start, k, rows, ids in arcs:
+            alpha[start + k, rows] += alpha[start, rows] * probability[ids]
         out[part] = np.log(np.maximum(alpha[lengths, np.arange(len(part))], 1e-300))
     return out
 
@@ -105,27 +118,20 @@ def forward(finder: Pieces, probability: np.ndarray, words: list[str]) -> np.nda
 def expected_counts(finder: Pieces, probability: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
     """Expected piece counts of one language under its ``probability`` [pieces + 1], by forward and backward sums."""
     counts = np.zeros(finder.n + 1)
-    order = np.argsort([len(w) for w in words], kind="stable")
-    for part in np.array_split(order, max(1, math.ceil(len(words) / 4096))):
-        lengths, ids = finder.lattice([words[i] for i in part])
-        width, arcs = int(lengths.max()), []
+    for part in by_length(words, 1):
+        lengths, walk = finder.arcs([words[i] for i in part])
+        arcs, width = list(walk), int(lengths.max())
         alpha, beta = np.zeros((width + 1, len(part))), np.zeros((width + 1, len(part)))
         alpha[0] = 1
-        for end in range(1, width + 1):
-            live = lengths >= end
-            for k in range(1, min(end, max(finder.tables)) + 1):
-                if k == 1 or k in finder.tables:
-                    found = ids(end, k)
-                    hit = np.flatnonzero(live & (found >= 0))
-                    arcs.append((end, k, hit, found[hit]))
-                    alpha[end, hit] += alpha[end - k, hit] * probability[found[hit]]
-        rows = np.arange(len(part))
-        beta[lengths, rows] = 1
-        share = weight[part] / np.maximum(alpha[lengths, rows], 1e-300)
-        for end, k, hit, found in reversed(arcs):
-            onward = probability[found] * beta[end, hit]
-            counts += np.bincount(found, alpha[end - k, hit] * onward * share[hit], finder.n + 1)
-            beta[end - k, hit] += onward
+        for start, k, rows, ids in arcs:
+            alpha[start + k, rows] += alpha[start, rows] * probability[ids]
+        every = np.arange(len(part))
+        beta[lengths, every] = 1
+        share = weight[part] / np.maximum(alpha[lengths, every], 1e-300)
+        for start, k, rows, ids in reversed(arcs):
+            onward = probability[ids] * beta[start + k, rows]
+            counts += np.bincount(ids, alpha[start, rows] * onward * share[rows], finder.n + 1)
+            beta[start, rows] += onward
     return counts
 
 
@@ -194,7 +200,7 @@ def predict(df: DataFrame, text: str, model: Broadcast, *, use_prior: bool = Tru
         scores = np.empty((room, len(m["langs"])))
 
         def add(words: set[str]) -> None:
-            new = sorted(words)
+            new = list(words)
             if len(place) + len(new) > len(scores):
                 place.clear()
             for start in range(0, len(new), room):
@@ -203,36 +209,41 @@ def predict(df: DataFrame, text: str, model: Broadcast, *, use_prior: bool = Tru
                 scores[base : base + len(part)] = forward(finder, probability, part)
                 place.update(zip(part, range(base, base + len(part)), strict=True))
 
-        def one(text: str | None) -> tuple[str, float]:
-            low = (text or "").lower()
-            words = words_of(low)
-            if not len(prior) or not (re.search("[a-z]", low) or any(c.isalpha() for w in words for c in w)):
-                return "und", 0.0
-            total = prior.copy()
+        def missing(words: list[str]) -> set[str]:
+            return {w for w in set(words) if w not in place}
+
+        def total(words: list[str]) -> np.ndarray:
+            out = prior.copy()
             for start in range(0, len(words), room // 2):
                 part = words[start : start + room // 2]
                 try:
                     at = list(map(place.__getitem__, part))
                 except KeyError:
-                    add({w for w in part if w not in place})
-                    if any(w not in place for w in part):
-                        add({w for w in part if w not in place})
+                    add(missing(part))
+                    add(missing(part))  # the first may have emptied the memory
                     at = list(map(place.__getitem__, part))
-                total += scores[at].sum(axis=0)
-            best = int(np.argmax(total))
-            return m["langs"][best], float(1 / np.exp(total - total[best]).sum())
+                out += scores[at].sum(axis=0)
+            return out
+
+        def judge(words: list[str]) -> tuple[str, float]:
+            if not len(prior) or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
+                return "und", 0.0
+            t = total(words)
+            best = int(np.argmax(t))
+            return m["langs"][best], float(1 / np.exp(t - t[best]).sum())
 
         def run(texts: list[str | None]) -> list[list]:
+            every = [words_of(t or "") for t in texts]
             fresh: set[str] = set()
-            for t in texts:
-                fresh.update(w for w in set(words_of(t or "")) if w not in place)
+            for words in every:
+                fresh |= missing(words)
                 if len(fresh) > room // 4:
                     if len(fresh) <= room // 2:
                         add(fresh)
                     fresh = set()
             if 0 < len(fresh) <= room // 2:
                 add(fresh)
-            found = [one(t) for t in texts]
+            found = list(map(judge, every))
             return [[x for x, _ in found], [y for _, y in found]]
 
         return run
@@ -240,9 +251,9 @@ def predict(df: DataFrame, text: str, model: Broadcast, *, use_prior: bool = Tru
     return with_columns_from_text(df, text, "lang_pred string, score double", make, df.columns)
 
 
-def language_of(df: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", **options) -> DataFrame:
-    """Trains on ``labelled`` and predicts for every row of ``df``."""
-    model = df.sparkSession.sparkContext.broadcast(train(labelled, text, lang, key, **options))
+def language_of(df: DataFrame, labelled: DataFrame, text: str = "text", *, known_as: tuple[str, str, str] = ("text", "lang", "doc_id"), **options) -> DataFrame:
+    """Trains on ``labelled``, whose text, language and key columns are ``known_as``, and predicts for every row of ``df``."""
+    model = df.sparkSession.sparkContext.broadcast(train(labelled, *known_as, **options))
     return predict(df, text, model)
 
 
