@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_slices
+from .common import filtered, text_slices
 
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 LONGEST = T.StructType().add("item_id", "string").add("doc_word", "integer").add("item_word", "integer").add("n_words", "integer")
@@ -214,4 +214,4 @@ def matcher(block: Broadcast, later: bool):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with their own columns."""
-    return find_leaks(docs, benchmark, text, **options).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return filtered(docs, lambda df, at: find_leaks(df, benchmark, at(text), **options), "not contaminated")

@@ -9,11 +9,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, with_columns_from_text
+from .common import Memo, cut, narrowed, with_columns_from_text
 
 BANDS, ROWS = 32, 4
 """A pair of similarity 0.75 shares none of 32 bands of 4 with a probability of 5e-6."""
+FIRST_BANDS = 8
+"""Bands of the first round of hubs: it joins most copies, so that later rounds have few to compare."""
 SKETCH_BITS = 512
+FINE_SAMPLES, FINE_BITS = 1024, 4096
+"""Samples and bits of the sketches of texts that share a bucket: precise enough to part 0.75 from 0.68."""
 SHINGLE = 5
 
 
@@ -29,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 PLACE_FACTORS = splitmix(1, SHINGLE) | np.uint64(1)
-SAMPLE_FACTORS = splitmix(2, BANDS * ROWS) | np.uint64(1)
+SAMPLE_FACTORS = splitmix(2, FINE_SAMPLES) | np.uint64(1)
 
 
 def shingle_set(text: str, hashes: Memo) -> np.ndarray:
@@ -46,11 +50,12 @@ def shingle_set(text: str, hashes: Memo) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def samples(shingles: np.ndarray, step: int = 2048) -> np.ndarray:
-    """MinHash samples of a set that isn't empty."""
-    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+def samples(shingles: np.ndarray, n: int = BANDS * ROWS, step: int = 2048) -> np.ndarray:
+    """n MinHash samples of a set that isn't empty."""
+    least, factors = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)), SAMPLE_FACTORS[:n]
+    step = max(1, step * BANDS * ROWS // n)
     for i in range(0, len(shingles), step):
-        np.minimum(least, (shingles[i : i + step, None] * SAMPLE_FACTORS).min(axis=0), out=least)
+        np.minimum(least, (shingles[i : i + step, None] * factors).min(axis=0), out=least)
     return least
 
 
@@ -63,20 +68,23 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketches(least: np.ndarray) -> np.ndarray:
+def odd_sketches(least: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """[texts, words of 64 bits]: each sample toggles one bit of its text's bitmap, so equal samples cancel out in the XOR of two."""
-    bit = mix(least + np.arange(least.shape[1], dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(SKETCH_BITS)
-    flat = np.arange(len(least))[:, None] * SKETCH_BITS + bit.astype(np.int64)
-    odd = (np.bincount(flat.ravel(), minlength=len(least) * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(least), SKETCH_BITS), axis=1).view(np.int64)
+    bit = mix(least + np.arange(least.shape[1], dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(bits)
+    flat = np.arange(len(least))[:, None] * bits + bit.astype(np.int64)
+    odd = (np.bincount(flat.ravel(), minlength=len(least) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(least), bits), axis=1).view(np.int64)
 
 
-def most_odd_bits(threshold: float, sigmas: float = 5.5) -> int:
-    """XOR population counts that a pair of similarity ``threshold`` stays within, but for ``sigmas`` deviations of its samples and of its bits."""
-    k, n = BANDS * ROWS, SKETCH_BITS
-    differ = min(k, k * (1 - threshold) + sigmas * (k * threshold * (1 - threshold)) ** 0.5)
-    bits = n / 2 * (1 - (1 - 2 / n) ** (2 * differ))
-    return int(bits + sigmas * (bits * (1 - bits / n)) ** 0.5 / 2)
+def most_odd_bits(threshold: float, k: int = BANDS * ROWS, n: int = SKETCH_BITS, sigmas: float = 5.5) -> int:
+    """The XOR population count that a pair of similarity ``threshold`` stays within, but for ``sigmas`` deviations.
+
+    Two things deviate: how many of the k samples differ, and how many toggles meet in one of the n bits.
+    """
+    differ = k * (1 - threshold)
+    left = (1 - 2 / n) ** (2 * differ)
+    spread = (2 * left) ** 2 * k * threshold * (1 - threshold) + 4 * (2 * differ) ** 2 / (2 * n)
+    return int(n / 2 * (1 - left) + sigmas * spread**0.5)
 
 
 def word_hashes() -> Memo:
@@ -107,7 +115,7 @@ def signatures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, text: str) -> DataFrame:
-    """node and shingles (array of hashes) of every row."""
+    """node, shingles (array of hashes) and fine, a larger odd sketch, of every row."""
 
     def make():
         hashes = word_hashes()
@@ -115,28 +123,37 @@ def full_sets(docs: DataFrame, text: str) -> DataFrame:
         def run(texts):
             sets = [shingle_set(t or "", hashes) for t in texts]
             hashes.trim()
-            return [[hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], [s.view(np.int64) for s in sets]]
+            least = np.zeros((len(sets), FINE_SAMPLES), np.uint64)
+            for i, s in enumerate(sets):
+                if len(s):
+                    least[i] = samples(s, FINE_SAMPLES)
+            nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            return [nodes, [s.view(np.int64) for s in sets], list(odd_sketches(least, FINE_BITS))]
 
         return run
 
-    return with_columns_from_text(docs, text, "node binary, shingles array<bigint>", make, [])
+    return with_columns_from_text(docs, text, "node binary, shingles array<bigint>, fine array<bigint>", make, [])
 
 
-def odd_bits(a: Column, b: Column) -> Column:
-    words = SKETCH_BITS // 64
+def odd_bits(a: Column, b: Column, bits: int = SKETCH_BITS) -> Column:
+    words = bits // 64
     total = F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0))))
     for i in range(1, words):
         total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
     return total
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, label): the least node of each component of ``edges`` (a, b), by least neighbours and pointer jumping.
 
-    Neighbours are combined before they are shuffled, so a node with very many edges weighs one row per task.
+    ``known`` has labels of some of the edges, from which it goes on. Neighbours are combined before they are shuffled, so a node with very
+    many edges weighs one row per task.
     """
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    first = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    if known is not None:
+        first = first.join(known.withColumnRenamed("label", "old"), "node", "left").select("node", F.least("label", "old").alias("label"))
+    labels = cut(first)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
@@ -147,7 +164,7 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 75, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 75, hub_rounds: int = 3) -> DataFrame:
     """Adds n_shingles, component_id (the least ``key`` that links reach, itself included) and kept to every row of ``docs``.
 
     Rows with 100 * shared shingles >= ``percent`` * all shingles are linked. Columns of the new names give way. A text without words is
@@ -155,10 +172,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     counts as no key: component_id is the least other key, or null; kept then if both are null.
 
     Texts with one set are one node, so exact copies never form pairs. Nodes that share a band stand in a bucket. Rather than
-    all pairs of a bucket, each round takes one hub per bucket and compares it with the nodes of other components; links
+    all pairs of a bucket, each round takes a hub from each bucket's largest component and compares it with the nodes of others; links
     merge components, and buckets of one component are done. Whatever pairs of different components are left after ``hub_rounds``
-    are compared directly: each node outside its bucket's largest component with the others. Odd sketches settle most
-    comparisons; the rest are confirmed on the full sets.
+    are compared directly: each node outside its bucket's largest component with the others. Nodes whose sets can't reach the
+    threshold with any other of them, as too many of their shingles are in no second one, are left out of that, so a family of copies
+    that were changed too much forms no pairs. Odd sketches and set sizes settle most comparisons; the rest are confirmed on the
+    full sets.
     """
     names = ["n_shingles", "component_id", "kept"]
     own = [c for c in docs.columns if c not in names]
@@ -166,47 +185,64 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     signed = cut(signatures(located.select(F.col(f"`{key}`").alias("id"), "__hash", F.col(f"`{text}`").alias("text")), "text", ["id", "__hash"]))
     nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max(F.struct("id", "__hash")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")))
 
-    bucketed = nodes.select("node", F.explode("bands").alias("bucket"))
+    bucketed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = bucketed.groupBy("bucket").count().where("count > 1").select("bucket")
     members = cut(bucketed.join(shared, "bucket"))
     active = members.select("node").distinct()
-    sketches = cut(nodes.join(active, "node", "left_semi").select("node", "sketch", "at"))
+    sketches = cut(nodes.join(active, "node", "left_semi").select("node", "sketch", "n", "at"))
     wanted = sketches.select(F.col("at.id").alias("__id"), F.col("at.__hash").alias("__h")).distinct()
     source = located.select(F.col(f"`{key}`").alias("id"), "__hash", F.col(f"`{text}`").alias("text"))
-    chosen = source.join(wanted, source["id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
+    likely = narrowed(source, F.col("__hash"), wanted, F.col("__h"))
+    chosen = likely.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
     sets = cut(full_sets(chosen.select("text"), "text"))
 
     limit = most_odd_bits(percent / 100)
-    sketch = sketches.select("node", "sketch")
+    sketch = sketches.select("node", "sketch", "n")
+    sized = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     def close(pairs: DataFrame) -> DataFrame:
-        a, b = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").where(odd_bits(F.col("sa"), F.col("sb")) <= limit).select("a", "b")
+        a, b = sketch.toDF("a", "sa", "na"), sketch.toDF("b", "sb", "nb")
+        return pairs.join(a, "a").join(b, "b").where(sized(F.col("na"), F.col("nb")) & (odd_bits(F.col("sa"), F.col("sb")) <= limit)).select("a", "b")
+
+    def shared_shingles(some: DataFrame) -> DataFrame:
+        """(node, most): of each node's shingles, those that a second node of ``some`` has; no intersection can be larger."""
+        each = sets.join(some, "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("shingles").alias("shingle"))
+        single = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("single"))
+        return some.join(sketch, "node").join(single, "node", "left").select("node", (F.col("n") - F.coalesce("single", F.lit(0))).alias("most"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        pairs = cut(pairs)
+        side = lambda c, v: narrowed(sets, F.col("node"), pairs, F.col(c)).select(F.col("node").alias(c), F.col("shingles").alias(v))
+        a, b = side("a", "x"), side("b", "y")
         both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
         return both.where(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("a", "b").distinct()
 
     labels, links = None, None
     for turn in range(hub_rounds + 1):
-        now = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        some = members.where(F.col("band") < FIRST_BANDS) if turn == 0 < hub_rounds else members
+        now = some.withColumn("label", F.col("node")) if labels is None else some.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
+        pick = F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        parts = now.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.min(pick).alias("pick"))
+        major = parts.groupBy("bucket").agg(F.max(F.struct("size", "label", "pick.node")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("m.label").alias("major"), F.col("m.node").alias("hub"))
         if turn < hub_rounds:
-            hubs = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")).alias("hub")).where("low != high")
-            met = now.join(hubs.select("bucket", "hub.node", "hub.label").toDF("bucket", "hub", "hub_label"), "bucket").where("label != hub_label")
+            met = now.join(major, "bucket").where("label != major")
             pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
             found = confirmed(close(pairs))
         else:
-            sizes = now.groupBy("bucket", "label").count()
-            major = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("m.label").alias("major"))
-            rest = now.join(major, "bucket").join(sketch, "node")
-            x = rest.where("label != major").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
-            y = rest.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb"), (F.col("label") == F.col("major")).alias("main"))
-            fits = (F.col("bucket") == F.col("bucket_b")) & (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & (odd_bits(F.col("sa"), F.col("sb")) <= limit)
+            open_ = cut(now.join(major, "bucket"))
+            able = shared_shingles(open_.select("node").distinct()).join(nodes.select("node", "n", "bands"), "node").where(100 * F.col("most") >= percent * F.col("n"))
+            rest = cut(open_.join(able.join(sets.select("node", "fine").dropDuplicates(["node"]), "node"), "node"))
+            x = rest.where("label != major").select("bucket", "band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("fine").alias("sa"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("bands").alias("ba"))
+            y = rest.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("fine").alias("sb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("bands").alias("bb"), (F.col("label") == F.col("major")).alias("main"))
+            most = F.least("ma", "mb")
+            reach = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+            near = odd_bits(F.col("sa"), F.col("sb"), FINE_BITS) <= most_odd_bits(percent / 100, FINE_SAMPLES, FINE_BITS, 4.5)
+            first_band = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), True) == F.col("band") + 1  # a pair counts in its first bucket only
+            fits = (F.col("bucket") == F.col("bucket_b")) & (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & reach & near & first_band
             pairs = x.join(y, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             found = confirmed(pairs)
-        links = cut(found if links is None else found.unionByName(links).distinct())
-        labels = connected(links)
+        links = cut(found if links is None else found.unionByName(links))
+        labels = connected(links, labels)
 
     least = nodes.join(labels, "node").groupBy("label").agg(F.min("id").alias("least"))
     classes = nodes.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "id").alias("component"))

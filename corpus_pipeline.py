@@ -8,33 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontam, langid, mixing, neardup, toxicity
-from barloom.llm.common import scratch_dir, table
+from barloom.llm.common import filtered, scratch_dir, table
 
 MIN_LANGUAGE_SCORE = 0.5
 TARGETS = {"source": 0.5, "lang": 0.5, "topic": 0.8}
 KEEP = 0.8
 
 
-def _own(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language, or with a posterior below MIN_LANGUAGE_SCORE."""
-    judged = langid.language_of(docs.withColumn("__row", F.struct("*")).select("__row", "text"), docs)
-    return judged.where(~langid.rejected(F.col("lang_pred"), F.col("score"), MIN_LANGUAGE_SCORE)).select("__row.*")
+    return filtered(docs, lambda df, at: langid.language_of(df, docs, at("text")), ~langid.rejected(F.col("lang_pred"), F.col("score"), MIN_LANGUAGE_SCORE))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts scored as toxic."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    judged = toxicity.score(docs.withColumn("__row", F.struct("*")).select("__row", "text"), spark.sparkContext.broadcast(model))
-    return judged.where("predicted = 0").select("__row.*")
+    model = spark.sparkContext.broadcast(toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return filtered(docs, lambda df, at: toxicity.score(df, model, at("text")), "predicted = 0")
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    return _own(neardup.near_duplicates(docs).where("kept"), docs)
+    return filtered(docs, lambda df, at: neardup.near_duplicates(df, at("text"), at("doc_id")), "kept")
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
