@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 WS = "[\\x20\\x09-\\x0D]"
 """White space between words, as a Java class."""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 """Texts are handed to numpy in slices of about so many bytes (one text at least)."""
 
 
