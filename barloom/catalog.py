@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.safe import clean_zero
@@ -47,17 +47,9 @@ def digits(name: str) -> int:
     return 4 if name in CUMULATIVE else 6
 
 
-def last_rows(bars: DataFrame, n: int) -> DataFrame:
-    """The last n bars per ticker."""
-    return bars.withColumn("__n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("ts")))).where(F.col("__n") <= n).drop("__n")
-
-
 def indicator_query(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bars = B.bars_events(spark, sf_dir)
-        if name.startswith("HT_"):
-            bars = last_rows(bars, FRAME)
-        out = indicators.series(bars, {"value": (name, parameters(name))})
+        out = indicators.series(B.bars_events(spark, sf_dir), {"value": (name, parameters(name))})
         return out.select("ticker", "ts", clean_zero(F.col("value"), digits(name)).alias("value"))
 
     return query
