@@ -78,19 +78,53 @@ def sampling_rates(cells: DataFrame, keep: float) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), F.col("weight") * factor / F.col("tokens")))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *, tokens: str, key: str = "doc_id", keep: float = 0.5, rounds: int = 12, salt: str = "mix", detail: bool = False) -> DataFrame:
+def refit(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], keep: float, *, rounds: int = 12) -> DataFrame:
+    """The cells of ``rake`` with weights whose parts up to tokens (what a sample can hold) sum to each dimension's aims.
+
+    A value's aim is its share of ``keep`` of all tokens; a value that has fewer stays whole, and the others share what it lacks. A cell whose
+    weight reaches its tokens is full, and the cells beside it in a margin make up for it.
+    """
+    total, weight = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    if not weight:
+        return cells
+    own = cells.columns
+    cells = cells.withColumn("weight", F.col("weight") * (keep * total / weight))
+    for name, target in targets.items():
+        sums = cells.groupBy(name).agg(F.sum("tokens").alias("tokens")).join(margin(cells, name, target), name).withColumnRenamed(f"__share_{name}", "weight")
+        aims = sampling_rates(cut(sums), keep).select(name, (F.col("p") * F.col("tokens")).alias(f"__aim_{name}"), (F.col("p") >= 1).alias(f"__whole_{name}"))
+        cells = cells.join(aims, name)
+    cells = cut(cells)
+    for turn in range(rounds):
+        for name in targets:
+            by, full, aim = Window.partitionBy(name), F.col("weight") >= F.col("tokens"), F.col(f"__aim_{name}")
+            cells = cells.withColumns({"__full": F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(0.0)).over(by), "__free": F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(by)})
+            held = F.col("__full") + F.col("__free")
+            factor = F.when(aim < held, aim / held).when(F.col("__free") > 0, (aim - F.col("__full")) / F.col("__free")).otherwise(1.0)
+            fitted = F.col("weight") * factor
+            cells = cells.withColumn("weight", F.when(F.col(f"__whole_{name}"), F.greatest(fitted, F.col("tokens").cast("double"))).otherwise(fitted))
+        if turn % 4 == 3 or turn == rounds - 1:
+            cells = cut(cells)
+    return cells.select(*own)
+
+
+def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *, tokens: str, key: str = "doc_id", keep: float = 0.5, rounds: int = 12, salt: str = "mix", detail: bool = False, fit_full: bool = False) -> DataFrame:
     """A sample of ``docs`` whose tokens meet ``targets`` per dimension (a column name each); about ``keep`` of all tokens.
 
     A row stays if a hash of its key is below its cell's rate, so the same rows stay every time. A null in a dimension is a
     value of its own; rows without tokens in cells without tokens go; repeated keys stay or go together. An empty table
-    gives an empty one. With ``detail``, probability is added; else the columns are those of ``docs``.
+    gives an empty one. With ``detail``, probability is added; else the columns are those of ``docs``. With ``fit_full``, margins are fitted
+    again around the cells that are kept whole (``refit``); else those cells' surplus goes to all others by one factor.
 
     Tokens are summed per cell before anything is shuffled, so a hot source weighs one row per task and cell.
     """
     dims = {f"__d{i}": name for i, name in enumerate(targets)}
     value = lambda name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("\x00null"))
     cells = cut(docs.groupBy(*[value(n).alias(d) for d, n in dims.items()]).agg(F.sum(F.col(f"`{tokens}`")).alias("tokens")))
-    rates = cut(sampling_rates(rake(cells, {d: targets[n] for d, n in dims.items()}, rounds=rounds), keep).select(*dims, "p"))
+    wanted = {d: targets[n] for d, n in dims.items()}
+    weighted = rake(cells, wanted, rounds=rounds)
+    if fit_full:
+        weighted = refit(weighted, wanted, keep, rounds=rounds)
+    rates = cut(sampling_rates(weighted, keep).select(*dims, "p"))
     few = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     joined = docs.withColumns({d: value(n) for d, n in dims.items()}).join(F.broadcast(rates) if few else rates, list(dims))
     chosen = joined.where(unit_hash(F.col(f"`{key}`"), salt) < F.col("p"))

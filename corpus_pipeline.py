@@ -39,7 +39,7 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with target weights of sources, languages and topics; adds topic, n_tokens and probability."""
     counted = docs.withColumns({"topic": mixing.topic_of(F.col("text")), "n_tokens": mixing.word_count(F.col("text"))})
-    return mixing.mix(counted, TARGETS, tokens="n_tokens", keep=KEEP, detail=True).withColumn("probability", F.round("probability", 6))
+    return mixing.mix(counted, TARGETS, tokens="n_tokens", keep=KEEP, detail=True, fit_full=True).withColumn("probability", F.round("probability", 6))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -227,6 +227,29 @@ def test_mix_meets_its_margins(spark):
     assert mixing.mix(df.withColumn("n", F.lit(0)), {"source": 0.5}, tokens="n").count() == 0
 
 
+def test_pipeline_mix_reaches_its_margins(spark):
+    """Expected shares per value against the nearest ones that a sample of KEEP of all tokens can have."""
+    import corpus_pipeline as p
+
+    docs = common.table(spark, SF.replace("0.001", "0.01"), "documents")
+    dims = list(p.TARGETS)
+    cells = {tuple(r[d] for d in dims): r["n"] for r in docs.withColumn("topic", mixing.topic_of(F.col("text"))).groupBy(*dims).agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).where("n > 0").collect()}
+    rate = {tuple(r[d] for d in dims): r["probability"] for r in p.mixed(spark, docs, SF).select(*dims, "probability").distinct().collect()}
+    total = sum(cells.values())
+    assert set(rate) == set(cells) and abs(sum(rate[c] * n for c, n in cells.items()) / total - p.KEEP) < 1e-4
+    for i, d in enumerate(dims):
+        own, got = collections.Counter(), collections.Counter()
+        for c, n in cells.items():
+            own[c[i]] += n
+            got[c[i]] += rate[c] * n
+        aim, low, high = {v: n ** p.TARGETS[d] for v, n in own.items()}, 0.0, float(total)
+        for _ in range(200):  # one factor, with each value held to the tokens it has
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(own[v], a * mid) for v, a in aim.items()) < p.KEEP * total else (low, mid)
+        off = sum(abs(got[v] - min(own[v], a * high)) for v, a in aim.items()) / total / p.KEEP
+        assert off < 1e-3, (d, off)
+
+
 # Quality rules
 
 
