@@ -56,6 +56,18 @@ def last_contexts(table: DataFrame, plan: Mapping[str, tuple[str, Mapping[str, o
     w = Window.partitionBy(*keys).orderBy(F.desc("ts"))
     tail = table.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= depth)
     held = tail.groupBy(*keys).agg(F.max("ts").alias("ts"), F.array_sort(F.collect_list(F.struct(-F.col("__n"), *plan))).alias("rows"))
+    return context_cells(held, plan, depth, keys)
+
+
+def contexts(table: DataFrame, plan: Mapping[str, tuple[str, Mapping[str, object]]], depth: int = 60, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ts, feature, context) for every row of ``table``: the ``depth`` values that end there, as in ``last_contexts``."""
+    keys = keys or ["ticker"]
+    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(1 - depth, 0)
+    return context_cells(table.select(*keys, "ts", F.collect_list(F.struct(*plan)).over(w).alias("rows")), plan, depth, keys)
+
+
+def context_cells(held: DataFrame, plan: Mapping[str, tuple[str, Mapping[str, object]]], depth: int, keys: list[str]) -> DataFrame:
+    """A row per feature from rows (at most ``depth`` structs of the columns of ``plan``, in order)."""
     cells = []
     for c, (function, _) in plan.items():
         values = F.col(f"rows.`{c}`")

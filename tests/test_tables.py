@@ -6,13 +6,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom import catalog_tables
 from barloom.functions import safe
 from barloom.operators import cleaning, evaluate, indicators, signals
 from barloom.plans import features
+from barloom.sources import bars as B
 from barloom.sources import payloads, specs
 from barloom.sources.bars import read_bars, write_bars
 from barloom.streaming import live
 
+from .conftest import SF
 from .test_indicators import bars, to_spark, walk
 
 T0 = dt.datetime(2024, 1, 2, 14, 30)
@@ -109,6 +112,32 @@ def test_contexts(spark):
     assert [sum(indicators.scale_of(n) == s for n in indicators.INDICATORS) for s in (1.0, 100.0, 1e7)] == [46, 19, 8]
 
 
+def test_contexts_of_every_bar(spark):
+    close, other = [1.0, 2.0, None, 4.0, 7.0], [5.0, 3.0, 9.0, 9.5, 1.0]
+    rows = [(k, at(i), v) for k, values in (("A", close), ("B", other[:2])) for i, v in enumerate(values)]
+    df, plan = spark.createDataFrame(rows, "ticker string, ts timestamp, f0 double"), {"f0": ("CLOSE", {})}
+    every = features.contexts(df, plan, 3).select("ticker", "ts", "feature", "context").collect()
+    got = {(r["ticker"], r["ts"]): r["context"] for r in every}
+    assert len(got) == len(every) == 7
+    for k, values in (("A", close), ("B", other[:2])):
+        for i, last in enumerate(values):
+            want = ([None] * 3 + values[: i + 1])[-3:]
+            assert got[k, at(i)] == [None if v is None or last is None else v - last for v in want]
+    assert sorted(map(str, features.last_contexts(df, plan, 3).collect())) == sorted(str(r) for r in every if r["ts"] == at(4 if r["ticker"] == "A" else 1))
+
+
+def test_frame_mode_of_every_bar(spark):
+    """Each bar's EMA from the 250 bars that end there, and from none before."""
+    sf = SF.replace("0.001", "0.01")
+    got = {(r["ticker"], r["ts"]): r["ema"] for r in catalog_tables.frame_mode_every_bar(spark, sf).collect()}
+    bars = B.bars_events(spark, sf).select("ticker", "ts", "close").toPandas().sort_values(["ticker", "ts"])
+    assert len(got) == len(bars) == 3385
+    for ticker, rows in bars.groupby("ticker"):
+        for i, ts in enumerate(rows.ts):
+            want = rows.close.iloc[max(0, i - 249) : i + 1].ewm(span=15, adjust=False).mean().iloc[-1]
+            assert abs(got[ticker, ts] - want) < 1e-5
+
+
 def entry_rows(spark, prices, **levels):
     b = spark.createDataFrame([("A", at(i), float(p)) for i, p in enumerate(prices)], "ticker string, ts timestamp, close double")
     e = signals.brackets(b.where(F.col("ts") == at(0)), **levels)
