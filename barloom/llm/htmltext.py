@@ -15,9 +15,15 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas svg math datalist meta link".split())
+HIDDEN = frozenset("script style template head title noscript iframe noembed noframes object audio video canvas datalist meta link".split())
+MATH_HIDDEN = ("annotation", "annotation-xml")
+SVG_HIDDEN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+# Inside svg and math, but for the elements that hold HTML, tags can close themselves and HTML elements end the drawing or formula.
+HOLDS_HTML = ("foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml")
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+SELF_CLOSING = re.compile(r"(?:^|[\s\"']|[\s\"'][^\s=\"']+|^[^\s=\"']+)/\Z")
 # Elements that begin on a line of their own: with a blank line around them, or without.
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt figcaption footer form header hgroup li main menu nav optgroup option search section summary tr caption legend".split())
 # A start tag ends open elements of these kinds, but none beyond the given limits.
 IMPLIED = {
@@ -95,6 +101,11 @@ def build(html: str) -> Node:
             continue
         if tag in ("html", "body") and counts.get(tag):
             continue
+        foreign = (counts.get("svg") or counts.get("math")) and not any(counts.get(t) for t in HOLDS_HTML)
+        if foreign and tag in BREAKS_OUT:
+            while counts.get("svg") or counts.get("math"):
+                pop()
+            foreign = False
         if tag in ENDS_P and counts.get("p"):
             close(("p",), SCOPE)
         if tag in IMPLIED:
@@ -104,12 +115,15 @@ def build(html: str) -> Node:
         values = attributes(m[3])
         style = values.get("style", "").replace(" ", "").lower()
         visible = "visibility:visible" in style or (stack[-1].visible and "visibility:hidden" not in style and "visibility:collapse" not in style)
-        node = Node(tag, values, tag not in HIDDEN and "hidden" not in values and "display:none" not in style and not (tag == "input"), visible)
+        node = Node(tag, values, tag not in HIDDEN and "hidden" not in values and "display:none" not in style and not (tag == "input") and not (tag in SVG_HIDDEN and counts.get("svg")) and not (tag in MATH_HIDDEN and counts.get("math")), visible)
         stack[-1].children.append(node)
+        if foreign and SELF_CLOSING.search(m[3]):
+            continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(html, at)
-            if tag in ("textarea", "title"):
-                node.children.append(html[at : end.start() if end else n])
+            if tag in ("textarea", "title", "xmp"):
+                text = html[at : end.start() if end else n]
+                node.children.append(text.replace("&", "&amp;") if tag == "xmp" else text)  # references in xmp are text
             at = n if not end else (html.find(">", end.start()) + 1 or n)
         elif tag not in VOID:
             stack.append(node)
@@ -182,7 +196,7 @@ def aligned(rows: list[list[list[str]]]) -> list[str]:
 
 def render(root: Node) -> str:
     """All visible text of a tree, walked with a stack of its own, so that deep pages need no deep recursion."""
-    flow, tables, lists, pre = Flow(), [], [], 0
+    flow, tables, lists, pre, svg = Flow(), [], [], 0, 0
     todo: list[tuple] = [("open", root)]
     while todo:
         what, node, *rest = todo.pop()
@@ -200,8 +214,14 @@ def render(root: Node) -> str:
             if tag in BLOCK:
                 flow.end(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             todo.append(("close", node, flow.prefix))
-            if tag == "pre":
+            if tag == "mtr" or (svg and (tag == "text" or (tag == "tspan" and node.values.keys() & {"x", "y", "dy"}))):
+                flow.end(1)
+            elif tag == "mtd":
+                flow.space = True
+            if tag in ("pre", "xmp"):
                 pre += 1
+            elif tag == "svg":
+                svg += 1
             elif tag in ("ul", "ol", "menu"):
                 start = node.values.get("start", "")
                 lists.append([tag, int(start) if re.fullmatch("-?[0-9]{1,9}", start) else 1])
@@ -216,13 +236,14 @@ def render(root: Node) -> str:
             elif tag in ("dd", "blockquote") and len(flow.prefix) < 200:
                 flow.prefix += "  "
             elif tag == "table":
-                tables.append([flow, []])
+                tables.append([flow, [], []])
                 flow = Flow()
             elif tag == "tr" and tables:
                 tables[-1][1].append([])
             elif tag in ("td", "th") and tables:
                 if not tables[-1][1]:
                     tables[-1][1].append([])
+                tables[-1][2].extend(flow.done())  # text outside the cells is shown before the table
                 flow = Flow()
             children = node.children
             if tag == "details" and "open" not in node.values:
@@ -236,12 +257,16 @@ def render(root: Node) -> str:
             tables[-1][1].append([flow.done()])
             flow = Flow()
         elif tag == "table":
-            loose = flow.done()
-            flow, rows = tables.pop()
+            rest_of = flow.done()
+            flow, rows, loose = tables.pop()
             flow.end(2)
-            flow.add(loose + aligned(rows))
-        elif tag == "pre":
+            flow.add(loose + rest_of + aligned(rows))
+        elif tag in ("pre", "xmp"):
             pre -= 1
+        elif tag == "svg":
+            svg -= 1
+        elif tag == "mtr" or (svg and tag == "text"):
+            flow.end(1)
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
         if tag in BLOCK:

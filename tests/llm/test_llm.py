@@ -74,6 +74,19 @@ def test_rendering(html, text):
     assert htmltext.render(htmltext.build(html)) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table>Title<tr><td>a</table>", "Title\na"), ("<table><tr><div>x</div></tr><tr><td>y</table>", "x\ny"), ("<table><tr><td>a</td>stray<td>b</table>", "stray\na  b"),
+        ("<table><tr><td>a</td></tr>s<tr><td><table>t<tr><td>b</table></table>u", "s\na\nt\nb\n\nu"), ("x<xmp><b>&lt;\n y</xmp>z", "x\n\n<b>&lt;\n y\n\nz"), ("a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a x=1 b"),
+        ("<math><semantics><mi>x</mi><annotation>no</annotation></semantics></math>y", "xy"), ("<svg><title>no</title><defs/><style/><path d='M0'/><text>one</text><text>two</text></svg>three", "one\ntwo\nthree"),
+        ("<svg><desc>no</desc><text x=1>a</text></svg>b", "a\nb"), ("<svg><defs><text>no</text></defs></svg><svg><defs><p>seen", "seen"), ("<svg><foreignObject><div>in</div></foreignObject></svg>", "in"),
+    ],
+)
+def test_rendering_keeps_text_outside_cells_and_of_svg_math_xmp(html, text):
+    assert htmltext.render(htmltext.build(html)) == text
+
+
 def test_deep_and_broken_pages(spark):
     pages = spark.createDataFrame([(1, None), (2, "<div>" * 50000 + "deep"), (3, "<a <b" * 5000), (4, "</p></table>x"), (5, "")], "page_id int, html string")
     assert [r["text"] for r in htmltext.extract_text(pages).orderBy("page_id").collect()] == ["", "deep", "", "x", ""]
