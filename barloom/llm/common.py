@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,11 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), below a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below ``spark.checkpoint.dir``, or below the context's checkpoint folder.
+
+    Only where neither is set, a temporary folder becomes the context's checkpoint folder, if the session runs in one process; a cluster needs
+    a folder that driver and executors share, so there it is an error.
+    """
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not top:
-        top = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: give a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-checkpoint-"))
+        top = context.getCheckpointDir()
     return f"{top.rstrip('/')}/barloom-{uuid.uuid4().hex}"
 
 
@@ -41,6 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucket_of_id(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod, F.lit(-1))
@@ -52,16 +69,34 @@ def unit_hash(key: Column, salt: str) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def placeholders(df: DataFrame) -> dict[str, str]:
+    """A placeholder for each column name, that no name of an operator can clash with."""
+    return {c: f"__in{i}" for i, c in enumerate(df.columns)}
+
+
 def filtered(df: DataFrame, judge: Callable[[DataFrame, Callable[[str], str]], DataFrame], condition: str | Column) -> DataFrame:
     """The rows that ``judge`` adds columns to and ``condition`` keeps, with their own columns only, whatever those are named.
 
     ``judge`` gets the rows with placeholder names, and a function from a column's name to its placeholder.
     """
-    place = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    place = placeholders(df)
     judged = judge(df.toDF(*place.values()), place.__getitem__).where(condition)
     return judged.select(*[F.col(p).alias(c) for c, p in place.items()])
 
 
+def named(df: DataFrame, column: str) -> str:
+    """The column of ``df`` that Spark finds under this name, whose case may differ."""
+    return next((c for c in df.columns if c == column), None) or next((c for c in df.columns if c.lower() == column.lower()), column)
+
+
+def beside(df: DataFrame, new: Iterable[str], judge: Callable[[DataFrame, Callable[[str], str]], DataFrame]) -> DataFrame:
+    """The columns of ``df`` and the ``new`` ones that ``judge`` adds, as in ``filtered``. Columns of the new names, in any case, give way."""
+    place, new = placeholders(df), list(new)
+    taken = {c.lower() for c in new}
+    judged = judge(df.toDF(*place.values()), lambda c: place[named(df, c)])
+    return judged.select(*[F.col(p).alias(c) for c, p in place.items() if c.lower() not in taken], *new)
+
+
 def bounded_sample(df: DataFrame, n: int, key: Column, salt: str, total: int | None = None) -> DataFrame:
     """About ``n`` rows, the same for the same rows: a row stays if its hash is below n / count."""
     total = df.count() if total is None else total
@@ -71,14 +106,17 @@ def bounded_sample(df: DataFrame, n: int, key: Column, salt: str, total: int | N
 SLOTS = 1 << 20
 
 
+def slot_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("__slot")
+
+
 def narrowed(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
     """Rows of ``df`` whose key may be among the wanted ones: a prefilter before an exact join, so that rows which can't match aren't shuffled.
 
     What is broadcast are the slots that wanted keys hash to, SLOTS rows of 8 bytes at most however large the table is.
     """
-    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(SLOTS)).alias("__slot")
-    slots = wanted.select(slot(wanted_key)).distinct()
-    return df.withColumn("__slot", slot(key)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+    slots = wanted.select(slot_of(wanted_key)).distinct()
+    return df.withColumn("__slot", slot_of(key)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -98,22 +136,24 @@ def with_columns_from_text(df: DataFrame, text: str, fields: str, make: Callable
     """Appends columns (``fields``, a DDL string) computed from each whole text; narrow, no shuffle.
 
     ``make`` runs once per task and gives a function from texts to lists of values, one list per field.
-    The columns ``keep`` pass through; a kept column named like a new one gives way.
+    The columns ``keep`` pass through; a kept column named like a new one, in any case, gives way.
     """
     made = StructType.fromDDL(fields)
     arrow = to_arrow_schema(made)
-    keep = [c for c in dict.fromkeys(keep) if c not in made.names]
-    carried = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    taken = {n.lower() for n in made.names}
+    keep = [c for c in dict.fromkeys(keep) if c.lower() not in taken]
+    inner = [f"__in{i}" for i in range(len(keep))]
+    carried = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner, strict=True)], F.col(f"`{text}`").alias("__text"))
     schema = StructType(carried.schema.fields[:-1] + made.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for batch in batches:
             for part, texts in text_slices(batch, "__text"):
-                columns = [part.column(c) for c in keep] + [pa.array(v, f.type) for f, v in zip(arrow, score(texts), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([part.schema.field(c) for c in keep] + list(arrow)))
+                columns = [part.column(c) for c in inner] + [pa.array(v, f.type) for f, v in zip(arrow, score(texts), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([part.schema.field(c) for c in inner] + list(arrow)))
 
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(run, schema).toDF(*keep, *made.names)
 
 
 class Memo(dict):

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, narrowed, with_columns_from_text
+from .common import Memo, beside, cut, filtered, forget, narrowed, slot_of, text_slices, with_columns_from_text
 
 BANDS, ROWS = 32, 4
 """A pair of similarity 0.75 shares none of 32 bands of 4 with a probability of 5e-6."""
 FIRST_BANDS = 8
 """Bands of the first round of hubs: it joins most copies, so that later rounds have few to compare."""
 SKETCH_BITS = 512
-FINE_SAMPLES, FINE_BITS = 1024, 4096
-"""Samples and bits of the sketches of texts that share a bucket: precise enough to part 0.75 from 0.68."""
 SHINGLE = 5
+HOT = 256
+"""Partners of a hub that one task is given at a time."""
+SLOT_BITS = 20
 
 
 def splitmix(seed: int, n: int) -> np.ndarray:
@@ -33,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 PLACE_FACTORS = splitmix(1, SHINGLE) | np.uint64(1)
-SAMPLE_FACTORS = splitmix(2, FINE_SAMPLES) | np.uint64(1)
+SAMPLE_FACTORS = splitmix(2, BANDS * ROWS) | np.uint64(1)
 
 
 def shingle_set(text: str, hashes: Memo) -> np.ndarray:
@@ -50,12 +53,11 @@ def shingle_set(text: str, hashes: Memo) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def samples(shingles: np.ndarray, n: int = BANDS * ROWS, step: int = 2048) -> np.ndarray:
-    """n MinHash samples of a set that isn't empty."""
-    least, factors = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)), SAMPLE_FACTORS[:n]
-    step = max(1, step * BANDS * ROWS // n)
+def samples(shingles: np.ndarray, step: int = 2048) -> np.ndarray:
+    """The MinHash samples of a set that isn't empty."""
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(shingles), step):
-        np.minimum(least, (shingles[i : i + step, None] * factors).min(axis=0), out=least)
+        np.minimum(least, (shingles[i : i + step, None] * SAMPLE_FACTORS).min(axis=0), out=least)
     return least
 
 
@@ -92,7 +94,7 @@ def word_hashes() -> Memo:
 
 
 def signatures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """n_shingles, node (digest of the set; null without words), bands and sketch of every row."""
+    """n_shingles, digest (of the set; null without words), bands and sketch of every row."""
 
     def make():
         hashes = word_hashes()
@@ -111,28 +113,58 @@ def signatures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
         return run
 
-    return with_columns_from_text(docs, text, "n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>", make, keep)
+    return with_columns_from_text(docs, text, "n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>", make, keep)
 
 
-def full_sets(docs: DataFrame, text: str) -> DataFrame:
-    """node, shingles (array of hashes) and fine, a larger odd sketch, of every row."""
+def slot_counts(texts: DataFrame) -> np.ndarray:
+    """In how many of the texts the shingles of each slot are, a slot being the first bits of a shingle: a table of fixed size, summed per task first."""
 
-    def make():
-        hashes = word_hashes()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = word_hashes(), np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for _, part in text_slices(batch, "text"):
+                for t in part:
+                    slots = (shingle_set(t, hashes) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+                    seen += np.bincount(slots, minlength=len(seen)) if len(slots) > len(seen) // 64 else 0
+                    if len(slots) <= len(seen) // 64:
+                        np.add.at(seen, slots, 1)
+                    hashes.trim()
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(seen[found])], ["slot", "n"])
 
-        def run(texts):
-            sets = [shingle_set(t or "", hashes) for t in texts]
-            hashes.trim()
-            least = np.zeros((len(sets), FINE_SAMPLES), np.uint64)
-            for i, s in enumerate(sets):
-                if len(s):
-                    least[i] = samples(s, FINE_SAMPLES)
-            nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            return [nodes, [s.view(np.int64) for s in sets], list(odd_sketches(least, FINE_BITS))]
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    summed = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[summed["slot"].to_numpy()] = summed["n"].to_numpy()
+    return out
 
-        return run
 
-    return with_columns_from_text(docs, text, "node binary, shingles array<bigint>, fine array<bigint>", make, [])
+def rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, n, short): of each node's set those rarest shingles of which two similar sets must have one in common.
+
+    Shingles are ordered by the counts of their slots. The larger of two similar sets has a common one among its first n - percent * n + 1, the
+    smaller, whose n is at most the overlap's share of both, among fewer (``short``). Shingles alone in their slot have no partner.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(slot_counts(texts))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, common = word_hashes(), counts.value
+        for batch in batches:
+            for part, own in text_slices(batch, "text"):
+                shingle, node, size, short = [], [], [], []
+                for name, t in zip(part.column("node").to_pylist(), own, strict=True):
+                    s = shingle_set(t, hashes)
+                    hashes.trim()
+                    n = len(s)
+                    c = common[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                    first = np.lexsort((s, c))[: n - -(-percent * n // 100) + 1]
+                    brief = np.arange(len(first)) < n - -(-2 * percent * n // (100 + percent)) + 1
+                    shared = c[first] > 1
+                    shingle.append(s[first[shared]]), short.append(brief[shared])
+                    node.append(np.full(shared.sum(), name, np.int64)), size.append(np.full(shared.sum(), n, np.int64))
+                columns = [np.concatenate(x) if x else np.zeros(0) for x in (shingle, node, size, short)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.uint64).view(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.int64)), pa.array(columns[3].astype(bool))], ["shingle", "node", "n", "short"])
+
+    return texts.select("node", "text").mapInArrow(pick, "shingle bigint, node bigint, n bigint, short boolean")
 
 
 def odd_bits(a: Column, b: Column, bits: int = SKETCH_BITS) -> Column:
@@ -159,94 +191,163 @@ def connected(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
         lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = cut(lower.join(jump, "label").select("node", F.least("label", "far").alias("label"), (F.least("label", "far") != F.col("was")).alias("moved")))
+        forget(labels)
         labels = step.select("node", "label")
         if step.where("moved").isEmpty():
+            forget(both)
             return labels
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 75, hub_rounds: int = 3) -> DataFrame:
-    """Adds n_shingles, component_id (the least ``key`` that links reach, itself included) and kept to every row of ``docs``.
-
-    Rows with 100 * shared shingles >= ``percent`` * all shingles are linked. Columns of the new names give way. A text without words is
-    linked with nothing and kept. Repeated rows are of one component; rows that share the least key are kept alike. A null key
-    counts as no key: component_id is the least other key, or null; kept then if both are null.
+def with_text(pairs: DataFrame, side: str, other: str, texts: DataFrame, name: str) -> DataFrame:
+    """``pairs`` with the text of ``side`` as ``name``.
 
-    Texts with one set are one node, so exact copies never form pairs. Nodes that share a band stand in a bucket. Rather than
-    all pairs of a bucket, each round takes a hub from each bucket's largest component and compares it with the nodes of others; links
-    merge components, and buckets of one component are done. Whatever pairs of different components are left after ``hub_rounds``
-    are compared directly: each node outside its bucket's largest component with the others. Nodes whose sets can't reach the
-    threshold with any other of them, as too many of their shingles are in no second one, are left out of that, so a family of copies
-    that were changed too much forms no pairs. Odd sketches and set sizes settle most comparisons; the rest are confirmed on the
-    full sets.
+    A node with more than HOT partners is dealt to several tasks by a hash of the partner, its text once to each. Which nodes these are is told
+    by slots that they hash to, so what is broadcast has a fixed size, and a node that shares such a slot is merely dealt finer.
     """
-    names = ["n_shingles", "component_id", "kept"]
-    own = [c for c in docs.columns if c not in names]
-    located = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64(F.col(f"`{text}`")).alias("__hash"))
-    signed = cut(signatures(located.select(F.col(f"`{key}`").alias("id"), "__hash", F.col(f"`{text}`").alias("text")), "text", ["id", "__hash"]))
-    nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max(F.struct("id", "__hash")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")))
-
+    heavy = pairs.groupBy(side).count().where(F.col("count") > HOT)
+    slots = heavy.groupBy(slot_of(F.col(side))).agg(F.ceil(F.max("count") / HOT).alias("__k"))
+    dealt = pairs.withColumn("__slot", slot_of(F.col(side))).join(F.broadcast(slots), "__slot", "left").drop("__slot")
+    dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64(other), F.coalesce("__k", F.lit(1)))).drop("__k")
+    wanted = dealt.select(side, "__salt").distinct()
+    copies = narrowed(texts, F.col("node"), pairs, F.col(side)).select(F.col("node").alias(side), F.col("text").alias(name)).join(wanted, side)
+    return dealt.join(copies, [side, "__salt"]).drop("__salt")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Rows come by b, whose set is kept for the next one."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last, hub = word_hashes(), None, None
+        for batch in batches:
+            a, b, similar = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            for i, other in enumerate(b):
+                if other != last:
+                    last, hub = other, shingle_set(batch.column("y")[i].as_py(), hashes)
+                own = shingle_set(batch.column("x")[i].as_py(), hashes)
+                hashes.trim()
+                common = len(np.intersect1d(own, hub, assume_unique=True))
+                similar.append(100 * common >= percent * (len(own) + len(hub) - common))
+            keep = np.flatnonzero(similar)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep])], ["a", "b"])
+
+    both = with_text(with_text(pairs, "a", "b", texts, "x"), "b", "a", texts, "y")
+    return both.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint")
+
+
+def verdicts(located: DataFrame, percent: int, hub_rounds: int) -> DataFrame:
+    """(id, hash, n_shingles, component, group) of the distinct ids and hashes of ``located`` (id, hash, text); group is null without words."""
+    signed = cut(signatures(located, "text", ["id", "hash"]))
+    nodes = cut(
+        signed.where("digest is not null").groupBy("digest")
+        .agg(F.min("id").alias("id"), F.max(F.struct("id", "hash")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
     bucketed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = bucketed.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = cut(bucketed.join(shared, "bucket"))
-    active = members.select("node").distinct()
-    sketches = cut(nodes.join(active, "node", "left_semi").select("node", "sketch", "n", "at"))
-    wanted = sketches.select(F.col("at.id").alias("__id"), F.col("at.__hash").alias("__h")).distinct()
-    source = located.select(F.col(f"`{key}`").alias("id"), "__hash", F.col(f"`{text}`").alias("text"))
-    likely = narrowed(source, F.col("__hash"), wanted, F.col("__h"))
-    chosen = likely.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    sets = cut(full_sets(chosen.select("text"), "text"))
+    shared = cut(shared)
+    members = cut(narrowed(bucketed, F.col("bucket"), shared, F.col("bucket")).join(shared, "bucket").select("bucket", F.col("band").cast("tinyint").alias("band"), "node"))
+    forget(shared)
+    sketches = cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch", "n", "at"))
+    wanted = sketches.select("node", F.col("at.id").alias("__id"), F.col("at.hash").alias("__hash"))
+    likely = narrowed(located, F.col("hash"), wanted, F.col("__hash"))
+    texts = cut(likely.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).dropDuplicates(["node"]).select("node", "text"))
 
     limit = most_odd_bits(percent / 100)
     sketch = sketches.select("node", "sketch", "n")
-    sized = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    def close(pairs: DataFrame) -> DataFrame:
+    def found(pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes, odd sketches and then the full sets confirm."""
         a, b = sketch.toDF("a", "sa", "na"), sketch.toDF("b", "sb", "nb")
-        return pairs.join(a, "a").join(b, "b").where(sized(F.col("na"), F.col("nb")) & (odd_bits(F.col("sa"), F.col("sb")) <= limit)).select("a", "b")
-
-    def shared_shingles(some: DataFrame) -> DataFrame:
-        """(node, most): of each node's shingles, those that a second node of ``some`` has; no intersection can be larger."""
-        each = sets.join(some, "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("shingles").alias("shingle"))
-        single = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("single"))
-        return some.join(sketch, "node").join(single, "node", "left").select("node", (F.col("n") - F.coalesce("single", F.lit(0))).alias("most"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        side = lambda c, v: narrowed(sets, F.col("node"), pairs, F.col(c)).select(F.col("node").alias(c), F.col("shingles").alias(v))
-        a, b = side("a", "x"), side("b", "y")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
-        return both.where(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("a", "b").distinct()
+        sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        close = cut(pairs.join(a, "a").join(b, "b").where(sized & (odd_bits(F.col("sa"), F.col("sb")) <= limit)).select("a", "b"))
+        links = cut(confirmed(close, texts, percent))
+        forget(close)
+        return links
 
     labels, links = None, None
     for turn in range(hub_rounds + 1):
         some = members.where(F.col("band") < FIRST_BANDS) if turn == 0 < hub_rounds else members
-        now = some.withColumn("label", F.col("node")) if labels is None else some.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
+        now = some.withColumn("label", F.col("node")) if labels is None else some.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         pick = F.struct(F.xxhash64("node", F.lit(turn)), "node")
         parts = now.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.min(pick).alias("pick"))
         major = parts.groupBy("bucket").agg(F.max(F.struct("size", "label", "pick.node")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("m.label").alias("major"), F.col("m.node").alias("hub"))
         if turn < hub_rounds:
             met = now.join(major, "bucket").where("label != major")
-            pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-            found = confirmed(close(pairs))
+            pairs = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         else:
-            open_ = cut(now.join(major, "bucket"))
-            able = shared_shingles(open_.select("node").distinct()).join(nodes.select("node", "n", "bands"), "node").where(100 * F.col("most") >= percent * F.col("n"))
-            rest = cut(open_.join(able.join(sets.select("node", "fine").dropDuplicates(["node"]), "node"), "node"))
-            x = rest.where("label != major").select("bucket", "band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("fine").alias("sa"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("bands").alias("ba"))
-            y = rest.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("fine").alias("sb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("bands").alias("bb"), (F.col("label") == F.col("major")).alias("main"))
-            most = F.least("ma", "mb")
-            reach = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
-            near = odd_bits(F.col("sa"), F.col("sb"), FINE_BITS) <= most_odd_bits(percent / 100, FINE_SAMPLES, FINE_BITS, 4.5)
-            first_band = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), True) == F.col("band") + 1  # a pair counts in its first bucket only
-            fits = (F.col("bucket") == F.col("bucket_b")) & (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & reach & near & first_band
-            pairs = x.join(y, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            found = confirmed(pairs)
-        links = cut(found if links is None else found.unionByName(links))
-        labels = connected(links, labels)
+            left = cut(now.join(major, "bucket").select("node", "label").distinct())
+            pairs = by_rare_shingles(narrowed(texts, F.col("node"), left, F.col("node")).join(left, "node", "left_semi"), left, percent)
+        new = found(pairs)
+        before, links = links, new if links is None else cut(links.unionByName(new))
+        labels_before, labels = labels, connected(links, labels)
+        forget(*[t for t in (before, labels_before, new) if t is not None and t is not links])
 
     least = nodes.join(labels, "node").groupBy("label").agg(F.min("id").alias("least"))
-    classes = nodes.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "id").alias("component"))
-    judged = signed.select("id", "__hash", "node", "n_shingles").distinct().join(classes, "node", "left")
-    verdict = judged.select(F.col("id").alias("__id"), F.col("__hash").alias("__h"), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
-    joined = located.join(verdict, located[key].eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__h")))
-    return joined.select(*[F.col(f"`{c}`") for c in own], "n_shingles", "component_id", F.col(f"`{key}`").eqNullSafe(F.col("component_id")).alias("kept"))
+    classes = nodes.join(labels, "node", "left").join(least, "label", "left").select("digest", F.coalesce("least", "id").alias("component"), F.coalesce("label", "node").alias("group"))
+    judged = signed.select("id", "hash", "digest", "n_shingles").groupBy("id", "hash", "digest", "n_shingles").count().join(classes, "digest", "left")
+    return judged.select("id", "hash", "n_shingles", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "group", "count")
+
+
+def by_rare_shingles(texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes with different labels that have one of their rarest shingles in common; no similar pair is without.
+
+    Shingles of nodes of one label only are left out, and in each of the others the nodes outside its largest label meet the rest, so neither
+    a family of copies nor a passage that many texts repeat forms all pairs.
+    """
+    rows = cut(rare_shingles(texts, percent).join(labels, "node"))
+    parts = rows.groupBy("shingle", "label").agg(F.count("*").alias("size"))
+    major = parts.groupBy("shingle").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("shingle", F.col("m.label").alias("major"))
+    marked = cut(narrowed(rows, F.col("shingle"), major, F.col("shingle")).join(major, "shingle"))
+    x = marked.where("label != major").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "short")])
+    y = marked.withColumn("main", F.col("label") == F.col("major")).select(F.col("shingle").alias("other"), *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "short", "main")])
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    fits = (F.col("shingle") == F.col("other")) & (F.col("label_x") != F.col("label_y")) & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
+    sized = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    return x.join(y, fits & sized & F.when(smaller, F.col("short_x")).otherwise(F.col("short_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def judged_rows(df: DataFrame, text: str, key: str, percent: int, hub_rounds: int) -> DataFrame:
+    """Every row with __n, __component, __group, and __count, the number of its repetitions; ``text`` and ``key`` are placeholders."""
+    located = df.withColumn("__hash", F.xxhash64(text))
+    made = verdicts(located.select(F.col(key).alias("id"), F.col("__hash").alias("hash"), F.col(text).alias("text")), percent, hub_rounds)
+    named = made.toDF("__id", "__h", "__n", "__component", "__group", "__count")
+    return located.join(named, located[key].eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__h")))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 75, hub_rounds: int = 2) -> DataFrame:
+    """Adds n_shingles, component_id (the least ``key`` that links reach, itself included) and kept to every row of ``docs``.
+
+    Rows with 100 * shared shingles >= ``percent`` * all shingles are linked. Columns of the new names, in any case, give way. A null or empty text
+    has no words: it is linked with nothing and kept. Repeated rows are of one component; rows that share the least key are kept alike. A null key
+    counts as no key: component_id is the least other key, or null; kept then if both are null. An empty table gives an empty one; texts are
+    taken whole, however long.
+
+    Texts with one set are one node, so exact copies never form pairs. Nodes that share a band stand in a bucket. Rather than
+    all pairs of a bucket, each round takes a hub from each bucket's largest component and compares it with the nodes of others; links
+    merge components, and buckets of one component are done. The nodes of buckets that still have several after ``hub_rounds`` meet where they
+    share one of their rarest shingles, as every similar pair does (``by_rare_shingles``). Odd sketches and set sizes settle
+    most comparisons; the rest are confirmed on the full sets, a hub with many partners by several tasks (``with_text``).
+    """
+    new = {"n_shingles": F.col("__n"), "component_id": F.col("__component")}
+
+    def judge(df, at):
+        rows = judged_rows(df, at(text), at(key), percent, hub_rounds)
+        return rows.withColumns(new | {"kept": F.col(at(key)).eqNullSafe(F.col("__component"))})
+
+    return beside(docs, [*new, "kept"], judge)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = 75, hub_rounds: int = 2) -> DataFrame:
+    """One row of each group of near-duplicates, and every row without words, with its own columns; cases as in ``near_duplicates``.
+
+    Of a group the rows with the least key are in question. Where those are several (repeated rows, or texts that share a key or have none), one of
+    them stays; only such rows are shuffled once more.
+    """
+
+    def judge(df, at):
+        rows = judged_rows(df, at(text), at(key), percent, hub_rounds).where(F.col(at(key)).eqNullSafe(F.col("__component")) | F.col("__group").isNull())
+        rivals = cut(rows.select("__group", "__count", "__hash", F.col(at(key)).alias("__key")).distinct().groupBy("__group").agg(F.sum("__count").alias("__rows")).where("__rows > 1 and __group is not null"))
+        marked = rows.join(rivals, "__group", "left") if not rivals.isEmpty() else rows.withColumn("__rows", F.lit(None).cast("bigint"))
+        return marked.where("__rows is null").unionByName(marked.where("__rows is not null").dropDuplicates(["__group"]))
+
+    return filtered(docs, judge, F.lit(True))
