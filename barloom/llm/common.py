@@ -110,13 +110,31 @@ def slot_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("__slot")
 
 
+FILTER_BITS = 24
+
+
 def narrowed(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
     """Rows of ``df`` whose key may be among the wanted ones: a prefilter before an exact join, so that rows which can't match aren't shuffled.
 
-    What is broadcast are the slots that wanted keys hash to, SLOTS rows of 8 bytes at most however large the table is.
+    What is broadcast is a bitmap of the wanted keys' hashes, 2^FILTER_BITS bits in words of 64 however large the table is.
+    """
+    place = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - FILTER_BITS)
+    bits = wanted.select(F.shiftright(place(wanted_key), 6).alias("__word"), place(wanted_key).bitwiseAND(F.lit(63)).cast("int").alias("__bit"))
+    words = bits.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__mask"))
+    marked = df.withColumn("__place", place(key)).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word")
+    return marked.where("shiftright(__mask, cast(__place & 63 AS INT)) & 1 = 1").drop("__place", "__word", "__mask")
+
+
+def join_dealt(rows: DataFrame, table: DataFrame, keys: list[str], hot: int = 200_000) -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has each key once: rows of a key that more than ``hot`` of them have are dealt to several tasks.
+
+    The table's row goes to each of these. Hot keys are told by the slots they hash to, so what is broadcast has a fixed size.
     """
-    slots = wanted.select(slot_of(wanted_key)).distinct()
-    return df.withColumn("__slot", slot_of(key)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+    slot = slot_of(F.struct(*keys))
+    slots = rows.groupBy(*keys).count().where(F.col("count") > hot).groupBy(slot).agg(F.ceil(F.max("count") / hot).alias("__k"))
+    dealt = rows.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__k", F.lit(1))))
+    copies = table.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__k", F.lit(1)) - 1)))
+    return dealt.drop("__slot", "__k").join(copies.drop("__slot", "__k"), [*keys, "__salt"], "left").drop("__salt")
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

@@ -21,7 +21,6 @@ SKETCH_BITS = 512
 SHINGLE = 5
 HOT = 256
 """Partners of a hub that one task is given at a time."""
-SLOT_BITS = 20
 
 
 def splitmix(seed: int, n: int) -> np.ndarray:
@@ -116,55 +115,34 @@ def signatures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return with_columns_from_text(docs, text, "n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>", make, keep)
 
 
-def slot_counts(texts: DataFrame) -> np.ndarray:
-    """In how many of the texts the shingles of each slot are, a slot being the first bits of a shingle: a table of fixed size, summed per task first."""
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(shingle, node): each shingle of each node's set."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = word_hashes(), np.zeros(1 << SLOT_BITS, np.int64)
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in batches:
-            for _, part in text_slices(batch, "text"):
-                for t in part:
-                    slots = (shingle_set(t, hashes) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-                    seen += np.bincount(slots, minlength=len(seen)) if len(slots) > len(seen) // 64 else 0
-                    if len(slots) <= len(seen) // 64:
-                        np.add.at(seen, slots, 1)
-                    hashes.trim()
-        found = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(seen[found])], ["slot", "n"])
-
-    out = np.zeros(1 << SLOT_BITS, np.int64)
-    summed = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out[summed["slot"].to_numpy()] = summed["n"].to_numpy()
-    return out
-
-
-def rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+            for part, own in text_slices(batch, "text"):
+                sets = [shingle_set(t, hashes) for t in own]
+                hashes.trim()
+                nodes = np.repeat(part.column("node").to_numpy(), list(map(len, sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], ["shingle", "node"])
+
+    return texts.select("node", "text").mapInArrow(spell, "shingle bigint, node bigint")
+
+
+def rare_shingles(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(shingle, node, n, short): of each node's set those rarest shingles of which two similar sets must have one in common.
 
-    Shingles are ordered by the counts of their slots. The larger of two similar sets has a common one among its first n - percent * n + 1, the
-    smaller, whose n is at most the overlap's share of both, among fewer (``short``). Shingles alone in their slot have no partner.
+    Shingles are ordered by the number of sets that have them. The larger of two similar sets has a common one among its first
+    n - percent * n + 1, the smaller, whose n is at most the overlap's share of both, among fewer (``short``). Shingles of one set come first, but
+    are not returned.
     """
-    counts = texts.sparkSession.sparkContext.broadcast(slot_counts(texts))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, common = word_hashes(), counts.value
-        for batch in batches:
-            for part, own in text_slices(batch, "text"):
-                shingle, node, size, short = [], [], [], []
-                for name, t in zip(part.column("node").to_pylist(), own, strict=True):
-                    s = shingle_set(t, hashes)
-                    hashes.trim()
-                    n = len(s)
-                    c = common[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                    first = np.lexsort((s, c))[: n - -(-percent * n // 100) + 1]
-                    brief = np.arange(len(first)) < n - -(-2 * percent * n // (100 + percent)) + 1
-                    shared = c[first] > 1
-                    shingle.append(s[first[shared]]), short.append(brief[shared])
-                    node.append(np.full(shared.sum(), name, np.int64)), size.append(np.full(shared.sum(), n, np.int64))
-                columns = [np.concatenate(x) if x else np.zeros(0) for x in (shingle, node, size, short)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.uint64).view(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.int64)), pa.array(columns[3].astype(bool))], ["shingle", "node", "n", "short"])
-
-    return texts.select("node", "text").mapInArrow(pick, "shingle bigint, node bigint, n bigint, short boolean")
+    every = cut(occurrences(texts))
+    shared = every.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    common = every.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("common")).join(sizes, "node")
+    first = lambda share, whole: F.greatest(F.size("common") + 1 - F.ceil(F.lit(share) * F.col("n") / whole), F.lit(0)).cast("int")
+    rows = common.select("node", "n", first(2 * percent, 100 + percent).alias("brief"), F.posexplode(F.slice("common", 1, first(percent, 100))).alias("at", "rare"))
+    return rows.select("rare.shingle", "node", "n", (F.col("at") < F.col("brief")).alias("short"))
 
 
 def odd_bits(a: Column, b: Column, bits: int = SKETCH_BITS) -> Column:
@@ -276,7 +254,7 @@ def verdicts(located: DataFrame, percent: int, hub_rounds: int) -> DataFrame:
             pairs = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         else:
             left = cut(now.join(major, "bucket").select("node", "label").distinct())
-            pairs = by_rare_shingles(narrowed(texts, F.col("node"), left, F.col("node")).join(left, "node", "left_semi"), left, percent)
+            pairs = by_rare_shingles(narrowed(texts, F.col("node"), left, F.col("node")).join(left, "node", "left_semi"), left, sketch.select("node", "n"), percent)
         new = found(pairs)
         before, links = links, new if links is None else cut(links.unionByName(new))
         labels_before, labels = labels, connected(links, labels)
@@ -288,13 +266,13 @@ def verdicts(located: DataFrame, percent: int, hub_rounds: int) -> DataFrame:
     return judged.select("id", "hash", "n_shingles", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "group", "count")
 
 
-def by_rare_shingles(texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def by_rare_shingles(texts: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of nodes with different labels that have one of their rarest shingles in common; no similar pair is without.
 
     Shingles of nodes of one label only are left out, and in each of the others the nodes outside its largest label meet the rest, so neither
     a family of copies nor a passage that many texts repeat forms all pairs.
     """
-    rows = cut(rare_shingles(texts, percent).join(labels, "node"))
+    rows = cut(rare_shingles(texts, sizes, percent).join(labels, "node"))
     parts = rows.groupBy("shingle", "label").agg(F.count("*").alias("size"))
     major = parts.groupBy("shingle").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("shingle", F.col("m.label").alias("major"))
     marked = cut(narrowed(rows, F.col("shingle"), major, F.col("shingle")).join(major, "shingle"))
