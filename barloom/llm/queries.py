@@ -14,7 +14,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(verdict, host, path)")
     return urlfilter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -140,10 +140,10 @@ base AS (
   SELECT rid, doc_id, l, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM docs LEFT JOIN covered USING (rid)),
 judged AS (
-  SELECT *, list_filter(l, lambda x: NOT (length(x) > 400 AND NOT regexp_matches(x, '[.!?\\x{2026}]'))
+  SELECT *, list_filter(l, lambda x: NOT (length(x) > 400 AND NOT regexp_matches(x, '[@SENTENCE@UNMARKED]'))
     AND NOT (length(x) <= 200 AND regexp_matches(x, '\\b(?:[Cc]ookie|[Pp]rivacy [Pp]olicy|[Tt]erms of (?:[Uu]se|[Ss]ervice)|[Aa]ll [Rr]ights [Rr]eserved|[Cc]opyright|[Jj]ava[Ss]cript|[Ss]ubscribe|[Nn]ewsletter|[Ss]ign (?:in|up)\\b|[Ll]og ?in\\b|[Rr]ead more|[Cc]lick here|[Ll]orem ipsum|[Ss]hare this|[Ff]ollow us|[Aa]dd to cart)'))
     AND len(regexp_extract_all(x, '[|\\x{bb}\\x{203a}\\x{2022}]')) <= 3
-    AND (len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) > 3 OR regexp_matches(x, '[.!?\\x{2026};:)\\]"''\\x{201d}\\x{bb}][\\x20\\x09-\\x0D]*$'))) AS k FROM base)
+    AND (len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) > 3 OR len(regexp_extract_all(x, '[@SPACELESS]')) > 12 OR regexp_matches(x, '[@SENTENCE@CLOSING][\\x20\\x09-\\x0D]*$'))) AS k FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
          AND NOT (len(k) < len(l) AND length(regexp_replace(array_to_string(k, chr(10)), '[\\x20\\x09-\\x0D]+', '', 'g')) < 0.5 * word_chars) AS kept,
@@ -152,6 +152,10 @@ FROM judged
 """
 
 
+for _name in ("SENTENCE", "UNMARKED", "SPACELESS", "CLOSING"):
+    OP8_SQL = OP8_SQL.replace(f"@{_name}", getattr(linerules, _name).replace("'", "''"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER, beside, cut, join_dealt
 
 SEP = "\x01"
 """Stands between the reversed host and the path of a key; sorts before anything a url has there."""
@@ -44,28 +44,33 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
 
 
 def url_filter(urls: DataFrame, rules: DataFrame, url: str = "url", *, default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict to every row of ``urls`` (columns of these names give way).
+    """Adds host, path, rule and verdict to every row of ``urls`` (columns of these names, in any case, give way).
 
     ``rules`` has host, path and verdict ('allow' or 'block'). A rule fits its host and all subdomains where the path starts
     with the rule's; the longest rule string wins, and of two as long the one of the longer host. Without a rule the verdict is ``default`` and rule null.
-    A null url has host and path '' and no rule. No rules: every row gets the default. Repeated rows stay.
+    A null url has host and path '' and no rule. No rules: every row gets the default. Repeated rows stay, an empty table gives an empty one, and
+    urls are taken whole, however long.
 
     Keys are the reversed host (``org.example``) and the path, so a rule is an interval of keys. A url stands once in the order for
     each of its parent hosts, as many as the longest rule host has labels, its path cut to the longest rule path: nothing that rules
     can tell apart is lost, and what is sorted are the distinct keys, so a hot host or url weighs no more than others. The keys and
     the rules are sorted together by range; a sweep carries the stack of rules that are open, and each key takes the innermost
-    rule of its stack that contains it. Ranges pass their last stack on to the next through a table of one row per range.
+    rule of its stack that contains it. Ranges pass their last stack on to the next through a table of one row per range. When
+    verdicts go back to the rows, those of a hot host are dealt to several tasks.
     """
-    spark = urls.sparkSession
-    names = ["host", "path", "rule", "verdict"]
-    own = [F.col(f"`{c}`") for c in urls.columns if c not in names]
+    return beside(urls, ["host", "path", "rule", "verdict"], lambda df, at: swept_rules(df, rules, at(url), default))
+
+
+def swept_rules(urls: DataFrame, rules: DataFrame, url: str, default: str) -> DataFrame:
+    """The work of ``url_filter`` on rows whose columns have placeholder names."""
+    spark, own = urls.sparkSession, urls.columns
     stacks = cut(rule_stacks(rules))
     labels, path_chars = stacks.agg(
         F.coalesce(F.max(F.size(F.split(F.substring_index("key", SEP, 1), "\\."))), F.lit(0)), F.coalesce(F.max(F.length(F.substring_index("key", SEP, -1))), F.lit(0))
     ).first()
-    parts = urls.select(*own, url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
+    parts = urls.select(*own, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     shape = lambda df, *more: df.select(*more, F.slice(F.reverse(F.split("host", "\\.")), 1, max(labels, 1)).alias("__h"), F.left("path", F.lit(path_chars)).alias("__p"))
-    shapes = shape(urls.select(url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))).distinct()
+    shapes = shape(urls.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))).distinct()
     levels = F.transform(F.sequence(F.lit(1), F.size("__h")), lambda n: F.concat(F.concat_ws(".", F.slice("__h", 1, n)), F.lit(SEP), F.col("__p")))
     keys = shapes.select(F.explode(levels).alias("key")).distinct()
 
@@ -82,6 +87,6 @@ def url_filter(urls: DataFrame, rules: DataFrame, url: str = "url", *, default:
     innermost = swept.join(F.broadcast(passed_on), "range", "left").select("key", F.try_element_at(fits, F.lit(-1)).alias("hit")).where("hit is not null")
 
     by_level = shapes.select("__h", "__p", F.posexplode(levels).alias("level", "key")).join(innermost, "key")
-    winner = by_level.groupBy("__h", "__p").agg(F.max(F.struct("hit.chars", "level", "hit.rule", "hit.verdict")).alias("__won"))
-    joined = shape(parts, *own, "host", "path").join(winner, ["__h", "__p"], "left")
+    winner = cut(by_level.groupBy("__h", "__p").agg(F.max(F.struct("hit.chars", "level", "hit.rule", "hit.verdict")).alias("__won")))
+    joined = join_dealt(shape(parts, *own, "host", "path"), winner, ["__h", "__p"])
     return joined.select(*own, "host", "path", F.col("__won.rule").alias("rule"), F.coalesce("__won.verdict", F.lit(default)).alias("verdict"))
