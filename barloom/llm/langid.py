@@ -12,11 +12,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, with_columns_from_text
+from .common import cut, unit_hash, with_columns_from_text
 
 LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 63
-"""A run of more letters is scored in parts of so many, each like a word."""
+LEARNED_LETTERS = 400
+"""Longer words of the training sample aren't learned from; predictions take all words whole."""
+RESCALE = 32
+"""Steps after which forward sums are scaled: the floor of ``estimate`` to this power is still a normal double."""
 MARK = "▁"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -31,18 +33,15 @@ def load_pieces(path: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case letter runs, long ones in parts."""
-    words = LETTERS.findall(text.lower())
-    if words and max(map(len, words)) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    """Lower-case letter runs, however long."""
+    return LETTERS.findall(text.lower())
 
 
 class Pieces:
     """A trie of the vocabulary that is walked from one place of many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
         self.single, self.letter = np.full(0x110000, self.n, np.int32), np.zeros(0x110000, np.int32)
         longer = sorted({c for p in pieces if len(p) > 1 for c in p})
         self.letter[[ord(c) for c in longer]] = np.arange(1, len(longer) + 1)
@@ -66,8 +65,8 @@ class Pieces:
             for c, to in node.items():
                 self.child[i, self.letter[ord(c)]] = to
 
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, Iterator[tuple[int, int, np.ndarray, np.ndarray]]]:
-        """Lengths (the mark included) and, start by start, (start, letters, rows, piece ids) of all pieces in the words; n is an unknown letter."""
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, Iterator[list[tuple[int, np.ndarray, np.ndarray]]]]:
+        """Lengths (the mark included) and, start by start, a list of (letters, rows, piece ids) of all pieces in the words; n is an unknown letter."""
         marked = [MARK + w for w in words]
         lengths = np.array([len(w) for w in marked])
         width = int(lengths.max())
@@ -77,7 +76,7 @@ class Pieces:
         def walk():
             for start in range(width):
                 rows = np.flatnonzero(lengths > start)
-                yield start, 1, rows, single[rows, start]
+                found = [(1, rows, single[rows, start])]
                 at = self.child[0, letter[rows, start]]
                 for place in range(start + 1, width):
                     live = (at > 0) & (lengths[rows] > place)
@@ -88,58 +87,81 @@ class Pieces:
                     ids = self.piece[at]
                     hit = (at > 0) & (ids >= 0)
                     if hit.any():
-                        yield start, place - start + 1, rows[hit], ids[hit]
+                        found.append((place - start + 1, rows[hit], ids[hit]))
+                yield found
 
         return lengths, walk()
 
 
-def by_length(words: list[str], languages: int) -> list[np.ndarray]:
-    """Places of words in parts of like length and bounded size."""
-    order = np.argsort([len(w) for w in words], kind="stable")
-    return np.array_split(order, max(1, math.ceil(len(words) * max(4, languages) / 16384)))
+def by_length(words: list[str], languages: int, cells: int = 1 << 18) -> Iterator[list[int]]:
+    """Places of words in parts of like length, each of at most so many letters times ``languages``, or of one word."""
+    part: list[int] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if part and (len(part) + 1) * (len(words[i]) + 1) * max(4, languages) > cells:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
 
 
 def forward(finder: Pieces, probability: np.ndarray, words: list[str]) -> np.ndarray:
     """Log of the summed probability of all segmentations, [words, languages]; probability is [pieces + 1, languages].
 
-    Words are at most LONGEST letters, so doubles with the floor of ``estimate`` don't underflow.
+    The sums of a piece's length back are held at a time, and scaled every RESCALE letters, so a word may have any number of letters.
     """
     out = np.empty((len(words), probability.shape[1]))
+    ring = finder.longest + 2
     for part in by_length(words, probability.shape[1]):
         lengths, arcs = finder.arcs([words[i] for i in part])
-        alpha = np.zeros((int(lengths.max()) + 1, len(part), probability.shape[1]))
+        alpha, scale = np.zeros((ring, len(part), probability.shape[1])), np.zeros((len(part), probability.shape[1]))
         alpha[0] = 1
-        for start, k, rows, ids in arcs:
-            alpha[start + k, rows] += alpha[start, rows] * probability[ids]
-        out[part] = np.log(np.maximum(alpha[lengths, np.arange(len(part))], 1e-300))
+        place = np.array(part)
+        ends, last = np.sort(lengths), np.argsort(lengths, kind="stable")
+        for start, found in enumerate(arcs):
+            here = alpha[start % ring]
+            done = last[np.searchsorted(ends, start) : np.searchsorted(ends, start, "right")]
+            out[place[done]] = np.log(here[done]) + scale[done]
+            if start % RESCALE == RESCALE - 1:
+                by = np.where(here > 0, here, 1)
+                scale += np.log(by)
+                alpha /= by
+            for k, rows, ids in found:
+                alpha[(start + k) % ring, rows] += here[rows] * probability[ids]
+            here[:] = 0
+        width = int(ends[-1])
+        done = last[np.searchsorted(ends, width) :]
+        out[place[done]] = np.log(alpha[width % ring][done]) + scale[done]
     return out
 
 
 def expected_counts(finder: Pieces, probability: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
-    """Expected piece counts of one language under its ``probability`` [pieces + 1], by forward and backward sums."""
-    counts = np.zeros(finder.n + 1)
+    """Expected piece counts of one language under its ``probability`` [pieces + 1], by forward and backward sums of logarithms."""
+    counts, log = np.zeros(finder.n + 1), np.log(probability)
     for part in by_length(words, 1):
         lengths, walk = finder.arcs([words[i] for i in part])
         arcs, width = list(walk), int(lengths.max())
-        alpha, beta = np.zeros((width + 1, len(part))), np.zeros((width + 1, len(part)))
-        alpha[0] = 1
-        for start, k, rows, ids in arcs:
-            alpha[start + k, rows] += alpha[start, rows] * probability[ids]
+        alpha, beta = np.full((width + 1, len(part)), -np.inf), np.full((width + 1, len(part)), -np.inf)
+        alpha[0] = 0
+        for start, found in enumerate(arcs):
+            for k, rows, ids in found:
+                alpha[start + k, rows] = np.logaddexp(alpha[start + k, rows], alpha[start, rows] + log[ids])
         every = np.arange(len(part))
-        beta[lengths, every] = 1
-        share = weight[part] / np.maximum(alpha[lengths, every], 1e-300)
-        for start, k, rows, ids in reversed(arcs):
-            onward = probability[ids] * beta[start + k, rows]
-            counts += np.bincount(ids, alpha[start, rows] * onward * share[rows], finder.n + 1)
-            beta[start, rows] += onward
+        beta[lengths, every] = 0
+        whole = alpha[lengths, every]
+        for start in range(width - 1, -1, -1):
+            for k, rows, ids in arcs[start]:
+                onward = log[ids] + beta[start + k, rows]
+                counts += np.bincount(ids, np.exp(alpha[start, rows] + onward - whole[rows]) * weight[part][rows], finder.n + 1)
+                beta[start, rows] = np.logaddexp(beta[start, rows], onward)
     return counts
 
 
 def train(labelled: DataFrame, text: str, lang: str, key: str, *, pieces: str = PIECES, per_language: int = 3000, rounds: int = 3) -> dict:
     """Piece probabilities per language by expectation-maximisation; rows without a language are left out.
 
-    About ``per_language`` rows of each language are used (all, if it has fewer), chosen by a hash of ``key``. Spark counts their
-    words and sums expected counts; what reaches the driver is one row per language and piece.
+    About ``per_language`` rows of each language are used (all, if it has fewer), chosen by a hash of ``key`` in one pass. Spark counts their
+    words (of LEARNED_LETTERS at most) and sums expected counts; what reaches the driver is one row per language and piece. An empty table gives a model without languages.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{key}`").alias("key")).where("lang is not null and text is not null")
@@ -148,11 +170,9 @@ def train(labelled: DataFrame, text: str, lang: str, key: str, *, pieces: str =
     vocabulary = load_pieces(pieces)
     if not langs:
         return {"langs": [], "pieces": vocabulary, "probability": np.ones((len(vocabulary) + 1, 0)), "prior": np.ones(0)}
-    samples = [bounded_sample(rows.where(F.col("lang") == x), per_language, F.col("key"), "langid", totals[x]) for x in langs]
-    sample = samples[0]
-    for x in samples[1:]:
-        sample = sample.unionByName(x)
-    tokens = with_columns_from_text(sample, "text", "words array<string>", lambda: lambda texts: [[words_of(t or "") for t in texts]], ["lang"])
+    rate = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, per_language / totals[x]))])
+    sample = rows.where(unit_hash(F.col("key"), "langid") < F.element_at(rate, F.col("lang")))
+    tokens = with_columns_from_text(sample, "text", "words array<string>", lambda: lambda texts: [[[w for w in words_of(t or "") if len(w) <= LEARNED_LETTERS] for t in texts]], ["lang"])
     words = cut(tokens.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count())
     probability = np.full((len(vocabulary) + 1, len(langs)), 1.0 / (len(vocabulary) + 1))
     for _ in range(rounds):
@@ -185,9 +205,10 @@ def estimate(counts: np.ndarray) -> np.ndarray:
 
 
 def predict(df: DataFrame, text: str, model: Broadcast, *, use_prior: bool = True) -> DataFrame:
-    """Adds lang_pred and score (the posterior of that language, 0 to 1) to every row; columns of these names give way.
+    """Adds lang_pred and score (the posterior of that language, 0 to 1) to every row; columns of these names, in any case, give way.
 
     A null text, one without a letter, or a model without languages: lang_pred 'und', score 0. Ties go to the first language by name.
+    Repeated rows get the same score each, an empty table gives an empty one, and a text of any length counts whole.
     ``model`` is a broadcast of what ``train`` gives. Scores of words are remembered per task, up to a fixed number.
     """
 
