@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import filtered, text_slices
+from .common import beside, cut, filtered, forget, text_slices
 
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 LONGEST = T.StructType().add("item_id", "string").add("doc_word", "integer").add("item_word", "integer").add("n_words", "integer")
 STATE = T.StructType().add("__n_words", "long").add("__spans", T.ArrayType(T.IntegerType())).add("__items", T.ArrayType(T.StringType())).add("__longest", LONGEST)
 
@@ -161,40 +162,44 @@ def match_slice(block: Block, texts: list[str | None], states: list[dict] | None
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, n: int, block_words: int) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_words`` words, read one after the other; at least one, if empty."""
-    held, size, given = [], 0, False
-    for name, body in benchmark.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.col(f"`{text}`")).toLocalIterator():
-        words = words_of(body or "")
-        held.append((name, words))
-        size += len(words)
-        if size >= block_words:
-            yield Block(held, n)
-            held, size, given = [], 0, True
-    if held or not given:
-        yield Block(held, n)
+    """The benchmark in blocks of about ``block_words`` words, dealt by Spark and read one at a time; at least one, if empty."""
+    items = benchmark.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")).alias("name"), F.col(f"`{text}`").alias("body"))
+    words = items.agg(F.sum(F.regexp_count("body", F.lit(WORD)))).first()[0] or 0
+    count = max(1, -(-words // block_words))
+    for i in range(count):
+        mine = items if count == 1 else items.where(F.pmod(F.xxhash64("name", "body"), F.lit(count)) == i)
+        yield Block([(name, words_of(body or "")) for name, body in mine.collect()], n)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", *, item_key: str = "item_id", item_text: str = "text", n: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """Adds to every row of ``docs``: n_words, n_hit (words inside any verbatim occurrence of a window of ``n`` item words), items
     (ids with such windows, as sorted strings), spans (word places: begin, end, begin, end, ...), longest (the longest verbatim
-    match and where it is) and contaminated. Columns of these names give way.
+    match and where it is) and contaminated. Columns of these names, in any case, give way.
 
     Each task turns slices of its texts into suffix arrays (shards) and searches every test suffix in each; nothing is shuffled.
-    A block of ``block_words`` test words is broadcast at a time; a larger benchmark adds passes, whose rows carry what earlier
-    blocks found. Null and empty texts have no words and no hit; an empty benchmark hits nothing; repeated rows stay.
+    A block of about ``block_words`` test words is held by the driver and broadcast at a time. Of a larger benchmark each block but the last
+    writes what was found so far to the shared checkpoint folder and is given up before the next. Null and empty texts have no words
+    and no hit; an empty benchmark hits nothing; an empty table gives an empty one; repeated rows stay; texts of any length are taken whole.
     """
-    spark = docs.sparkSession
     names = ["n_words", "n_hit", "items", "spans", "longest", "contaminated"]
-    keep = [c for c in docs.columns if c not in names]
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    base = df.schema.fields
-    for i, block in enumerate(blocks(benchmark, item_key, item_text, n, block_words)):
-        df = df.mapInArrow(matcher(spark.sparkContext.broadcast(block), i > 0), T.StructType(base + STATE.fields))
-    hit = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda s, x: x - s)  # end - begin + end - begin ..., as places ascend in pairs
-    return df.select(
-        *[F.col(f"`{c}`") for c in keep], F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.col("__items").alias("items"), F.col("__spans").alias("spans"),
-        F.col("__longest").alias("longest"), (F.size("__spans") > 0).alias("contaminated"),
-    )
+
+    def judge(df, at):
+        context, own = df.sparkSession.sparkContext, df.columns
+        df = df.withColumn("__text", F.col(at(text)))
+        base, table, shared = df.schema.fields, None, None
+        for block in blocks(benchmark, item_key, item_text, n, block_words):
+            if shared is not None:
+                before, table = table, cut(df)
+                shared.unpersist()
+                if before is not None:
+                    forget(before)
+                df = table
+            shared, later = context.broadcast(block), shared is not None
+            df = df.mapInArrow(matcher(shared, later), T.StructType(base + STATE.fields))
+        hit = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda s, x: x - s)  # end - begin + end - begin ..., as places ascend in pairs
+        return df.select(*own, F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.col("__items").alias("items"), F.col("__spans").alias("spans"), F.col("__longest").alias("longest"), (F.size("__spans") > 0).alias("contaminated"))
+
+    return beside(docs, names, judge)
 
 
 def matcher(block: Broadcast, later: bool):
@@ -213,5 +218,5 @@ def matcher(block: Broadcast, later: bool):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with their own columns."""
+    """The rows of ``docs`` that hold no window of the benchmark, with their own columns; cases as in ``find_leaks``."""
     return filtered(docs, lambda df, at: find_leaks(df, benchmark, at(text), **options), "not contaminated")
