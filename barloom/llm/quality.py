@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Memo, bounded_sample, text_slices
+from .common import Memo, beside, bounded_sample, text_slices
 from .toxicity import WORDS, sigmoid
 
 BITS = 16
@@ -150,25 +150,27 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def score(df: DataFrame, model: Broadcast, text: str = "text", *, metadata: tuple[str, ...] = (), threshold: float = 0.7) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 from ``threshold`` on) to every row; columns of these names give way.
+    """Adds score (0 to 1) and predicted (1 from ``threshold`` on) to every row; columns of these names, in any case, give way.
 
-    Null and empty texts are scored by their statistics alone, like any text.
+    Null and empty texts are scored by their statistics alone, like any text; whole texts count, however long. Repeated rows get the same score
+    each, and an empty table gives an empty one.
     """
-    keep = [c for c in df.columns if c not in ("score", "predicted")]
-    carried = df.select(*[F.col(f"`{c}`") for c in keep], F.array(*[F.col(f"`{c}`").cast("double") for c in metadata]).cast("array<double>").alias("__extra"), F.col(f"`{text}`").alias("__text"))
-    schema = StructType(carried.schema.fields[:-2]).add("score", "double").add("predicted", "integer")
 
-    def run(batches):
-        import pyarrow as pa
-        from .common import text_slices
+    def judge(df, at):
+        carried = df.select(*df.columns, F.array(*[F.col(at(c)).cast("double") for c in metadata]).cast("array<double>").alias("__extra"), F.col(at(text)).alias("__text"))
+        schema = StructType(df.schema.fields).add("score", "double").add("predicted", "integer")
+        keep = df.columns
 
-        m, make = model.value, featuriser(len(metadata))
-        for batch in batches:
-            for part, texts in text_slices(batch, "__text"):
-                flat, value, starts = make(texts, part.column("__extra").to_pylist() if metadata else None)
-                z, _ = machine(flat, value.astype(np.float32), starts, m["w"], m["v"], m["bias"])
-                s = sigmoid(z.astype(float))
-                columns = [part.column(c) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
-
-    return carried.mapInArrow(run, schema)
+        def run(batches):
+            m, make = model.value, featuriser(len(metadata))
+            for batch in batches:
+                for part, texts in text_slices(batch, "__text"):
+                    flat, value, starts = make(texts, part.column("__extra").to_pylist() if metadata else None)
+                    z, _ = machine(flat, value.astype(np.float32), starts, m["w"], m["v"], m["bias"])
+                    s = sigmoid(z.astype(float))
+                    columns = [part.column(c) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
+
+        return carried.mapInArrow(run, schema)
+
+    return beside(df, ["score", "predicted"], judge)

@@ -82,29 +82,36 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def risk_gradient(w: np.ndarray, positive: tuple[np.ndarray, np.ndarray], n_positive: int, unlabelled: tuple[np.ndarray, np.ndarray], n_unlabelled: int, prior: float) -> np.ndarray:
+    """The gradient, by weights and bias (last), of prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)).
+
+    Where the second part is negative (it cannot be, for true negatives), it is that of the negated second part: a step then unlearns what
+    the model has fitted to single unlabelled texts. Entries are features and row numbers, as ``Sparse.take`` gives them.
+    """
+    (fp, rp), (fu, ru) = positive, unlabelled
+    sp = sigmoid(np.bincount(rp, w[fp], n_positive) + w[-1])
+    su = sigmoid(np.bincount(ru, w[fu], n_unlabelled) + w[-1])
+    slope_p, slope_u = prior * sp * (1 - sp) / n_positive, su * (1 - su) / n_unlabelled
+    if su.mean() - prior * sp.mean() >= 0:
+        dp, du = -2 * slope_p, slope_u
+    else:
+        dp, du = slope_p, -slope_u
+    grad = np.bincount(fp, dp[rp], len(w)).astype(float) + np.bincount(fu, du[ru], len(w))
+    grad[-1] = dp.sum() + du.sum()
+    return grad
+
+
 def nnpu(positive: Sparse, unlabelled: Sparse, prior: float, features: int, *, steps: int = 1000, batch: int = 384, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)), by Adam.
+    """Weights and bias that minimise the non-negative risk (``risk_gradient``), by Adam.
 
-    The loss is the sigmoid of the wrong side's score, which a single text can't drive far. Where the second part is negative (it
-    cannot be, for true negatives), the step goes up that part alone, as the non-negative estimator asks: the model then
-    unlearns what it has fitted to single unlabelled texts. Weights are averaged over the second half of the steps.
+    The loss is the sigmoid of the wrong side's score, which a single text can't drive far. Weights are averaged over the second half of the steps.
     """
     rng = np.random.default_rng(seed)
     w, m, v, total = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     w[-1] = np.log(prior / (1 - prior))
     for step in range(1, steps + 1):
         p, u = rng.integers(0, len(positive), min(batch, len(positive))), rng.integers(0, len(unlabelled), 2 * batch)
-        fp, rp = positive.take(p)
-        fu, ru = unlabelled.take(u)
-        sp = sigmoid(np.bincount(rp, w[fp], len(p)) + w[-1])
-        su = sigmoid(np.bincount(ru, w[fu], len(u)) + w[-1])
-        slope_p, slope_u = prior * sp * (1 - sp) / len(p), su * (1 - su) / len(u)
-        if su.mean() - prior * sp.mean() >= 0:
-            dp, du = -2 * slope_p, slope_u
-        else:
-            dp, du = slope_p, -slope_u
-        grad = np.bincount(fp, dp[rp], features + 1).astype(float) + np.bincount(fu, du[ru], features + 1)
-        grad[-1] = dp.sum() + du.sum()
+        grad = risk_gradient(w, positive.take(p), len(p), unlabelled.take(u), len(u), prior)
         grad[:-1] += decay * w[:-1]
         m += 0.1 * (grad - m)
         v += 0.001 * (grad * grad - v)
@@ -148,9 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def score(df: DataFrame, model: Broadcast, text: str = "text") -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 from 0.5 on) to every row; columns of these names give way.
+    """Adds score (0 to 1) and predicted (1 from 0.5 on) to every row; columns of these names, in any case, give way.
 
-    The score is the sigmoid of the summed weights of the distinct features of the whole text; null and empty texts get the bias alone.
+    The score is the sigmoid of the summed weights of the distinct features of the whole text, however long; null and empty texts get the bias
+    alone. Repeated rows get the same score each, and an empty table gives an empty one.
     """
 
     def make():
