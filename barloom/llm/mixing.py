@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, cut, unit_hash
+from .common import WS, beside, cut, filtered, join_dealt, named, unit_hash
 
 BROADCAST_CELLS = 50_000
 """Cells are broadcast to the rows up to so many, and joined by shuffle beyond."""
@@ -42,22 +42,50 @@ def margin(cells: DataFrame, name: str, target: float | Mapping[str, float]) ->
     return raised.select(name, (F.col("w") / every).alias(f"__share_{name}"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *, rounds: int = 12) -> DataFrame:
+def distances(cells: DataFrame, aims: Mapping[str, str], weight: str) -> dict[str, float]:
+    """For each dimension, half the sum of differences between its values' shares of ``weight`` and those in its column of aims."""
+    out = {}
+    for name, aim in aims.items():
+        sums = cells.groupBy(name).agg(F.sum(F.expr(weight)).alias("w"), F.first(aim).alias("aim"))
+        total, wanted = sums.agg(F.sum("w"), F.sum("aim")).first()
+        out[name] = sums.agg(F.sum(F.abs(F.col("w") / (total or 1.0) - F.col("aim") / (wanted or 1.0))) / 2).first()[0] or 0.0
+    return out
+
+
+def fitted(cells: DataFrame, names: list[str], aims: Mapping[str, str], weight: str, step: Callable[[DataFrame, str], DataFrame], tolerance: float) -> DataFrame:
+    """``step`` for each dimension, round by round, until all margins are within ``tolerance`` of their aims.
+
+    Every fourth round the cells, a small table, are written, so that plans stay short, and the distance is taken. Margins that contradict each
+    other (by cells that no document has) can't all be met: then it ends when four rounds gain less than a thousandth.
+    """
+    last = float("inf")
+    while True:
+        for _ in range(4):
+            for name in names:
+                cells = step(cells, name)
+        cells = cut(cells)
+        now = max(distances(cells, aims, weight).values(), default=0.0)
+        if now <= tolerance or now > 0.999 * last:
+            return cells
+        last = now
+
+
+def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *, tolerance: float = 1e-9) -> DataFrame:
     """Adds weight to cells (the dimensions of ``targets`` and tokens): token weights whose sums meet each dimension's shares.
 
-    Iterative proportional fitting, ``rounds`` times over the dimensions, on one row per cell; every fourth round the cells
-    are written, so that plans stay short.
+    Iterative proportional fitting on one row per cell; a margin is a sum by value that is joined to the cells again.
     """
+    names = list(targets)
     for name, target in targets.items():
         cells = cells.join(margin(cells, name, target), name, "left")
     cells = cut(cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")))
-    for turn in range(rounds):
-        for name in targets:
-            fitted = F.sum("weight").over(Window.partitionBy(name))
-            cells = cells.withColumn("weight", F.col("weight") * F.col(f"__share_{name}") / fitted)
-        if turn % 4 == 3 or turn == rounds - 1:
-            cells = cut(cells)
-    return cells.select(*targets, "tokens", "weight")
+
+    def step(now: DataFrame, name: str) -> DataFrame:
+        sums = now.groupBy(name).agg(F.sum("weight").alias("__sum"))
+        return now.join(sums, name).withColumn("weight", F.col("weight") * F.col(f"__share_{name}") / F.col("__sum")).drop("__sum")
+
+    cells = fitted(cells, names, {n: f"__share_{n}" for n in names}, "weight", step, tolerance)
+    return cells.select(*names, "tokens", "weight")
 
 
 def sampling_rates(cells: DataFrame, keep: float) -> DataFrame:
@@ -78,7 +106,7 @@ def sampling_rates(cells: DataFrame, keep: float) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), F.col("weight") * factor / F.col("tokens")))
 
 
-def refit(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], keep: float, *, rounds: int = 12) -> DataFrame:
+def refit(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], keep: float, *, tolerance: float = 1e-7) -> DataFrame:
     """The cells of ``rake`` with weights whose parts up to tokens (what a sample can hold) sum to each dimension's aims.
 
     A value's aim is its share of ``keep`` of all tokens; a value that has fewer stays whole, and the others share what it lacks. A cell whose
@@ -87,46 +115,51 @@ def refit(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]],
     total, weight = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     if not weight:
         return cells
-    own = cells.columns
+    own, names = cells.columns, list(targets)
     cells = cells.withColumn("weight", F.col("weight") * (keep * total / weight))
     for name, target in targets.items():
         sums = cells.groupBy(name).agg(F.sum("tokens").alias("tokens")).join(margin(cells, name, target), name).withColumnRenamed(f"__share_{name}", "weight")
         aims = sampling_rates(cut(sums), keep).select(name, (F.col("p") * F.col("tokens")).alias(f"__aim_{name}"), (F.col("p") >= 1).alias(f"__whole_{name}"))
         cells = cells.join(aims, name)
     cells = cut(cells)
-    for turn in range(rounds):
-        for name in targets:
-            by, full, aim = Window.partitionBy(name), F.col("weight") >= F.col("tokens"), F.col(f"__aim_{name}")
-            cells = cells.withColumns({"__full": F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(0.0)).over(by), "__free": F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(by)})
-            held = F.col("__full") + F.col("__free")
-            factor = F.when(aim < held, aim / held).when(F.col("__free") > 0, (aim - F.col("__full")) / F.col("__free")).otherwise(1.0)
-            fitted = F.col("weight") * factor
-            cells = cells.withColumn("weight", F.when(F.col(f"__whole_{name}"), F.greatest(fitted, F.col("tokens").cast("double"))).otherwise(fitted))
-        if turn % 4 == 3 or turn == rounds - 1:
-            cells = cut(cells)
+
+    def step(now: DataFrame, name: str) -> DataFrame:
+        full, aim = F.col("weight") >= F.col("tokens"), F.col(f"__aim_{name}")
+        sums = now.groupBy(name).agg(F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(0.0)).alias("__full"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("__free"))
+        held = F.col("__full") + F.col("__free")
+        factor = F.when(aim < held, aim / held).when(F.col("__free") > 0, (aim - F.col("__full")) / F.col("__free")).otherwise(1.0)
+        scaled = F.col("weight") * factor
+        raised = F.when(F.col(f"__whole_{name}"), F.greatest(scaled, F.col("tokens").cast("double"))).otherwise(scaled)
+        return now.join(sums, name).withColumn("weight", raised).drop("__full", "__free")
+
+    cells = fitted(cells, names, {n: f"__aim_{n}" for n in names}, "least(weight, tokens)", step, tolerance)
     return cells.select(*own)
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *, tokens: str, key: str = "doc_id", keep: float = 0.5, rounds: int = 12, salt: str = "mix", detail: bool = False, fit_full: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *, tokens: str, key: str = "doc_id", keep: float = 0.5, tolerance: float = 1e-9, salt: str = "mix", detail: bool = False, fit_full: bool = False) -> DataFrame:
     """A sample of ``docs`` whose tokens meet ``targets`` per dimension (a column name each); about ``keep`` of all tokens.
 
     A row stays if a hash of its key is below its cell's rate, so the same rows stay every time. A null in a dimension is a
     value of its own; rows without tokens in cells without tokens go; repeated keys stay or go together. An empty table
-    gives an empty one. With ``detail``, probability is added; else the columns are those of ``docs``. With ``fit_full``, margins are fitted
-    again around the cells that are kept whole (``refit``); else those cells' surplus goes to all others by one factor.
+    gives an empty one. With ``detail``, probability is added (a column of that name, in any case, gives way); else the columns are those of
+    ``docs``. With ``fit_full``, margins are fitted again around the cells that are kept whole (``refit``); else those cells' surplus goes to all others by one factor.
 
-    Tokens are summed per cell before anything is shuffled, so a hot source weighs one row per task and cell.
+    Tokens are summed per cell before anything is shuffled, so a hot source weighs one row per task and cell. More cells than
+    BROADCAST_CELLS are joined by shuffle, the rows of a hot cell dealt to several tasks.
     """
     dims = {f"__d{i}": name for i, name in enumerate(targets)}
-    value = lambda name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("\x00null"))
-    cells = cut(docs.groupBy(*[value(n).alias(d) for d, n in dims.items()]).agg(F.sum(F.col(f"`{tokens}`")).alias("tokens")))
-    wanted = {d: targets[n] for d, n in dims.items()}
-    weighted = rake(cells, wanted, rounds=rounds)
-    if fit_full:
-        weighted = refit(weighted, wanted, keep, rounds=rounds)
-    rates = cut(sampling_rates(weighted, keep).select(*dims, "p"))
-    few = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    joined = docs.withColumns({d: value(n) for d, n in dims.items()}).join(F.broadcast(rates) if few else rates, list(dims))
-    chosen = joined.where(unit_hash(F.col(f"`{key}`"), salt) < F.col("p"))
-    own = [F.col(f"`{c}`") for c in docs.columns if not (detail and c == "probability")]
-    return chosen.select(*own, *([F.col("p").alias("probability")] if detail else []))
+
+    def chosen(df: DataFrame, at: Callable[[str], str]) -> DataFrame:
+        value = {d: F.coalesce(F.col(at(n)).cast("string"), F.lit("\x00null")) for d, n in dims.items()}
+        cells = cut(df.groupBy(*[v.alias(d) for d, v in value.items()]).agg(F.sum(at(tokens)).alias("tokens")))
+        wanted = {d: targets[n] for d, n in dims.items()}
+        weighted = rake(cells, wanted, tolerance=tolerance)
+        if fit_full:
+            weighted = refit(weighted, wanted, keep, tolerance=max(tolerance, 1e-7))
+        rates = cut(sampling_rates(weighted, keep).select(*dims, "p"))
+        few = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+        rows = df.withColumns(value)
+        joined = rows.join(F.broadcast(rates), list(dims)) if few else join_dealt(rows, rates, list(dims))
+        return joined.where(unit_hash(F.col(at(key)), salt) < F.col("p")).withColumn("probability", F.col("p"))
+
+    return beside(docs, ["probability"], chosen) if detail else filtered(docs, lambda df, at: chosen(df, lambda c: at(named(docs, c))), F.lit(True))
