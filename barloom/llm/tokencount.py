@@ -17,13 +17,18 @@ LONGEST_KEPT = 64
 
 
 def unigram_vocabulary(path: str = PIECES) -> list[tuple[str, float]]:
-    """A public vocabulary file as (piece, log probability): the file gives pieces by rank, and Zipf's law gives rank r the probability 1 / (r H)."""
+    """A public vocabulary file as (piece, log probability): the file gives pieces by rank, and Zipf's law gives rank r the probability 1 / (r H).
+
+    Control, unknown and byte pieces are no text: they are left out, so that ``<s>`` in a text counts as its letters. Bytes are counted for letters
+    without a piece.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     total = math.log(sum(1 / r for r in range(1, n + 1)))
-    return [(model.id_to_piece(i), -math.log(i + 1) - total) for i in range(n)]
+    text = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return [(model.id_to_piece(i), -math.log(i + 1) - total) for i in text]
 
 
 def words_of(text: str) -> list[str]:
@@ -49,7 +54,7 @@ class Viterbi:
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
+        self.unknown = min((score for _, score in vocabulary), default=0.0) - UNKNOWN_PENALTY
 
     def count(self, word: str) -> int:
         n = len(word)
@@ -80,9 +85,9 @@ class Viterbi:
 
 
 def token_counts(df: DataFrame, text: str = "text", *, pieces: str = PIECES) -> DataFrame:
-    """Adds n_tokens (long) to every row, counted over its whole text; narrow, no shuffle. A column of that name gives way.
+    """Adds n_tokens (long) to every row, counted over its whole text; narrow, no shuffle. A column of that name, in any case, gives way.
 
-    Null and empty texts have 0. Counts of words are remembered per task, up to a fixed number.
+    Null and empty texts have 0, repeated rows the same number each, and an empty table gives an empty one. Counts of words are remembered per task, up to a fixed number.
     """
     vocabulary = df.sparkSession.sparkContext.broadcast(unigram_vocabulary(pieces))
 
