@@ -49,7 +49,7 @@ def test_url_filter_brute_force(spark):
         host, path = (m[1].lower(), m[2]) if m else ("", "")
         assert (r["host"], r["path"]) == (host, path)
         rule, verdict = brute_rule(host, path, rules)
-        assert (r["verdict"], len(r["rule"] or "")) == (verdict, len(rule or ""))
+        assert (r["verdict"], r["rule"]) == (verdict, rule)
 
 
 def test_url_filter_without_rules_or_urls(spark):
@@ -59,6 +59,13 @@ def test_url_filter_without_rules_or_urls(spark):
     assert urlfilter.url_filter(df.limit(0), rules).count() == 0
 
 
+def test_hot_keys_are_dealt(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("k"), "id").where("k < 2 OR id < 9")
+    table = spark.createDataFrame([(0, "a"), (2, "c")], "k long, v string")
+    got = common.join_dealt(rows, table, ["k"], hot=10)
+    assert collections.Counter((r["k"], r["v"]) for r in got.collect()) == {(0, "a"): 167, (1, None): 167, (2, "c"): 3}
+
+
 # HTML
 
 
@@ -74,6 +81,39 @@ def test_rendering(html, text):
     assert htmltext.render(htmltext.build(html)) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><caption>A long caption here</caption><tr><td>a<td>b</table>", "A long caption here\na  b"), ("<table><tr><td colspan=2>wide cell<td>c<tr><td>1<td>2<td>3</table>", "wide cell  c\n1  2  3"),
+        ("<table><tr><td rowspan=2>r<td>b<tr><td>c</table>", "r  b\n   c"), ("<table><tr><td rowspan=0>r<td>b<tr><td>c<tr><td>d</table>", "r  b\n   c\n   d"), ("x<plaintext><b>&amp;</plaintext>", "x\n\n<b>&amp;</plaintext>"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"), ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"), ("<ol start=4><li>a<li value=9>b<li>c</ol>", "4. a\n9. b\n10. c"),
+        ("<style>.x{display:none} p.y,#z{visibility:hidden}</style><p class=x>no<p class=y>no<p id=z>no<p>yes", "yes"), ("<style>.x{display:none}</style><p class='x' style='display:block'>shown", "shown"),
+        ("<!--<style>p{display:none}</style>--><style>@media print{p{display:none}} div p{display:none}</style><p>shown", "shown"), ("<style>p{display:none!important}</style><p style='display:block'>no</p>x", "x"),
+    ],
+)
+def test_rendering_of_layout_and_styles(html, text):
+    assert htmltext.render(htmltext.build(html)) == text
+
+
+def test_deep_lists_keep_their_markers():
+    page = "".join(f"<ul><li>item{i}" for i in range(150))
+    lines = htmltext.render(htmltext.build(page), len(page)).split("\n")
+    assert lines == ["  " * i + f"- item{i}" for i in range(150)]
+    deep = "<blockquote>x" * 20000
+    text = htmltext.render(htmltext.build(deep), len(deep))
+    assert text.split() == ["x"] * 20000 and len(text) < htmltext.LEAST_ROOM + 8 * len(deep)
+
+
+def test_a_very_long_cell_does_not_widen_every_row(spark):
+    page = f"<table><tr><td>{'y' * 20000}<td>end{'<tr><td>a<td>b' * 2000}</table>"
+    pages = spark.createDataFrame([(1, page, "mine"), (1, page, "mine")], "page_id int, html string, Text string")
+    rows = htmltext.extract_text(pages).collect()
+    lines = rows[0]["text"].split("\n")
+    assert rows[0] == rows[1] and rows[0].__fields__ == ["page_id", "html", "text"]
+    assert lines[0] == "y" * 20000 + "  end" and lines[1] == "a" + " " * 81 + "b" and len(rows[0]["text"]) < 5 * len(page)
+    assert htmltext.extract_text(pages.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
@@ -131,6 +171,28 @@ def test_language_of_held_out_texts(spark):
     assert r[0] > 0.95 and 0 <= r[1] <= r[2] <= 1
 
 
+def test_forward_sums_of_very_long_words():
+    import numpy as np
+
+    pieces = sorted(["▁", "a", "ab", "b", "ba"])
+    finder = langid.Pieces(pieces)
+    p = np.array([[1e-7, 0.3], [0.2, 1e-7], [0.1, 1e-7], [0.3, 0.2], [1e-7, 0.1], [1e-7, 1e-7]])
+    for word in ("ab" * 250, "b" * 500, "z" * 500 + "ab"):
+        marked = "▁" + word
+        for j in range(2):
+            table = dict(zip(pieces, p[:, j], strict=False))
+            log = [0.0] + [-np.inf] * len(marked)
+            for end in range(1, len(marked) + 1):
+                for k in (1, 2):
+                    piece = marked[end - k : end]
+                    q = table.get(piece, p[-1, j] if k == 1 and piece not in table else 0.0) if end >= k else 0.0
+                    if q:
+                        log[end] = np.logaddexp(log[end], log[end - k] + np.log(q))
+            assert np.isclose(langid.forward(finder, p, [word, "a"])[0, j], log[-1], rtol=1e-10)
+    counts = langid.expected_counts(finder, p[:, 0], ["ab" * 190], np.array([1.0]))
+    assert np.isclose(sum(c * len(x) for c, x in zip(counts, [*pieces, "z"], strict=True)), 381)
+
+
 def test_language_edges(spark):
     out = langid.language_of(edge_docs(spark), edge_docs(spark)).collect()
     assert len(out) == len(EDGES) and all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) for r in out)
@@ -191,6 +253,46 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] for r in toxic) > 0.8 * len(toxic) and sum(r["predicted"] for r in clean) < 0.03 * len(clean)
 
 
+def test_risk_and_gradient_brute_force():
+    """One step of the learner against the risk as the papers write it, differentiated by small differences."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for seed in range(6):
+        rows = [[sorted(rng.choice(7, rng.integers(0, 5), replace=False).tolist()) for _ in range(n)] for n in (9, 14)]
+        positive, unlabelled = (toxicity.Sparse(pa.array(r, pa.list_(pa.int32()))) for r in rows)
+        w, prior = rng.normal(0, 2, 8), float(rng.uniform(0.05, 0.9))
+        picks = rng.integers(0, 9, 5), rng.integers(0, 14, 8)
+        loss = lambda z: 1 / (1 + np.exp(z))
+        score = lambda w, ids: np.array([sum(w[i] for i in r) + w[-1] for r in ids])
+
+        def parts(w):
+            zp, zu = score(w, [rows[0][i] for i in picks[0]]), score(w, [rows[1][i] for i in picks[1]])
+            return prior * loss(zp).mean(), loss(-zu).mean() - prior * loss(-zp).mean()
+
+        gain = (lambda w: sum(parts(w))) if parts(w)[1] >= 0 else (lambda w: -parts(w)[1])
+        slow = np.array([(gain(w + d) - gain(w - d)) / 2e-6 for d in np.eye(8) * 1e-6])
+        assert np.allclose(toxicity.risk_gradient(w, positive.take(picks[0]), 5, unlabelled.take(picks[1]), 8, prior), slow, atol=1e-7)
+
+
+def test_counts_and_scores_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcxyz") for _ in range(rng.randint(1, 8)))
+    rows = [(rng.random() < 0.5, " ".join(word() for _ in range(rng.randint(0, 30)))) for _ in range(60)]
+    parts = lambda t: {xxh(p) for w in set(t.split()) for p in (w, *(w[:k] + "-" for k in range(3, 7) if len(w) >= k))}
+    xxh = lambda p: __import__("xxhash").xxh32(p.encode()).intdigest() % (1 << toxicity.BITS)
+    expected = collections.Counter((f, y) for y, t in rows for f in parts(t))
+    df = spark.createDataFrame(rows, "positive boolean, text string").repartition(3)
+    got = toxicity.feature_counts(df).collect()
+    assert {(r["feature"], y): n for r in got for y, n in ((True, r["positive"]), (False, r["unlabelled"])) if n} == expected
+    weights = {f: rng.uniform(-2, 2) for f, _ in expected if rng.random() < 0.5}
+    model = spark.sparkContext.broadcast({"weights": weights, "bias": -0.3})
+    for r in toxicity.score(df, model).collect():
+        z = -0.3 + sum(weights.get(f, 0.0) for f in parts(r["text"]))
+        assert abs(r["score"] - 1 / (1 + 2.718281828459045**-z)) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+
+
 def test_quality_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
@@ -240,6 +342,18 @@ def test_mix_meets_its_margins(spark):
     assert mixing.mix(df.withColumn("n", F.lit(0)), {"source": 0.5}, tokens="n").count() == 0
 
 
+def test_slow_margins_are_met(spark):
+    """A nearly empty cell makes the fitting slow; it goes on until the margins are met, or can't be."""
+    cells = spark.createDataFrame([("a", "x", 1_000_000), ("a", "y", 1), ("b", "x", 1), ("b", "y", 1000), ("c", "x", 500), ("c", "y", 3)], "s string, l string, tokens long")
+    targets = {"s": {"a": 0.2, "b": 0.5, "c": 0.3}, "l": {"x": 0.4, "y": 0.6}}
+    out = mixing.rake(cells, targets)
+    for d, target in targets.items():
+        sums = {r[d]: r["w"] for r in out.groupBy(d).agg(F.sum("weight").alias("w")).collect()}
+        assert all(abs(sums[v] / sum(sums.values()) - t) < 1e-6 for v, t in target.items())
+    apart = spark.createDataFrame([("a", "x", 5), ("b", "y", 5)], "s string, l string, tokens long")
+    assert mixing.rake(apart, {"s": {"a": 0.9, "b": 0.1}, "l": {"x": 0.5, "y": 0.5}}).count() == 2
+
+
 def test_pipeline_mix_reaches_its_margins(spark):
     """Expected shares per value against the nearest ones that a sample of KEEP of all tokens can have."""
     import corpus_pipeline as p
@@ -292,6 +406,20 @@ def test_lines_that_go(spark):
     assert r["clean_text"].startswith(good) and "Menu" not in r["clean_text"]
 
 
+@pytest.mark.parametrize("sentence", ["今天的天气很好，我们一起去公园散步吧。", "यह एक साधारण वाक्य है जो किसी बात के बारे में कुछ बताता है।", "هل هذا نص بسيط يقول شيئا عن لا شيء على وجه الخصوص؟", "今日は良い天気です。「散歩に行きましょう」"])
+def test_sentences_of_other_scripts_stay(spark, sentence):
+    text = "\n".join(f"{i} {sentence}" for i in range(60))
+    r = linerules.line_rules(spark.createDataFrame([(text,)], "text string")).first()
+    assert r["n_lines_kept"] == 60
+
+
+def test_rules_of_clashing_and_empty_tables(spark):
+    df = edge_docs(spark).withColumns({"Kept": F.lit("mine"), "__w": F.lit(1), "N_Words": F.lit(2)})
+    out = linerules.line_rules(df)
+    assert [c for c in out.columns if c.lower() in ("kept", "n_words")] == ["n_words", "kept"] and "__w" in out.columns
+    assert out.count() == len(EDGES) and linerules.line_rules(df.limit(0)).count() == 0
+
+
 # Near-duplicates
 
 
@@ -343,6 +471,24 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_a_hot_hub_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 4)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[:79], f"x{i}"])) for i in range(40)] + [(99, "other words that are like nothing else here")]
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {**{i: 0 for i in range(40)}, 99: 99}
+
+
+def test_one_row_of_each_group_stays(spark):
+    copy = "one two three four five six seven eight"
+    rows = [(5, copy, "a"), (5, copy, "a"), (None, copy + " ", "b"), (7, copy.upper(), "c"), (None, "lone words without a key", "d"), (None, "lone  words without a key", "e"), (8, "", "f"), (8, None, "g"), (9, "", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Kept string")
+    out = neardup.one_of_each(df).collect()
+    assert sorted(r["Kept"] for r in out if r["Kept"] in "fgh") == ["f", "g", "h"] and sum(r["Kept"] == "a" for r in out) == 1
+    assert len(out) == 5 and sum(r["Kept"] in "de" for r in out) == 1 and out[0].__fields__ == df.columns
+    assert neardup.one_of_each(df.limit(0)).count() == 0
+
+
 def test_odd_sketches_estimate_similarity():
     import numpy as np
 
@@ -360,18 +506,30 @@ def test_odd_sketches_estimate_similarity():
 
 
 def test_counts_equal_the_tokenizer():
+    """The library's unigram model also finds its unknown and byte pieces in a text, which are no text; so texts that spell them are left to the next test."""
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     vocabulary = tokencount.unigram_vocabulary()
-    exact = Tokenizer(models.Unigram(vocabulary, 0, True))
+    spelled = [("<unk>", min(s for _, s in vocabulary)), *((f"<0x{b:02X}>", -1e9) for b in range(256))]
+    exact = Tokenizer(models.Unigram(spelled + vocabulary, 0, True))
     exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
     rng = random.Random(6)
-    texts = ["".join(rng.choice("aeit ▁\n<s>0xAhello日本語😀é the  ") for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["", " ", "  ", "a", "▁", "日日日", "<0x0A>", "z" * 3000]
+    texts = ["".join(rng.choice("aeit ▁\nsAxhello日本語😀é the  ") for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["", " ", "  ", "a", "▁", "日日日", "z" * 3000]
     viterbi = tokencount.Viterbi(vocabulary)
+    viterbi.unknown = -1e9 - tokencount.UNKNOWN_PENALTY  # what the library derives from its least score
     for t, e in zip(texts, exact.encode_batch(texts, add_special_tokens=False), strict=True):
         assert sum(viterbi.count(w) for w in tokencount.words_of(t)) == len(e.ids), t
 
 
+def test_control_and_byte_pieces_are_no_text():
+    vocabulary = tokencount.unigram_vocabulary()
+    pieces = {p for p, _ in vocabulary}
+    assert not pieces & {"<s>", "</s>", "<unk>", "<0x0A>", "<0xFF>"} and len(pieces) > 30000
+    viterbi = tokencount.Viterbi(vocabulary)
+    assert viterbi.count("▁<s>") > 1 and viterbi.count("▁<0x0A>") > 3
+    assert viterbi.count("▁日\U0001F9FF") == viterbi.count("▁日") + 4
+
+
 def test_ties_go_to_the_earlier_start():
     v = [("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("▁ab", -3.0)]
     from tokenizers import Tokenizer, models
@@ -384,6 +542,48 @@ def test_ties_go_to_the_earlier_start():
 def test_token_count_edges(spark):
     out = tokencount.token_counts(edge_docs(spark).withColumn("n_tokens", F.lit("mine"))).collect()
     assert len(out) == len(EDGES) and all((r["n_tokens"] == 0) == (not r["text"]) for r in out)
+    clash = edge_docs(spark).withColumns({"N_Tokens": F.lit("mine"), "__text": F.lit("x")})
+    assert tokencount.token_counts(clash).columns == [*clash.columns[:-2], "__text", "n_tokens"] and tokencount.token_counts(clash.limit(0)).count() == 0
+
+
+# Names that clash, and sessions without a shared folder
+
+
+def test_clashing_names_in_every_operator(spark):
+    docs = edge_docs(spark).withColumns({c: F.lit("mine") for c in ("Kept", "Score", "Lang_Pred", "Predicted", "Items", "__text", "__h", "__w", "__hash", "Probability", "node", "id")})
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (4, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "the quick brown fox")], "item_id long, text string")
+    share = lambda m: spark.sparkContext.broadcast(m)
+    made = {
+        "lang_pred": langid.language_of(docs, docs), "predicted": toxicity.score(docs, share(toxicity.train(docs, labels))), "score": quality.score(docs, share(quality.train(docs, labels))),
+        "items": decontam.find_leaks(docs, bench), "kept": neardup.near_duplicates(docs), "probability": mixing.mix(docs, {"source": 0.5}, tokens="n_chars", keep=1.0, detail=True),
+    }
+    for new, out in made.items():
+        assert [c.lower() for c in out.columns].count(new) == 1 and new in out.columns and {"__text", "__h", "__w", "node", "id"} <= set(out.columns), new
+        assert all(r["__text"] == "mine" for r in out.collect()) and out.count() >= len(EDGES) - 2, new
+    urls = spark.createDataFrame([("http://a.b/c", 1, 2, 3)], "url string, Host int, __h int, PATH int")
+    out = urlfilter.url_filter(urls, spark.createDataFrame([("block", "b", "/c")], "verdict string, host string, path string"))
+    assert out.columns == ["url", "__h", "host", "path", "rule", "verdict"] and out.first()["rule"] == "b/c"
+
+
+def test_a_shared_folder_is_asked_for(spark, monkeypatch):
+    class Context:
+        master, folder = "spark://somewhere:7077", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, d):
+            self.folder = d
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.scratch_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    first = common.scratch_dir(Session())
+    assert first.rsplit("/", 1)[0] == common.scratch_dir(Session()).rsplit("/", 1)[0] == Session.sparkContext.folder
 
 
 # Queries and pipeline
