@@ -19,6 +19,8 @@ FIRST_BANDS = 8
 """Bands of the first round of hubs: it joins most copies, so that later rounds have few to compare."""
 SKETCH_BITS = 512
 SHINGLE = 5
+WORTH = 0.25
+"""Hubs are tried again as long as so many of the pairs that sketches let through are confirmed."""
 HOT = 256
 """Partners of a hub that one task is given at a time."""
 
@@ -131,18 +133,18 @@ def occurrences(texts: DataFrame) -> DataFrame:
 
 
 def rare_shingles(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node, n, short): of each node's set those rarest shingles of which two similar sets must have one in common.
+    """(shingle, node, n, left): of each node's set those rarest shingles of which two similar sets must have one in common.
 
-    Shingles are ordered by the number of sets that have them. The larger of two similar sets has a common one among its first
-    n - percent * n + 1, the smaller, whose n is at most the overlap's share of both, among fewer (``short``). Shingles of one set come first, but
-    are not returned.
+    Shingles are ordered by the number of sets that have them. Two sets whose overlap is at least percent * n of the larger one have a common shingle
+    among the first n - percent * n + 1 of each; ``left`` is how many of its set stand from it on, so that the overlap of two sets whose first
+    common shingle it is can't be larger. Shingles of one set come first, but are not returned.
     """
     every = cut(occurrences(texts))
     shared = every.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
     common = every.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("common")).join(sizes, "node")
-    first = lambda share, whole: F.greatest(F.size("common") + 1 - F.ceil(F.lit(share) * F.col("n") / whole), F.lit(0)).cast("int")
-    rows = common.select("node", "n", first(2 * percent, 100 + percent).alias("brief"), F.posexplode(F.slice("common", 1, first(percent, 100))).alias("at", "rare"))
-    return rows.select("rare.shingle", "node", "n", (F.col("at") < F.col("brief")).alias("short"))
+    first = F.greatest(F.size("common") + 1 - F.ceil(F.lit(percent) * F.col("n") / 100), F.lit(0)).cast("int")
+    rows = common.select("node", "n", F.size("common").alias("size"), F.posexplode(F.slice("common", 1, first)).alias("at", "rare"))
+    return rows.select("rare.shingle", "node", "n", (F.col("size") - F.col("at")).alias("left"))
 
 
 def odd_bits(a: Column, b: Column, bits: int = SKETCH_BITS) -> Column:
@@ -233,32 +235,37 @@ def verdicts(located: DataFrame, percent: int, hub_rounds: int) -> DataFrame:
     limit = most_odd_bits(percent / 100)
     sketch = sketches.select("node", "sketch", "n")
 
-    def found(pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes, odd sketches and then the full sets confirm."""
+    def found(pairs: DataFrame) -> tuple[DataFrame, float]:
+        """Pairs that sizes, odd sketches and then the full sets confirm, and their share of those that the sketches let through."""
         a, b = sketch.toDF("a", "sa", "na"), sketch.toDF("b", "sb", "nb")
         sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         close = cut(pairs.join(a, "a").join(b, "b").where(sized & (odd_bits(F.col("sa"), F.col("sb")) <= limit)).select("a", "b"))
         links = cut(confirmed(close, texts, percent))
+        share = links.count() / max(1, close.count())
         forget(close)
-        return links
+        return links, share
 
-    labels, links = None, None
-    for turn in range(hub_rounds + 1):
-        some = members.where(F.col("band") < FIRST_BANDS) if turn == 0 < hub_rounds else members
+    labels, links, turn, hubs = None, None, 0, hub_rounds > 0
+    while True:
+        some = members.where(F.col("band") < FIRST_BANDS) if hubs and turn == 0 else members
         now = some.withColumn("label", F.col("node")) if labels is None else some.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         pick = F.struct(F.xxhash64("node", F.lit(turn)), "node")
         parts = now.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.min(pick).alias("pick"))
         major = parts.groupBy("bucket").agg(F.max(F.struct("size", "label", "pick.node")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("m.label").alias("major"), F.col("m.node").alias("hub"))
-        if turn < hub_rounds:
+        if hubs:
             met = now.join(major, "bucket").where("label != major")
             pairs = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         else:
             left = cut(now.join(major, "bucket").select("node", "label").distinct())
             pairs = by_rare_shingles(narrowed(texts, F.col("node"), left, F.col("node")).join(left, "node", "left_semi"), left, sketch.select("node", "n"), percent)
-        new = found(pairs)
+        new, share = found(pairs)
         before, links = links, new if links is None else cut(links.unionByName(new))
         labels_before, labels = labels, connected(links, labels)
         forget(*[t for t in (before, labels_before, new) if t is not None and t is not links])
+        if not hubs:
+            break
+        turn += 1
+        hubs = turn < hub_rounds or share > WORTH
 
     least = nodes.join(labels, "node").groupBy("label").agg(F.min("id").alias("least"))
     classes = nodes.join(labels, "node", "left").join(least, "label", "left").select("digest", F.coalesce("least", "id").alias("component"), F.coalesce("label", "node").alias("group"))
@@ -276,12 +283,11 @@ def by_rare_shingles(texts: DataFrame, labels: DataFrame, sizes: DataFrame, perc
     parts = rows.groupBy("shingle", "label").agg(F.count("*").alias("size"))
     major = parts.groupBy("shingle").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("shingle", F.col("m.label").alias("major"))
     marked = cut(narrowed(rows, F.col("shingle"), major, F.col("shingle")).join(major, "shingle"))
-    x = marked.where("label != major").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "short")])
-    y = marked.withColumn("main", F.col("label") == F.col("major")).select(F.col("shingle").alias("other"), *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "short", "main")])
-    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
-    fits = (F.col("shingle") == F.col("other")) & (F.col("label_x") != F.col("label_y")) & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
-    sized = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    return x.join(y, fits & sized & F.when(smaller, F.col("short_x")).otherwise(F.col("short_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    x = marked.where("label != major").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "left")])
+    y = marked.withColumn("main", F.col("label") == F.col("major")).select(F.col("shingle").alias("other"), *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "left", "main")])
+    apart = (F.col("label_x") != F.col("label_y")) & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
+    enough = (100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    return x.join(y, (F.col("shingle") == F.col("other")) & apart & enough).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def judged_rows(df: DataFrame, text: str, key: str, percent: int, hub_rounds: int) -> DataFrame:
@@ -302,7 +308,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
 
     Texts with one set are one node, so exact copies never form pairs. Nodes that share a band stand in a bucket. Rather than
     all pairs of a bucket, each round takes a hub from each bucket's largest component and compares it with the nodes of others; links
-    merge components, and buckets of one component are done. The nodes of buckets that still have several after ``hub_rounds`` meet where they
+    merge components, and buckets of one component are done. After ``hub_rounds`` it goes on while hubs still find many links (WORTH); the nodes
+    of buckets that then have several components meet where they
     share one of their rarest shingles, as every similar pair does (``by_rare_shingles``). Odd sketches and set sizes settle
     most comparisons; the rest are confirmed on the full sets, a hub with many partners by several tasks (``with_text``).
     """
