@@ -18,29 +18,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 BARS_SQL = """SELECT event_type AS ticker, date_trunc('hour', ts)::TIMESTAMP AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume
 FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL"""
 USER_BARS_SQL = BARS_SQL.replace("event_type", "user_id::VARCHAR", 1).replace("event_type", "user_id").replace("'hour'", "'day'")
-FRAME = 250
-FRAME_SQL = f"SELECT * FROM ({BARS_SQL}) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) <= {FRAME}"
-
-MACD = {"fastperiod": 12, "slowperiod": 26, "signalperiod": 9}
-# Parameters with which each indicator is registered; what isn't named takes only a period of 15.
-PARAMETERS: dict[str, dict] = {
-    **{n: {"series_type": s, "time_period": 15} for n, s in (("SMA", "OPEN"), ("EMA", "HIGH"), ("WMA", "LOW"), ("DEMA", "CLOSE"), ("TEMA", "LOW"), ("TRIMA", "CLOSE"), ("T3", "OPEN"), ("RSI", "LOW"), ("CMO", "OPEN"), ("ROC", "OPEN"), ("ROCR", "CLOSE"), ("MOM", "LOW"), ("TRIX", "CLOSE"), ("MIDPOINT", "HIGH"))},
-    "FAMA": {"time_period": 15, "slowlimit": 0.1, "series_type": "OPEN"}, "MAMA": {"time_period": 15, "fastlimit": 0.1, "series_type": "OPEN"},
-    **{n: {"series_type": s, **MACD} for n, s in (("MACD_MACD", "HIGH"), ("MACD_SIGNAL", "HIGH"), ("MACD_HIST", "LOW"), ("MACDEXT_MACD", "OPEN"), ("MACDEXT_SIGNAL", "CLOSE"), ("MACDEXT_HIST", "CLOSE"))},
-    "ADOSC": {"fastperiod": 12, "slowperiod": 26}, "APO": {"series_type": "LOW", "fastperiod": 12, "slowperiod": 26, "matype": 1}, "PPO": {"series_type": "CLOSE", "fastperiod": 12, "slowperiod": 26, "matype": 1},
-    "STOCH_SLOWK": {"fastkperiod": 17, "slowkperiod": 7, "slowkmatype": 1}, "STOCH_SLOWD": {"fastkperiod": 5, "slowkperiod": 7, "slowdperiod": 7, "slowkmatype": 1, "slowdmatype": 1},
-    "STOCHF_FASTK": {"fastkperiod": 17}, "STOCHF_FASTD": {"fastkperiod": 5, "fastdperiod": 3, "fastdmatype": 1},
-    "STOCHRSI_FASTK": {"time_period": 15, "series_type": "CLOSE", "fastkperiod": 5}, "STOCHRSI_FASTD": {"time_period": 15, "series_type": "HIGH", "fastkperiod": 17, "fastdperiod": 5, "fastdmatype": 1},
-    **{n: {"series_type": s, "time_period": 15, "nbdevup": 2, "nbdevdn": 2, "matype": 1} for n, s in (("BBANDS_RMB", "OPEN"), ("BBANDS_RUB", "LOW"), ("BBANDS_RLB", "HIGH"))},
-    "ULTOSC": {"timeperiod1": 7, "timeperiod2": 13, "timeperiod3": 29}, "SAR": {"acceleration": 0.02, "maximum": 0.2},
-    **{n: {"series_type": s} for n, s in (("HT_DCPERIOD", "HIGH"), ("HT_DCPHASE", "LOW"), ("HT_PHASOR_PHASE", "CLOSE"), ("HT_PHASOR_QUADRATURE", "OPEN"), ("HT_SINE_LEAD_SINE", "CLOSE"), ("HT_SINE_SINE", "CLOSE"), ("HT_TRENDLINE", "HIGH"), ("HT_TRENDMODE", "LOW"))},
+PRICES = ["OPEN", "HIGH", "LOW", "CLOSE"]
+SINGLE: dict[str, object] = {
+    "time_period": 10, "fastperiod": 8, "slowperiod": 21, "signalperiod": 6, "fastkperiod": 9, "slowkperiod": 4, "slowdperiod": 4, "fastdperiod": 4, "timeperiod1": 6, "timeperiod2": 12, "timeperiod3": 24,
+    "fastlimit": 0.4, "slowlimit": 0.06, "acceleration": 0.03, "maximum": 0.25, "nbdevup": 1.5, "nbdevdn": 2.5,
 }
+"""Values of all parameters; an indicator reads those it has."""
 CUMULATIVE = {"AD", "ADOSC", "OBV", "HT_DCPERIOD", "HT_DCPHASE"}
 """Rounded to 4 digits: sums over whole series."""
 
 
 def parameters(name: str) -> dict:
-    return PARAMETERS.get(name, {"time_period": 15})
+    """What an indicator is registered with: SINGLE, and by its place among all the price and the kinds of average, so that each of these has its turn."""
+    place = list(indicators.INDICATORS).index(name)
+    kinds = {kind: (place + i) % 9 for i, kind in enumerate(("matype", "slowkmatype", "slowdmatype", "fastdmatype"))}
+    return SINGLE | {"series_type": PRICES[place % 4]} | kinds
 
 
 def digits(name: str) -> int:
@@ -57,7 +49,7 @@ def indicator_query(name: str) -> Query:
 
 def indicator_sql(name: str) -> str:
     g = Graph()
-    return duck.sql(FRAME_SQL if name.startswith("HT_") else BARS_SQL, {"value": indicators.build(g, name, parameters(name))}, digits(name))
+    return duck.sql(BARS_SQL, {"value": indicators.build(g, name, parameters(name))}, digits(name))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import BARS_SQL, FRAME_SQL, PARAMETERS, USER_BARS_SQL
+from .catalog import BARS_SQL, USER_BARS_SQL, parameters
 from .functions.safe import clean_zero
 from .operators import cleaning, evaluate, indicators, scans, signals
 from .plans import duck, features
 from .plans.graph import Graph
 from .sources import bars as B
 from .sources import payloads, specs
+from .sources.scratch import scratch
 from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +22,6 @@ PRICES = ["open", "high", "low", "close"]
 SHOWN = [*PRICES, "volume"]
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-")
-    return f"{top.rstrip('/')}/barloom-{uuid.uuid4().hex}"
-
-
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     return df.select(*[clean_zero(F.col(c), digits).alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -115,6 +108,52 @@ p AS time_period, 'CLOSE' AS series_type, CASE n WHEN 4 THEN 'no function' WHEN
 FROM (SELECT DISTINCT event_type, event_id % 5 AS n, CASE event_id % 5 WHEN 3 THEN 'x' ELSE (event_id % 5)::VARCHAR END AS p FROM events)"""
 
 
+def tracked_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the users that a table of tickers names: those with an event of over 200."""
+    named = spark.read.parquet(f"{sf_dir}/events.parquet").where("value > 200").select(F.col("user_id").cast("string").alias("ticker"))
+    return rounded(payloads.tracked(B.bars_users(spark, sf_dir), named), SHOWN)
+
+
+TRACKED_SQL = f"SELECT ticker, ts, {rounded_sql(SHOWN)} FROM ({USER_BARS_SQL}) WHERE ticker IN (SELECT user_id::VARCHAR FROM events WHERE value > 200)"
+
+
+def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written to folders per ticker, and read again."""
+    path = scratch(spark)
+    B.write_bars(B.bars_events(spark, sf_dir), path)
+    return rounded(B.read_bars(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz")), SHOWN)
+
+
+def written_json(spark: SparkSession, rows: DataFrame) -> str:
+    """One JSON object, from rows of (k, v), as a file in a folder of its own."""
+    path = scratch(spark)
+    rows.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).write.text(path)
+    return path
+
+
+def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of event types: what each is asked with and what it gives, from two JSON files; one type in each file only."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null")
+    kinds = e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("user_id").alias("u"))
+    asked = kinds.where("event_type <> 'error'").select(F.col("event_type").alias("k"), F.create_map(F.lit("interval"), F.lit("1min"), F.lit("size"), F.col("n").cast("string")).alias("v"))
+    given = kinds.where("event_type <> 'view'").select(F.col("event_type").alias("k"), F.when(F.col("event_type") == "click", F.array(F.lit("A"), F.col("u").cast("string"))).otherwise(F.array("event_type")).alias("v"))
+    found = specs.indicator_catalog(spark, written_json(spark, asked), written_json(spark, given))
+    at = lambda k: F.try_element_at("request", F.lit(k))
+    return found.select("function", at("interval").alias("interval"), at("size").alias("size"), F.concat_ws(",", "outputs").alias("outputs"))
+
+
+CATALOG_SQL = """SELECT event_type AS function, CASE WHEN event_type <> 'error' THEN '1min' END AS interval, CASE WHEN event_type <> 'error' THEN count(*)::VARCHAR END AS size,
+CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN 'A,' || min(user_id)::VARCHAR ELSE event_type END AS outputs FROM events WHERE event_type IS NOT NULL GROUP BY event_type"""
+
+
+def report_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report with one number per event type, written as JSON and read again."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null")
+    path = written_json(spark, e.groupBy("event_type").agg(F.count("*").alias("v")).select(F.col("event_type").alias("k"), "v"))
+    row = specs.report(spark, path)
+    return row.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast("long").alias("v")) for c in row.columns]))).alias("name", "n"))
+
+
 # Cleaning
 
 
@@ -170,6 +209,23 @@ def chunked_ema_sql() -> str:
     return duck.sql(BARS_SQL, {"value": indicators.build(Graph(), "EMA", {"time_period": 15, "series_type": "CLOSE"})})
 
 
+ONE_TICKER_SQL = BARS_SQL.replace("event_type AS ticker", "'all' AS ticker").replace("event_type IS NOT NULL AND ", "")
+LONG = ["RSI", "T3", "STOCH_SLOWK", "VWAP", "OBV", "AROONOSC", "CMO", "ADXR", "SAR", "ADOSC"]
+
+
+def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of all events as one ticker, in blocks of 64 bars: no task holds the whole of it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bars = B.bars_from_ticks(e, F.lit("all"), F.col("ts"), F.date_trunc("hour", "ts").cast(dict(e.dtypes)["ts"]), F.col("value"), F.lit(1.0), [(F.col("event_id"), 63)])
+    wanted = {n.lower(): (n, parameters(n)) for n in LONG}
+    return rounded(indicators.series(bars, wanted, block=64).select("ticker", "ts", *wanted), list(wanted), 4)
+
+
+def long_series_sql() -> str:
+    g = Graph()
+    return duck.sql(ONE_TICKER_SQL, {n.lower(): indicators.build(g, n, parameters(n)) for n in LONG}, 4)
+
+
 # Features
 
 CHOSEN = ["CLOSE", "SMA", "RSI", "MACD_SIGNAL", "BOP", "OBV", "AROONOSC", "WILLR", "VWAP", "ULTOSC"]
@@ -177,7 +233,7 @@ DEPTH = 60
 
 
 def chosen_specs() -> list[tuple[str, dict]]:
-    return [(n, dict(PARAMETERS.get(n, {"time_period": 15}))) for n in CHOSEN]
+    return [(n, dict(parameters(n))) for n in CHOSEN]
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +256,54 @@ p AS (SELECT ticker, feature, unnest(range({DEPTH})) AS pos, last FROM z)
 SELECT p.ticker, p.feature, pos::INTEGER AS pos, round(((v - last) / s)::FLOAT::DOUBLE, 3) + 0.0 AS value FROM p LEFT JOIN t ON t.ticker = p.ticker AND t.feature = p.feature AND t.n = {DEPTH} - pos"""
 
 
+def every_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context window of every bar and feature, told by its number of values, its oldest and next to last value, and its mean."""
+    table, plan = features.wide(B.bars_events(spark, sf_dir), chosen_specs())
+    held = features.contexts(table, plan, DEPTH)
+    valid = F.filter("context", lambda x: x.isNotNull())
+    mean = F.aggregate(valid, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.nullif(F.size(valid), F.lit(0))
+    out = held.select("ticker", "ts", "feature", F.size(valid).cast("double").alias("n_values"), F.col("context")[0].cast("double").alias("oldest"), F.col("context")[DEPTH - 2].cast("double").alias("before"), mean.alias("mean"))
+    return rounded(out, ["oldest", "before", "mean"], 3)
+
+
+def every_context_sql() -> str:
+    part = "PARTITION BY ticker ORDER BY ts"
+    long = " UNION ALL ".join(
+        f"SELECT ticker, ts, 'f{i}' AS feature, f{i} AS last, {indicators.scale_of(name)!r} AS s, list(f{i}) OVER ({part} ROWS {DEPTH - 1} PRECEDING) AS v, lag(f{i}, {DEPTH - 1}) OVER ({part}) AS a, lag(f{i}, 1) OVER ({part}) AS b FROM w" for i, name in enumerate(CHOSEN)
+    )
+    value = lambda x: f"round((({x} - last) / s)::FLOAT::DOUBLE, 3) + 0.0"
+    return f"""WITH w AS ({chosen_wide_sql()}), l AS ({long}), c AS (SELECT *, list_filter(list_transform(v, lambda x: ((x - last) / s)::FLOAT::DOUBLE), lambda x: x IS NOT NULL) AS held FROM l)
+SELECT ticker, ts, feature, len(held)::DOUBLE AS n_values, {value('a')} AS oldest, {value('b')} AS before, round(list_sum(held) / nullif(len(held), 0), 3) + 0.0 AS mean FROM c"""
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of each time at which a last context ends: its columns' names and values, one row per value."""
+    table, plan = features.wide(B.bars_events(spark, sf_dir), chosen_specs()[:4])
+    m = features.context_matrix(features.last_contexts(table, plan, DEPTH))
+    columns = m.select("ts", F.posexplode(F.arrays_zip("features", "matrix")).alias("place", "c"))
+    cells = columns.select("ts", "place", F.col("c.features").alias("feature"), F.posexplode("c.matrix").alias("pos", "value"))
+    return rounded(cells.withColumn("value", F.col("value").cast("double")), ["value"], 3)
+
+
+def matrix_sql() -> str:
+    return f"""WITH k AS ({contexts_sql()}), e AS (SELECT ticker, max(ts) AS ts FROM ({BARS_SQL}) GROUP BY 1), p AS (SELECT ts, ticker, feature, (row_number() OVER (PARTITION BY ts ORDER BY feature, ticker) - 1)::INTEGER AS place FROM e, (SELECT DISTINCT feature FROM k))
+SELECT ts, place, feature, pos, value FROM k JOIN p USING (ticker, feature) WHERE feature IN ('f0', 'f1', 'f2', 'f3')""".replace("FROM e, (SELECT DISTINCT feature FROM k)", "FROM e, (SELECT DISTINCT feature FROM k WHERE feature IN ('f0', 'f1', 'f2', 'f3'))")
+
+
+TICKERS = ["click", "purchase", "signup"]
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close and SMA of three tickers side by side by time."""
+    table = indicators.series(B.bars_events(spark, sf_dir), {"sma": ("SMA", {"time_period": 10, "series_type": "CLOSE"})})
+    out = features.aligned(table, TICKERS, ["close", "sma"])
+    return rounded(out, [f"{t}_{c}" for t in TICKERS for c in ("close", "sma")])
+
+
+ALIGNED_SQL = f"""WITH b AS (SELECT ticker, ts, close, CASE WHEN count(*) OVER w = 10 THEN avg(close) OVER w END AS sma FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS 9 PRECEDING))
+SELECT ts, {', '.join(f"round(max({c}) FILTER (ticker = '{t}'), 6) + 0.0 AS {t}_{c}" for t in TICKERS for c in ("close", "sma"))} FROM b WHERE ticker IN ('click', 'purchase', 'signup') GROUP BY ts"""
+
+
 def feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of parsed specs, each for its ticker, summed up per feature."""
     b = B.bars_events(spark, sf_dir)
@@ -223,8 +327,8 @@ def framed(spark: SparkSession, sf_dir: str, *frame: int) -> DataFrame:
 
 
 def frame_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RSI and EMA that start anew in each frame of 100 bars, an anchor every 50 bars."""
-    return framed(spark, sf_dir, 100, 50)
+    """RSI and EMA of each bar, started anew over the 100 bars that end there."""
+    return framed(spark, sf_dir, 100, 1)
 
 
 def frame_mode_every_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +336,7 @@ def frame_mode_every_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed(spark, sf_dir)
 
 
-def frame_mode_sql(size: int = 100, every: int = 50) -> str:
+def frame_mode_sql(size: int = 100, every: int = 1) -> str:
     g = Graph()
     base = f"""SELECT b.* REPLACE (b.ticker || '@' || a.ts::VARCHAR AS ticker), a.ts AS anchor, b.ticker AS t FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM ({BARS_SQL})) b
 JOIN (SELECT ticker, ts, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM ({BARS_SQL})) a ON a.ticker = b.ticker AND a.i % {every} = 0 AND b.i BETWEEN a.i - {size - 1} AND a.i"""
@@ -262,7 +366,7 @@ FROM (SELECT *, round(close + 0.05, 2) AS entry FROM ({SCORES_SQL}) WHERE profit
 
 
 def exits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.first_exits(entries(spark, sf_dir), B.bars_events(spark, sf_dir), bucket="day", horizon_buckets=1)
+    return signals.first_exits(entries(spark, sf_dir), B.bars_events(spark, sf_dir), bucket="hour")
 
 
 EXITS_SQL = f"""SELECT ticker, ts, entry, tp, sl, sl_limit, maturity, x.at AS exit_ts, CASE WHEN x.close >= tp THEN tp WHEN x.close <= sl THEN sl ELSE x.close END AS exit_price,
@@ -294,6 +398,15 @@ SELECT id AS transaction_id, ts AS "time_UTC", ticker, round(entry, 6) AS curren
 UNION ALL SELECT id + CASE exit_type WHEN 'tp' THEN 1 WHEN 'sl' THEN 2 ELSE 3 END, exit_ts, ticker, round(exit_price, 6), 'sell', 2, exit_type, id, NULL, NULL, NULL, NULL, NULL, NULL FROM t WHERE exit_ts IS NOT NULL"""
 
 
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger appended to a CSV folder in two parts, and read again."""
+    path, rows = scratch(spark), signals.transactions(taken(spark, sf_dir))
+    specs.append_ledger(rows.where("transaction_type = 'buy'"), path)
+    specs.append_ledger(rows.where("transaction_type <> 'buy'"), path)
+    back = specs.read_ledger(spark, path).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("time_UTC", "child_maturity_UTC")})
+    return as_doubles(rounded(back, ["current_price", "child_tp_price", "child_sl_price"]), IDS)
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ledger(spark, sf_dir)
     side = F.when(F.col("transaction_type") == "buy", "BOT").otherwise("SLD")
@@ -414,11 +527,47 @@ r AS (SELECT ticker, i, true AS take, ts + INTERVAL {COOLDOWN} SECOND AS ready F
 UNION ALL SELECT x.ticker, x.i, x.ts >= r.ready, CASE WHEN x.ts >= r.ready THEN x.ts + INTERVAL {COOLDOWN} SECOND ELSE r.ready END FROM r JOIN x ON x.ticker = r.ticker AND x.i = r.i + 1)
 SELECT ticker, ts, event_id FROM x JOIN r USING (ticker, i) WHERE take"""
 
+
+def stream_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars in update mode: each bar as it was last seen, those in progress too."""
+    typed = payloads.normal_quotes(raw_quotes(spark, sf_dir, live.read_stream(spark, f"{sf_dir}/events.parquet")), F.lit("2000-01-01").cast("timestamp"))
+    at = scratch(spark)
+    out = live.latest_updates(live.minute_bars(typed), f"{at}/bars", f"{at}/checkpoint")
+    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), SHOWN)
+
+
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars as a stream; SMA and EMA on the last 250 bars of each ticker, as a live buffer of that size gives them."""
+    at = scratch(spark)
+    B.bars_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).repartition(3, "ticker").write.parquet(f"{at}/in")
+    wanted = {n.lower(): (n, {"time_period": 10, "series_type": "CLOSE"}) for n in ("SMA", "EMA")}
+    each = live.features_per_batch(lambda b: indicators.series(b, wanted).select("ticker", "ts", *wanted), f"{at}/last", f"{at}/features")
+    query = live.read_stream(spark, f"{at}/in").writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.parquet(f"{at}/features").drop("batch")
+    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), list(wanted))
+
+
+def stream_features_sql() -> str:
+    g, base = Graph(), f"SELECT * FROM ({BARS_SQL}) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) <= 250"
+    return duck.sql(base, {n.lower(): indicators.build(g, n, {"time_period": 10, "series_type": "CLOSE"}) for n in ("SMA", "EMA")})
+
+
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of high value as positions that mature after an hour, given out when the watermark has passed that."""
+    e = live.read_stream(spark, f"{sf_dir}/events.parquet").where("value > 5").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).cast("timestamp").alias("maturity"), "event_id")
+    at = scratch(spark)
+    out = live.run_once(live.expired_positions(e), f"{at}/out", f"{at}/checkpoint")
+    return out.select("ticker", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("ts", "maturity")], "event_id")
+
+
+EXPIRY_SQL = """SELECT event_type AS ticker, ts, ts + INTERVAL 1 HOUR AS maturity, event_id FROM events WHERE value > 5 AND ts + INTERVAL 1 HOUR < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 MINUTE FROM events WHERE value > 5)"""
+
 _QUERIES: dict[str, tuple[Query, str | Callable[[], str]]] = {
     "payload_bars": (payload_bars, PAYLOAD_SQL), "payload_indicator": (payload_indicator, payload_indicator_sql), "quotes": (quotes, QUOTES_SQL),
     "local_epochs": (local_epochs, "SELECT event_id, epoch(date_trunc('minute', ts))::BIGINT AS uts FROM events"), "spec_table": (spec_table, SPECS_SQL),
     "anomaly_repair": (repaired, repaired_sql), "anomaly_counts": (dropped, dropped_sql), "regular_grid": (grid, GRID_SQL), "market_session": (session, SESSION_SQL),
-    "latest_close": (latest_close, f"SELECT ticker, round(arg_max(close, ts), 6) AS close FROM ({USER_BARS_SQL}) GROUP BY ticker"), "chunked_ema": (chunked_ema, chunked_ema_sql),
+    "latest_close": (latest_close, f"SELECT ticker, round(arg_max(close, ts), 6) AS close FROM ({USER_BARS_SQL}) GROUP BY ticker"), "chunked_ema": (chunked_ema, chunked_ema_sql), "long_series": (long_series, long_series_sql),
     "context_windows": (contexts, contexts_sql), "feature_report": (feature_report, feature_report_sql), "frame_mode": (frame_mode, frame_mode_sql), "frame_mode_every_bar": (frame_mode_every_bar, lambda: frame_mode_sql(250, 1)),
     "agreement_entries": (lambda s, d: rounded(entries(s, d), LEVELS), f"SELECT ticker, ts, {rounded_sql(LEVELS)}, maturity FROM ({ENTRIES_SQL})"),
     "first_exits": (lambda s, d: rounded(exits(s, d), [*LEVELS, "exit_price"]), f"SELECT ticker, ts, {rounded_sql([*LEVELS, 'exit_price'])}, maturity, exit_ts, exit_type FROM ({EXITS_SQL})"),
@@ -428,6 +577,10 @@ _QUERIES: dict[str, tuple[Query, str | Callable[[], str]]] = {
     "forward_returns": (lambda s, d: as_doubles(labels(s, d), ["truth"]), f"SELECT ticker, ts, round(ret, 6) + 0.0 AS ret, truth::DOUBLE AS truth FROM ({EVALUATION_SQL})"), "confusion_metrics": (confusion, CONFUSION_SQL),
     "class_returns": (class_returns, f"SELECT truth, pred, count(*) AS n, round(avg(ret), 4) + 0.0 AS mean, round(quantile_cont(ret, 0.5), 4) + 0.0 AS median, round(stddev_samp(ret), 4) AS deviation FROM ({EVALUATION_SQL}) WHERE ret IS NOT NULL GROUP BY ALL"),
     "equity_days": (lambda s, d: equity(s, d).withColumn("day", F.col("day").cast("string")), f"SELECT day::VARCHAR AS day, {rounded_sql(['pnl', 'total', 'drawdown'], 4)} FROM ({EQUITY_SQL})"), "equity_metrics": (equity_metrics, EQUITY_METRICS_SQL), "walk_forward": (walk_forward, WALK_SQL),
+    "tracked_bars": (tracked_bars, TRACKED_SQL), "stored_bars": (stored_bars, PAYLOAD_SQL), "catalog_scan": (catalog_scan, CATALOG_SQL), "report_scan": (report_scan, "SELECT event_type AS name, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1"),
+    "context_windows_every_bar": (every_context, every_context_sql), "context_matrix": (matrix, matrix_sql), "aligned_features": (aligned, ALIGNED_SQL),
+    "stored_ledger": (stored_ledger, f"SELECT * REPLACE ({', '.join(f'{c}::DOUBLE AS {c}' for c in IDS)}) FROM ({LEDGER_SQL})"),
+    "stream_updates": (stream_updates, MINUTE_BARS_SQL), "stream_features": (stream_features, stream_features_sql), "stream_expiry": (stream_expiry, EXPIRY_SQL),
     "minute_bars": (batch_bars, MINUTE_BARS_SQL), "stream_minute_bars": (stream_bars, f"{MINUTE_BARS_SQL} WHERE ts + INTERVAL 55 SECOND <= (SELECT max(ts) FROM q) - INTERVAL 2 MINUTE"), "stream_cooldown": (stream_cooldown, COOLDOWN_SQL),
 }
 

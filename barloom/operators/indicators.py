@@ -590,13 +590,19 @@ def build(g: Graph, name: str, params: Params) -> Node:
     return INDICATORS[name](g, params)
 
 
-def series(bars: DataFrame, wanted: Mapping[str, tuple[str, Params]], keys: list[str] | None = None, order: str = "ts") -> DataFrame:
+def series(bars: DataFrame, wanted: Mapping[str, tuple[str, Params]], keys: list[str] | None = None, order: str = "ts", *, block: int | None = None) -> DataFrame:
     """``bars`` with a column for each of ``wanted`` (column name -> indicator and parameters), per ``keys`` in the order of ``order``.
 
     Bars have open, high, low, close and volume as doubles, null where missing, and one row per key and time. An empty table gives
-    an empty one; one row gives null where more are needed.
+    an empty one; one row gives null where more are needed. A key is held by one task, unless ``block`` gives the rows of the
+    blocks that long keys are cut into (``plans.blocks``); results are the same.
     """
     g = Graph()
     outputs = {name: build(g, f, p) for name, (f, p) in wanted.items()}
-    out = compute(bars, outputs, keys or ["ticker"], order)
+    if block:
+        from ..plans import blocks
+
+        out = blocks.compute(bars, outputs, keys or ["ticker"], order, block=block)
+    else:
+        out = compute(bars, outputs, keys or ["ticker"], order)
     return out.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) if c in outputs else F.col(f"`{c}`") for c in out.columns])

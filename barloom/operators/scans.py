@@ -1,65 +1,65 @@
 """Operators with state from row to row: exponential weights, parabolic stop-and-reverse, Hilbert quadrature.
 
-Each runs over the ordered rows of a key in one grouped pandas pass. ``ewm_chunked`` is the form for few, very long keys: it cuts a key into
-chunks of rows that are computed apart, and passes states along one row per chunk.
+Each runs over the ordered rows of a key in one grouped pandas pass. ``ewm_blocks`` and ``stop_along`` are the forms for few, very long keys:
+the one computes blocks of rows apart and passes states along one row per block, the other goes along a key with a few numbers in memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-MAX_FRAME = 200_000
-"""Rows of a Hilbert frame at most; longer ones are refused."""
-
-
 def ewm(x: pd.Series, alpha: float) -> pd.Series:
     """y0 = x0, then y = (w y + a x) / (w + a) with w = (1 - a) ** (rows since the last value); nulls repeat y, leading ones stay."""
     return x.ewm(alpha=alpha, adjust=False, ignore_na=False).mean()
 
 
 def quadrature(x: np.ndarray) -> np.ndarray:
-    """Imaginary part of the analytic signal of a whole frame."""
+    """Imaginary part of the analytic signal of a whole frame: each frequency turned by a quarter, without the constant and the alternating part."""
     n = len(x)
-    if n > MAX_FRAME:
-        raise ValueError(f"a Hilbert frame has {n} rows; give a frame key of at most {MAX_FRAME}")
     if n == 0 or np.isnan(x).any():
         return np.full(n, np.nan)
-    gain = np.zeros(n)
-    gain[0] = 1
-    gain[1 : (n + 1) // 2] = 2
+    turned = -1j * np.fft.rfft(x)
+    turned[0] = 0
     if n % 2 == 0:
-        gain[n // 2] = 1
-    return np.fft.ifft(np.fft.fft(x) * gain).imag
+        turned[-1] = 0
+    return np.fft.irfft(turned, n)
+
+
+class Stop:
+    """A stop that closes in on the trend's extreme and changes sides when a bar crosses it; the first two bars share the first stop."""
+
+    def __init__(self, step: float, limit: float, rising: bool):
+        # a falling market is a rising one upside down: `up` is 1 or -1, and prices are seen times `up`
+        self.step, self.limit, self.up, self.bars = step, limit, 1.0 if rising else -1.0, 0
+        self.before: tuple[tuple[float, float], ...] = ()  # high and low of the last two bars, the latest first
+
+    def advance(self, high: float, low: float) -> float:
+        near, far = (low, high) if self.up > 0 else (high, low)  # the side of the stop, and of the extreme
+        if self.bars == 0:
+            self.stop, self.extreme, self.pace = near, far, self.step
+        elif self.bars > 1:
+            up, side = self.up, 1 if self.up > 0 else 0
+            self.stop = up * min(up * (self.stop + self.pace * (self.extreme - self.stop)), *(up * b[side] for b in self.before))
+            if up * near < up * self.stop:
+                self.stop, self.extreme, self.pace, self.up = self.extreme, near, self.step, -up
+            elif up * far > up * self.extreme:
+                self.extreme, self.pace = far, min(self.pace + self.step, self.limit)
+        self.bars += 1
+        self.before = ((high, low), *self.before[:1])
+        return self.stop
 
 
 def stop_and_reverse(high: np.ndarray, low: np.ndarray, close: np.ndarray, step: float, limit: float) -> np.ndarray:
-    """A stop that closes in on the trend's extreme and changes sides when a bar crosses it; the first two bars share the first stop.
-
-    Series are filled, so they are null throughout or not at all.
-    """
+    """The stop of a whole series. Series are filled, so they are null throughout or not at all; one bar alone has none."""
     n = len(close)
-    out = np.full(n, np.nan)
     if n < 2 or np.isnan(high).any() or np.isnan(low).any() or np.isnan(close).any():
-        return out
-    # a falling market is a rising one upside down: `up` is 1 or -1, and prices are seen times `up`
-    up = 1.0 if close[1] >= close[0] else -1.0
-    near, far = (low, high) if up > 0 else (high, low)  # the side of the stop, and of the extreme
-    stop, extreme, pace = near[0], far[0], step
-    out[:2] = stop
-    for i in range(2, n):
-        stop = stop + pace * (extreme - stop)
-        stop = up * min(up * stop, up * near[i - 1], up * near[i - 2])
-        if up * near[i] < up * stop:
-            stop, extreme, pace, up = extreme, near[i], step, -up
-            near, far = far, near
-        elif up * far[i] > up * extreme:
-            extreme, pace = far[i], min(pace + step, limit)
-        out[i] = stop
-    return out
+        return np.full(n, np.nan)
+    stop = Stop(step, limit, close[1] >= close[0])
+    return np.array([stop.advance(h, x) for h, x in zip(high.tolist(), low.tolist(), strict=True)])
 
 
 def run(df: DataFrame, nodes: list, keys: list[str], order: str) -> DataFrame:
@@ -87,64 +87,102 @@ def run(df: DataFrame, nodes: list, keys: list[str], order: str) -> DataFrame:
 def ewm_chunked(df: DataFrame, source: str, alpha: float, out: str, keys: list[str], order: str = "ts", *, chunk: Column) -> DataFrame:
     """``df`` with the exponentially weighted mean of ``source`` as ``out``; equal to the plain scan, but no task holds more than a chunk.
 
-    ``chunk`` is a number that ascends with ``order``, such as the month of a bar. First pass: each chunk's mean as a line over the state it starts with, y = a * y_in + b. The lines of a key compose in order, one
-    row per chunk. Second pass: each chunk again, from its true start.
+    ``chunk`` is a number that ascends with ``order``, such as the month of a bar.
     """
-    placed = df.withColumn("__chunk", chunk.cast("long"))
-    key_fields = [f for f in df.schema.fields if f.name in keys]
-    line_schema = StructType(list(key_fields)).add("__chunk", "long").add("a", "double").add("b", "double").add("last", "long").add("rows", "long").add("lead", "long")
+    return ewm_blocks(df.withColumn("__chunk", chunk.cast("long")), [(out, source, alpha)], keys, order, "__chunk").drop("__chunk")
+
+
+def ewm_blocks(df: DataFrame, nodes: list[tuple[str, str, float]], keys: list[str], order: str, block: str) -> DataFrame:
+    """``df`` with the exponentially weighted mean of each (name, source, alpha), for blocks (a column that ascends with ``order``) apart.
+
+    First pass: each block's mean as a line over the state it starts with, y = a * y_in + b. The lines of a key compose in order, one
+    row per block. Second pass: each block again, from its true start.
+    """
+    key_fields = [f for f in df.schema.fields if f.name in keys or f.name == block]
+    line_schema = StructType(list(key_fields)).add("rows", "long")
+    for i in range(len(nodes)):
+        for part, kind in (("a", "double"), ("b", "double"), ("first", "double"), ("lead", "long"), ("last", "long")):
+            line_schema = line_schema.add(f"{part}{i}", kind)
 
     def line(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(order, kind="stable")[source].astype(float).reset_index(drop=True)
-        seen = np.flatnonzero(x.notna().to_numpy())
-        head = {k: [rows[k].iloc[0]] for k in [*keys, "__chunk"]}
-        if not len(seen):
-            return pd.DataFrame(head | {"a": [1.0], "b": [0.0], "last": [-1], "rows": [len(x)], "lead": [-1]})
-        # from the first value on the chunk is known but for the state before it: weight it with what is left of a unit state
-        body = x.iloc[seen[0] :].reset_index(drop=True)
-        own = ewm(body, alpha)
-        unit = pd.Series(np.where(body.notna(), 0.0, np.nan))
-        unit.iloc[0] = 1.0
-        return pd.DataFrame(head | {"a": [float(ewm(unit, alpha).iloc[-1])], "b": [float(own.iloc[-1])], "last": [int(seen[-1])], "rows": [len(x)], "lead": [int(seen[0])]})
-
-    lines = placed.groupBy(*keys, "__chunk").applyInPandas(line, line_schema)
-    carry_schema = StructType(list(key_fields)).add("__chunk", "long").add("__y", "double").add("__gap", "long")
+        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
+        made = {f.name: [rows[f.name].iloc[0]] for f in key_fields} | {"rows": [len(rows)]}
+        for i, (_, source, alpha) in enumerate(nodes):
+            x = rows[source].astype(float)
+            seen = np.flatnonzero(x.notna().to_numpy())
+            if not len(seen):
+                made |= {f"a{i}": [1.0], f"b{i}": [0.0], f"first{i}": [0.0], f"lead{i}": [-1], f"last{i}": [-1]}
+                continue
+            # from the first value on the block is known but for the state before it: weight it with what is left of a unit state
+            body = x.iloc[seen[0] :].reset_index(drop=True)
+            unit = pd.Series(np.where(body.notna(), 0.0, np.nan))
+            unit.iloc[0] = 1.0
+            made |= {f"a{i}": [float(ewm(unit, alpha).iloc[-1])], f"b{i}": [float(ewm(body, alpha).iloc[-1])], f"first{i}": [float(body.iloc[0])], f"lead{i}": [int(seen[0])], f"last{i}": [int(seen[-1])]}
+        return pd.DataFrame(made)
+
+    state_schema = StructType(list(key_fields))
+    for i in range(len(nodes)):
+        state_schema = state_schema.add(f"__y{i}", "double").add(f"__gap{i}", "long")
 
     def carry(rows: pd.DataFrame) -> pd.DataFrame:
-        """One row per chunk of a key: the state each starts with, and the rows since its last value."""
-        rows = rows.sort_values("__chunk").reset_index(drop=True)
-        y, gap, states = np.nan, 0, []
-        for r in rows.itertuples():
-            states.append((y, gap))
-            if r.lead < 0:
-                gap += r.rows
-                continue
-            if np.isnan(y):
-                y = r.b
-            else:
-                weight = (1 - alpha) ** (gap + r.lead + 1)
-                # the first value x0 of the chunk is b's own start; blending it with y moves the end by a * (start - x0)
-                y = r.b + r.a * (weight * (y - r.first) / (weight + alpha))
-            gap = r.rows - 1 - r.last
-        out = rows[[*keys, "__chunk"]].copy()
-        out["__y"], out["__gap"] = [s[0] for s in states], [s[1] for s in states]
+        """One row per block of a key: the state each starts with, and the rows since its last value."""
+        rows = rows.sort_values(block).reset_index(drop=True)
+        out = rows[[f.name for f in key_fields]].copy()
+        for i, (_, _, alpha) in enumerate(nodes):
+            y, gap, states = np.nan, 0, []
+            for n, a, b, first, lead, last in zip(*[rows[c] for c in ("rows", f"a{i}", f"b{i}", f"first{i}", f"lead{i}", f"last{i}")], strict=True):
+                states.append((y, gap))
+                if lead < 0:
+                    gap += n
+                    continue
+                if np.isnan(y):
+                    y = b
+                else:
+                    # the first value is b's own start; blending it with y moves the end by a * (start - first)
+                    weight = (1 - alpha) ** (gap + lead + 1)
+                    y = b + a * (weight * (y - first) / (weight + alpha))
+                gap = n - 1 - last
+            out[f"__y{i}"], out[f"__gap{i}"] = [s[0] for s in states], [s[1] for s in states]
         return out
 
-    firsts = placed.where(F.col(source).isNotNull()).groupBy(*keys, "__chunk").agg(F.min_by(F.col(source).cast("double"), order).alias("first"))
-    states = lines.join(firsts, [*keys, "__chunk"], "left").groupBy(*keys).applyInPandas(carry, carry_schema)
-    seeded = placed.join(states, [*keys, "__chunk"], "left")
-    schema = StructType(df.schema.fields + [StructField(out, DoubleType())])
-
-    columns = list(df.columns)
+    at = [*keys, block]
+    lines = df.select(*dict.fromkeys([*at, order, *[source for _, source, _ in nodes]])).groupBy(*at).applyInPandas(line, line_schema)
+    states = lines.groupBy(*keys).applyInPandas(carry, state_schema)
+    schema = StructType(df.schema.fields + [StructField(name, DoubleType()) for name, _, _ in nodes])
+    columns = [f.name for f in schema.fields]
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        x, y, gap = rows[source].astype(float), rows["__y"].iloc[0], int(rows["__gap"].iloc[0])
-        if pd.isna(y):
-            rows[out] = ewm(x, alpha)
-        else:
-            seed = pd.Series([y] + [np.nan] * gap)
-            rows[out] = ewm(pd.concat([seed, x], ignore_index=True), alpha).iloc[gap + 1 :].to_numpy()
-        return rows[[*columns, out]]
-
-    return seeded.groupBy(*keys, "__chunk").applyInPandas(finish, schema)
+        for i, (name, source, alpha) in enumerate(nodes):
+            x, y, gap = rows[source].astype(float), rows[f"__y{i}"].iloc[0], int(rows[f"__gap{i}"].iloc[0])
+            if pd.isna(y):
+                rows[name] = ewm(x, alpha)
+            else:
+                seed = pd.Series([y] + [np.nan] * gap)
+                rows[name] = ewm(pd.concat([seed, x], ignore_index=True), alpha).iloc[gap + 1 :].to_numpy()
+        return rows[columns]
+
+    return df.join(states, at).groupBy(*at).applyInPandas(finish, schema)
+
+
+def stop_along(df: DataFrame, out: str, deps: list[str], params: dict, keys: list[str], order: str) -> DataFrame:
+    """``df`` with the parabolic stop of (high, low, close) as ``out``: sorted rows pass by in batches, and what is held is the state of one key."""
+    ahead = Window.partitionBy(*keys).orderBy(order)
+    seen = df.withColumn("__next", F.lead(deps[2]).over(ahead))
+    schema = StructType(df.schema.fields + [StructField(out, DoubleType())])
+    columns = [f.name for f in schema.fields]
+
+    def run_along(batches):
+        state, key = None, object()
+        for rows in batches:
+            found = np.full(len(rows), np.nan)
+            high, low, close, following = (rows[c].astype(float).to_numpy() for c in (*deps, "__next"))
+            for i, name in enumerate(zip(*[rows[k] for k in keys], strict=True)):
+                if name != key:
+                    key, state = name, Stop(params["step"], params["limit"], following[i] >= close[i]) if not np.isnan([high[i], low[i], close[i], following[i]]).any() else None
+                if state is not None:
+                    found[i] = state.advance(high[i], low[i])
+            rows[out] = found
+            yield rows[columns]
+
+    return seen.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run_along, schema)

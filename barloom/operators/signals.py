@@ -30,17 +30,17 @@ def brackets(entries: DataFrame, *, take_profit: float = TAKE_PROFIT, stop_loss:
     return leveled.withColumns({"sl_limit": cents(F.col("sl") - STOP_GAP), "maturity": F.col("ts") + F.expr(f"INTERVAL {horizon}")})
 
 
-def first_exits(entries: DataFrame, prices: DataFrame, *, bucket: str = "hour", horizon_buckets: int = 1) -> DataFrame:
+def first_exits(entries: DataFrame, prices: DataFrame, *, bucket: str = "hour") -> DataFrame:
     """Adds exit_ts, exit_price and exit_type to bracketed entries: the first later price at or above tp (exit at tp), else at or below sl (at sl),
     else the first at or behind maturity (at that price); in that order within one price. Null where no such price is there yet.
 
     ``prices`` has ticker, ts and close. Levels are looked for in an equi-join on ticker and time bucket, each entry copied to the
-    ``horizon_buckets`` + 1 buckets that its horizon can touch; the price at maturity by one sorted pass over both tables, bounded per
+    buckets from its own to its maturity's (choose a ``bucket`` of about the horizon); the price at maturity by one sorted pass over both tables, bounded per
     ticker and month, with the next months' first price passed on. Entries of one ticker and time are taken as one.
     """
     size = F.expr(f"INTERVAL 1 {bucket}")
     trunc = lambda c: F.date_trunc(bucket, c)
-    starts = F.sequence(trunc(F.col("ts")), trunc(F.col("ts")) + size * horizon_buckets, size)
+    starts = F.sequence(trunc(F.col("ts")), F.greatest(trunc(F.col("ts")), trunc(F.col("maturity"))), size)
     spread = entries.select("ticker", "ts", "tp", "sl", "maturity", F.explode(starts).alias("b"))
     seen = prices.where("close is not null").select("ticker", F.col("ts").alias("at"), "close", trunc(F.col("ts").cast("timestamp")).alias("b"))
     within = spread.withColumn("b", F.col("b").cast("timestamp")).join(seen, ["ticker", "b"]).where("at > ts AND at <= maturity AND (close >= tp OR close <= sl)")
@@ -92,7 +92,8 @@ def thinned(entries: DataFrame, *, cooldown_seconds: float = COOLDOWN_SECONDS, r
 def transactions(trades: DataFrame, quantity: int = 2) -> DataFrame:
     """Ledger rows of exited trades: a buy with four ids (its own and one per way out), and a sell with the id of the way it took.
 
-    Ids ascend by time and ticker: counts per day are summed up (one row per day), places within a day come from one window per day.
+    Ids ascend by time and ticker: counts per day are summed up (one row per day, so that window without a partition stays small), places
+    within a day come from one window per day.
     """
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
     dated = trades.withColumn("__day", day)
@@ -146,7 +147,7 @@ def average_cost(fills: DataFrame) -> DataFrame:
 def exposure_timeline(trades: DataFrame, *, quantity: int = 2, limit: float = 7000.0) -> DataFrame:
     """(ts, change, exposure, breach): the open value behind each entry and exit of all tickers; breach where an entry passes ``limit``.
 
-    A prefix sum over all tickers in two levels: within a day by one window per day, between days over one row per day.
+    A prefix sum over all tickers in two levels: within a day by one window per day, between days over one row per day (few, though in one task).
     """
     value = F.col("entry") * quantity
     events = trades.select("ts", value.alias("change")).unionByName(trades.where("exit_ts is not null").select(F.col("exit_ts").alias("ts"), (-value).alias("change")))

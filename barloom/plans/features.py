@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import indicators
 from ..sources.specs import typed
+from .graph import Graph
+
+
+MAX_SHAPES = 2000
+"""Different functions with parameters that one plan takes."""
 
 
 def planned(specs: Iterable[tuple[str, Mapping[str, object]]]) -> dict[str, tuple[str, Mapping[str, object]]]:
@@ -26,14 +31,16 @@ def wide(bars: DataFrame, specs: list[tuple[str, Mapping[str, object]]], keys: l
 def features(bars: DataFrame, parsed: DataFrame) -> DataFrame:
     """Long (ticker, ts, feature, value) for parsed specs (a table of ``parse_specs``), each for its own ticker.
 
-    The distinct functions with their parameters, a few hundred at most, are read by the driver to build one plan for all tickers;
-    which ticker has which feature stays a join. A spec with an error raises.
+    The distinct functions with their parameters, MAX_SHAPES at most, are read by the driver to build one plan for all tickers;
+    which ticker has which feature stays a join. A spec with an error raises, as do more shapes than one plan can hold.
     """
     shape = F.concat_ws("&", F.col("function"), F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat_ws("=", e["key"], e["value"]))))
     keyed = parsed.withColumn("shape", shape)
     if bad := keyed.where("error is not null").select("spec", "error").first():
         raise ValueError(f"{bad['spec']}: {bad['error']}")
-    rows = keyed.select("shape", "function", "params").dropDuplicates(["shape"]).orderBy("shape").collect()
+    rows = keyed.select("shape", "function", "params").dropDuplicates(["shape"]).orderBy("shape").limit(MAX_SHAPES + 1).collect()
+    if len(rows) > MAX_SHAPES:
+        raise ValueError(f"more than {MAX_SHAPES} different features: expand them in several plans")
     table, plan = wide(bars.join(parsed.select("ticker").distinct(), "ticker", "left_semi"), [(r["function"], typed(r["params"])) for r in rows])
     name = dict(zip(plan, (r["shape"] for r in rows), strict=True))
     cells = F.explode(F.array(*[F.struct(F.lit(name[c]).alias("shape"), F.col(c).alias("value")) for c in plan])).alias("cell")
@@ -103,23 +110,19 @@ def quality_report(long: DataFrame) -> DataFrame:
     )
 
 
-TRIPLES = "ADX ADXR AROONOSC AROON_AD AROON_AU ATR CCI DX".split()
-PER_PRICE = "CHANGE CMO DEMA EMA FAMA".split()
+def standard_specs(parameters: Callable[[str], Mapping[str, object]], count: int = 110, periods: tuple[int, ...] = (20, 40, 80)) -> list[tuple[str, dict[str, object]]]:
+    """The first ``count`` of a grid: each indicator with its ``parameters``, then those that a period changes with each of ``periods``."""
+    g = Graph()
+    built = lambda n, period: indicators.build(g, n, {**parameters(n), "time_period": period})
+    moved = [n for n in indicators.INDICATORS if built(n, 7) != built(n, 8)]
+    grid = [(n, dict(parameters(n))) for n in indicators.INDICATORS] + [(n, {**parameters(n), "time_period": p}) for p in periods for n in moved]
+    return grid[:count]
 
 
-def standard_specs(single: Mapping[str, Mapping[str, object]]) -> list[tuple[str, dict[str, object]]]:
-    """110 specs by rule: eight indicators at three periods, three bands at three periods, five at each price, and one of each other.
+def aligned(table: DataFrame, tickers: list[str], columns: list[str]) -> DataFrame:
+    """One row per time with a column per ticker and feature (``<ticker>_<column>``), null where a ticker has no row then.
 
-    ``single`` has the parameters of an indicator where it stands once (a period of 15 if it isn't named).
+    An outer join of all tickers by time, as one aggregation; ``tickers`` are named by the caller, as they become columns.
     """
-    once = lambda n: dict(single.get(n, {"time_period": 15}))
-    out = []
-    for name in indicators.INDICATORS:
-        base = once(name)
-        if name in TRIPLES or name.startswith("BBANDS"):
-            out += [(name, {**base, "time_period": n}) for n in (5, 15, 60)]
-        elif name in PER_PRICE:
-            out += [(name, {**base, "series_type": s}) for s in ("OPEN", "HIGH", "LOW", "CLOSE")]
-        else:
-            out.append((name, base))
-    return out
+    cells = [F.max(F.when(F.col("ticker") == t, F.col(c))).alias(f"{t}_{c}") for t in tickers for c in columns]
+    return table.where(F.col("ticker").isin(tickers)).groupBy("ts").agg(*cells)

@@ -141,4 +141,4 @@ def compute(df: DataFrame, outputs: dict[str, Node], keys: list[str], order: str
         for n in here:
             if n.kind == "expr":
                 df = df.withColumn(n.name, F.expr(n.what.format(*[f"`{d.name}`" for d in n.deps])))
-    return df.select(*[F.col(f"`{c}`") for c in own if c not in outputs], *[F.col(f"`{n.name}`").alias(name) for name, n in outputs.items()])
+    return df.select(*[F.col(f"`{c}`") for c in own if c.lower() not in {o.lower() for o in outputs}], *[F.col(f"`{n.name}`").alias(name) for name, n in outputs.items()])

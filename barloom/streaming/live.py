@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -39,22 +39,39 @@ def minute_bars(quotes: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return bars.select(F.col("symbol").alias("ticker"), label.alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def features_per_batch(compute: Callable[[DataFrame], DataFrame], bars_path: str, features_path: str, size: int = 250) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch``: adds the batch's bars to a table and computes features of the tickers in it on their last ``size`` bars.
+def features_per_batch(compute: Callable[[DataFrame], DataFrame], last_path: str, features_path: str, size: int = 250) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch``: features of the tickers in a batch on their last ``size`` bars.
 
-    The batch number is part of what is written, so a batch that runs again replaces its own rows.
+    What is kept from batch to batch is a table of the last ``size`` bars per ticker, not the history: each batch reads the one before it and
+    writes its own. The batch number is part of what is written, so a batch that runs again replaces its own rows. A bar that comes again
+    replaces the one it had.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{bars_path}/batch={number}")
-        known = spark.read.parquet(bars_path).where(F.col("batch") <= number).drop("batch")
-        touched = spark.read.parquet(f"{bars_path}/batch={number}").select("ticker").distinct()
-        compute(last_rows(known.join(touched, "ticker", "left_semi"), size)).write.mode("overwrite").parquet(f"{features_path}/batch={number}")
+        new = batch.withColumn("__new", F.lit(1))
+        if number > 0:
+            before = spark.read.schema(batch.schema).parquet(f"{last_path}/batch={number - 1}").withColumn("__new", F.lit(0))
+            new = before.unionByName(new)
+        best = new.withColumn("__best", F.row_number().over(Window.partitionBy("ticker", "ts").orderBy(F.desc("__new")))).where("__best = 1").drop("__best")
+        last_rows(best, size).drop("__new").write.mode("overwrite").parquet(f"{last_path}/batch={number}")
+        held = spark.read.schema(batch.schema).parquet(f"{last_path}/batch={number}")
+        compute(held.join(batch.select("ticker").distinct(), "ticker", "left_semi")).write.mode("overwrite").parquet(f"{features_path}/batch={number}")
 
     return each
 
 
+def latest_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream in update mode over what is there now; the rows (ticker, ts, ...) as each was last given, those in progress too."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    every = stream.sparkSession.read.parquet(path)
+    return every.groupBy("ticker", "ts").agg(F.max_by(F.struct(*stream.columns), "batch").alias("r")).select("r.*")
+
+
 def cooled_entries(signals: DataFrame, seconds: float = 45, watermark: str = WATERMARK) -> DataFrame:
     """Signals (ticker, ts, and more) that come at least ``seconds`` behind the ticker's last one that was let through.
 

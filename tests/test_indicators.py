@@ -154,11 +154,6 @@ def test_quadrature(spark, n):
     near(run(spark, bars(x), "HT_PHASOR_PHASE", series_type="CLOSE"), x)
 
 
-def test_frames_beyond_the_limit_are_refused():
-    with pytest.raises(ValueError):
-        scans.quadrature(np.zeros(scans.MAX_FRAME + 1))
-
-
 def test_short_and_empty_tables(spark):
     for name in I.INDICATORS:
         params = {"time_period": 5, "series_type": "CLOSE", "fastperiod": 3, "slowperiod": 5, "signalperiod": 2, "matype": 1, "fastkperiod": 3, "slowkperiod": 2, "slowdperiod": 2, "fastdperiod": 2, "slowkmatype": 1, "slowdmatype": 1, "fastdmatype": 1, "nbdevup": 2, "nbdevdn": 2, "timeperiod1": 2, "timeperiod2": 3, "timeperiod3": 4}
@@ -211,3 +206,21 @@ def test_frame_mode_starts_anew(spark):
     out = I.series(framed, {"ema": ("EMA", {"time_period": 5, "series_type": "CLOSE"})}, ["ticker", "anchor_ts"]).where("ts = anchor_ts").orderBy("ts").toPandas()
     expected = [ew(f.close[max(0, i - 20) : i].reset_index(drop=True), 1 / 3).iloc[-1] for i in range(10, 61, 10)]
     near(out.ema, expected)
+
+
+def test_blocks_equal_the_plain_plan(spark):
+    """All 73 series in blocks shorter than the series, two keys of different length, with nulls that reach over blocks."""
+    from barloom import catalog
+
+    f = pd.concat([walk(170, 1), walk(45, 2).assign(ticker="B")], ignore_index=True)
+    f.loc[[0, 1, 39, 40, 41, 100], "close"] = NULL
+    f.loc[60:95, "high"] = NULL
+    wanted = {n: (n, catalog.parameters(n)) for n in I.INDICATORS}
+    plain = I.series(to_spark(spark, f), wanted).orderBy("ticker", "ts").toPandas()
+    blocks = I.series(to_spark(spark, f), wanted, block=40).orderBy("ticker", "ts").toPandas()
+    assert list(plain.columns) == list(blocks.columns) and len(blocks) == 215
+    for n in wanted:
+        near(blocks[n].astype(float), plain[n].astype(float), 1e-8)
+    assert I.series(to_spark(spark, f).limit(0), {"x": ("EMA", {"time_period": 3})}, block=40).count() == 0
+    with pytest.raises(ValueError, match="too short"):
+        I.series(to_spark(spark, f), {"x": ("SMA", {"time_period": 60})}, block=40)

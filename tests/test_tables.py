@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom import catalog_tables
+from barloom import catalog, catalog_tables
 from barloom.functions import safe
 from barloom.operators import cleaning, evaluate, indicators, signals
 from barloom.plans import features
@@ -108,7 +108,8 @@ def test_contexts(spark):
     np.testing.assert_allclose(out["f0"][2:], (f.close - f.close.iloc[-1]).astype(np.float32), atol=1e-6)
     assert out["f1"][2:4] == [None, None] and abs(out["f2"][-1]) == 0
     assert features.context_matrix(features.last_contexts(table, plan, 12)).first()["features"] == ["f0", "f1", "f2"]
-    assert len(features.standard_specs({"OPEN": {}})) == 110
+    specs_110 = features.standard_specs(catalog.parameters)
+    assert len(specs_110) == 110 == len({(n, tuple(sorted(p.items()))) for n, p in specs_110}) and {n for n, _ in specs_110} == set(indicators.INDICATORS)
     assert [sum(indicators.scale_of(n) == s for n in indicators.INDICATORS) for s in (1.0, 100.0, 1e7)] == [46, 19, 8]
 
 
@@ -163,6 +164,48 @@ def test_exit_at_a_late_price(spark):
     assert r["exit_type"] == "tp" and r["exit_ts"] == at(60 * 24 * 40)
 
 
+def test_an_exit_many_buckets_behind_its_entry(spark):
+    b = spark.createDataFrame([("A", at(0), 10.0), ("A", at(180), 12.0), ("A", at(600), 10.0), ("A", at(700), 10.0)], "ticker string, ts timestamp, close double")
+    e = signals.brackets(b.where(F.col("ts") == at(0)), take_profit=0.1, horizon="10 hours")
+    for bucket in ("minute", "hour", "day"):
+        r = signals.first_exits(e, b, bucket=bucket).first()
+        assert (r["exit_type"], r["exit_ts"], round(r["exit_price"], 3)) == ("tp", at(180), 11.055)
+
+
+def test_medians_by_counting(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(j), float(x)) for k in (0, 1) for j in (0, 1) for x in np.round(rng.normal(0, 0.01 if k else 30, 40 + k + j), 3)] + [(1, None, 5.0)]
+    out = {(r["truth"], r["pred"]): r for r in evaluate.class_returns(spark.createDataFrame(rows, "truth int, pred int, ret double")).collect()}
+    assert len(out) == 4
+    for (k, j), r in out.items():
+        own = [x for a, b, x in rows if (a, b) == (k, j)]
+        assert r["n"] == len(own) and abs(r["median"] - np.median(own)) < 1e-12 and abs(r["deviation"] - np.std(own, ddof=1)) < 1e-9
+
+
+def test_ticks_of_one_time_have_an_order(spark):
+    rows = [("A", at(0), 2, 5.0), ("A", at(0), 1, 7.0), ("A", at(1), 2**40, 1.0), ("A", at(1), 2**40 + 1, 3.0), ("A", at(-60 * 24 * 365 * 60), 1, 9.0)]
+    t = spark.createDataFrame(rows, "k string, t timestamp, n long, p double")
+    out = B.bars_from_ticks(t, F.col("k"), F.col("t"), F.lit(T0), F.col("p"), F.lit(1.0), [(F.col("n"), 63)])
+    assert [tuple(r) for r in out.select("open", "high", "low", "close", "volume").collect()] == [(9.0, 9.0, 1.0, 3.0, 5.0)]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_shared_folder_is_asked_for():
+    from barloom.sources.scratch import scratch
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch(Session())
+
+
 def test_thinning(spark):
     rows = [("A", at(0), at(5)), ("A", at(0.5), at(3)), ("A", at(2), at(4)), ("A", at(2.5), at(4)), ("A", at(6), None), ("A", at(60), None), ("B", at(0), at(1))]
     e = spark.createDataFrame(rows, "ticker string, ts timestamp, exit_ts timestamp")
@@ -246,6 +289,7 @@ def test_features_per_batch(spark, tmp_path):
         part = to_spark(spark, f.iloc[6 * i : 6 * i + 6])
         each(part, i)
         each(part, i)
+    assert spark.read.parquet(f"{tmp_path}/bars").where("batch = 1").count() == 5
     out = spark.read.parquet(f"{tmp_path}/features").where("batch = 1").orderBy("ts").toPandas()
     np.testing.assert_allclose(out.sma.iloc[2:], f.close.rolling(3).mean().iloc[-3:])
     assert len(out) == 5
