@@ -19,8 +19,6 @@ FIRST_BANDS = 8
 """Bands of the first round of hubs: it joins most copies, so that later rounds have few to compare."""
 SKETCH_BITS = 512
 SHINGLE = 5
-WORTH = 0.25
-"""Hubs are tried again as long as so many of the pairs that sketches let through are confirmed."""
 HOT = 256
 """Partners of a hub that one task is given at a time."""
 
@@ -91,7 +89,7 @@ def most_odd_bits(threshold: float, k: int = BANDS * ROWS, n: int = SKETCH_BITS,
 
 
 def word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
+    return Memo(xxhash.xxh64_intdigest, 50_000)
 
 
 def signatures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -178,19 +176,24 @@ def connected(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def with_text(pairs: DataFrame, side: str, other: str, texts: DataFrame, name: str) -> DataFrame:
-    """``pairs`` with the text of ``side`` as ``name``.
+def with_text(rows: DataFrame, pairs: DataFrame, side: str, other: str, texts: DataFrame, name: str) -> DataFrame:
+    """``rows``, of the table ``pairs`` or more columns beside it, with the text of ``side`` as ``name``.
 
     A node with more than HOT partners is dealt to several tasks by a hash of the partner, its text once to each. Which nodes these are is told
     by slots that they hash to, so what is broadcast has a fixed size, and a node that shares such a slot is merely dealt finer.
     """
-    heavy = pairs.groupBy(side).count().where(F.col("count") > HOT)
+    near = narrowed(texts, F.col("node"), pairs, F.col(side)).select(F.col("node").alias(side), F.col("text").alias(name))
+    heavy = cut(pairs.groupBy(side).count().where(F.col("count") > HOT))
+    if heavy.isEmpty():
+        return rows.join(near, side)
     slots = heavy.groupBy(slot_of(F.col(side))).agg(F.ceil(F.max("count") / HOT).alias("__k"))
-    dealt = pairs.withColumn("__slot", slot_of(F.col(side))).join(F.broadcast(slots), "__slot", "left").drop("__slot")
-    dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64(other), F.coalesce("__k", F.lit(1)))).drop("__k")
-    wanted = dealt.select(side, "__salt").distinct()
-    copies = narrowed(texts, F.col("node"), pairs, F.col(side)).select(F.col("node").alias(side), F.col("text").alias(name)).join(wanted, side)
-    return dealt.join(copies, [side, "__salt"]).drop("__salt")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        marked = df.withColumn("__slot", slot_of(F.col(side))).join(F.broadcast(slots), "__slot", "left").drop("__slot")
+        return marked.withColumn("__salt", F.pmod(F.xxhash64(other), F.coalesce("__k", F.lit(1)))).drop("__k")
+
+    copies = near.join(dealt(pairs).select(side, "__salt").distinct(), side)
+    return dealt(rows).join(copies, [side, "__salt"]).drop("__salt")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +213,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             keep = np.flatnonzero(similar)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep])], ["a", "b"])
 
-    both = with_text(with_text(pairs, "a", "b", texts, "x"), "b", "a", texts, "y")
+    both = with_text(with_text(pairs, pairs, "a", "b", texts, "x"), pairs, "b", "a", texts, "y")
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint")
 
 
@@ -235,18 +238,18 @@ def verdicts(located: DataFrame, percent: int, hub_rounds: int) -> DataFrame:
     limit = most_odd_bits(percent / 100)
     sketch = sketches.select("node", "sketch", "n")
 
-    def found(pairs: DataFrame) -> tuple[DataFrame, float]:
-        """Pairs that sizes, odd sketches and then the full sets confirm, and their share of those that the sketches let through."""
+    def found(pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes, odd sketches and then the full sets confirm."""
         a, b = sketch.toDF("a", "sa", "na"), sketch.toDF("b", "sb", "nb")
         sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         close = cut(pairs.join(a, "a").join(b, "b").where(sized & (odd_bits(F.col("sa"), F.col("sb")) <= limit)).select("a", "b"))
         links = cut(confirmed(close, texts, percent))
-        share = links.count() / max(1, close.count())
         forget(close)
-        return links, share
+        return links
 
-    labels, links, turn, hubs = None, None, 0, hub_rounds > 0
-    while True:
+    labels, links = None, None
+    for turn in range(hub_rounds + 1):
+        hubs = turn < hub_rounds
         some = members.where(F.col("band") < FIRST_BANDS) if hubs and turn == 0 else members
         now = some.withColumn("label", F.col("node")) if labels is None else some.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         pick = F.struct(F.xxhash64("node", F.lit(turn)), "node")
@@ -258,14 +261,10 @@ def verdicts(located: DataFrame, percent: int, hub_rounds: int) -> DataFrame:
         else:
             left = cut(now.join(major, "bucket").select("node", "label").distinct())
             pairs = by_rare_shingles(narrowed(texts, F.col("node"), left, F.col("node")).join(left, "node", "left_semi"), left, sketch.select("node", "n"), percent)
-        new, share = found(pairs)
+        new = found(pairs)
         before, links = links, new if links is None else cut(links.unionByName(new))
         labels_before, labels = labels, connected(links, labels)
         forget(*[t for t in (before, labels_before, new) if t is not None and t is not links])
-        if not hubs:
-            break
-        turn += 1
-        hubs = turn < hub_rounds or share > WORTH
 
     least = nodes.join(labels, "node").groupBy("label").agg(F.min("id").alias("least"))
     classes = nodes.join(labels, "node", "left").join(least, "label", "left").select("digest", F.coalesce("least", "id").alias("component"), F.coalesce("label", "node").alias("group"))
@@ -308,8 +307,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
 
     Texts with one set are one node, so exact copies never form pairs. Nodes that share a band stand in a bucket. Rather than
     all pairs of a bucket, each round takes a hub from each bucket's largest component and compares it with the nodes of others; links
-    merge components, and buckets of one component are done. After ``hub_rounds`` it goes on while hubs still find many links (WORTH); the nodes
-    of buckets that then have several components meet where they
+    merge components, and buckets of one component are done. The nodes of buckets that still have several after ``hub_rounds`` meet where they
     share one of their rarest shingles, as every similar pair does (``by_rare_shingles``). Odd sketches and set sizes settle
     most comparisons; the rest are confirmed on the full sets, a hub with many partners by several tasks (``with_text``).
     """
