@@ -92,8 +92,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(counted, MIX_TARGETS, tokens="n_tokens", detail=True).withColumn("probability", F.round("probability", 6))
 
 
-def op7_sql(rounds: int = 12, keep: float = 0.5, steps: int = 8) -> str:
-    """The same fitting, unrolled: ``rounds`` times over the margins, then ``steps`` of sharing out what full cells leave."""
+def op7_sql(rounds: int = 24, keep: float = 0.5, steps: int = 8) -> str:
+    """The same fitting, unrolled: ``rounds`` times over the margins (they are met to 1e-10 by then; the operator goes on until they are), then ``steps`` of sharing out what full cells leave."""
     steps_sql, last = [], "start"
     for i in range(rounds):
         for d in MIX_TARGETS:
