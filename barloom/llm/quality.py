@@ -158,7 +158,7 @@ def score(df: DataFrame, model: Broadcast, text: str = "text", *, metadata: tupl
 
     def judge(df, at):
         carried = df.select(*df.columns, F.array(*[F.col(at(c)).cast("double") for c in metadata]).cast("array<double>").alias("__extra"), F.col(at(text)).alias("__text"))
-        schema = StructType(df.schema.fields).add("score", "double").add("predicted", "integer")
+        schema = StructType(list(df.schema.fields)).add("score", "double").add("predicted", "integer")
         keep = df.columns
 
         def run(batches):
