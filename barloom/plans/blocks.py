@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scans
 from ..sources.scratch import scratch
-from .graph import Node, order_levels, window_sql
+from .graph import Node, order_levels, window_sql, with_expressions
 
 PLACE, BLOCK, HALO = "__rn", "__block", "__halo"
 
@@ -130,7 +130,5 @@ def compute(df: DataFrame, outputs: dict[str, Node], keys: list[str], order: str
             df = with_running(df, running, keys)
         if bounded := [n for n in windows if n not in running]:
             df = with_bounded(df, bounded, keys, block)
-        for n in here:
-            if n.kind == "expr":
-                df = df.withColumn(n.name, F.expr(n.what.format(*[f"`{d.name}`" for d in n.deps])))
+        df = with_expressions(df, [n for n in here if n.kind == "expr"])
     return df.select(*[F.col(f"`{c}`") for c in own if c.lower() not in {o.lower() for o in outputs}], *[F.col(f"`{n.name}`").alias(name) for name, n in outputs.items()])

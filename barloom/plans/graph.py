@@ -117,6 +117,17 @@ def window_sql(node: Node, keys: list[str], order: str) -> str:
     return f"{node.what}({x}) OVER ({part} {rows})"
 
 
+def with_expressions(df: DataFrame, nodes: list[Node]) -> DataFrame:
+    """Adds expressions, those of one depth in one projection, so that plans of many nodes stay flat."""
+    waiting = list(nodes)
+    while waiting:
+        names = {n.name for n in waiting}
+        ready = [n for n in waiting if not any(d.name in names for d in n.deps)]
+        df = df.withColumns({n.name: F.expr(n.what.format(*[f"`{d.name}`" for d in n.deps])) for n in ready})
+        waiting = [n for n in waiting if n not in ready]
+    return df
+
+
 def compute(df: DataFrame, outputs: dict[str, Node], keys: list[str], order: str = "ts") -> DataFrame:
     """``df`` with a column for each output.
 
@@ -138,7 +149,5 @@ def compute(df: DataFrame, outputs: dict[str, Node], keys: list[str], order: str
         windows = [n for n in here if n.kind == "win"]
         if windows:
             df = df.select("*", *[F.expr(window_sql(n, keys, order)).alias(n.name) for n in windows])
-        for n in here:
-            if n.kind == "expr":
-                df = df.withColumn(n.name, F.expr(n.what.format(*[f"`{d.name}`" for d in n.deps])))
+        df = with_expressions(df, [n for n in here if n.kind == "expr"])
     return df.select(*[F.col(f"`{c}`") for c in own if c.lower() not in {o.lower() for o in outputs}], *[F.col(f"`{n.name}`").alias(name) for name, n in outputs.items()])
