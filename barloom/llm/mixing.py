@@ -52,11 +52,11 @@ def distances(cells: DataFrame, aims: Mapping[str, str], weight: str) -> dict[st
     return out
 
 
-def fitted(cells: DataFrame, names: list[str], aims: Mapping[str, str], weight: str, step: Callable[[DataFrame, str], DataFrame], tolerance: float) -> DataFrame:
+def fitted(cells: DataFrame, names: list[str], aims: Mapping[str, str], weight: str, step: Callable[[DataFrame, str], DataFrame], tolerance: float, least_gain: float) -> DataFrame:
     """``step`` for each dimension, round by round, until all margins are within ``tolerance`` of their aims.
 
     Every fourth round the cells, a small table, are written, so that plans stay short, and the distance is taken. Margins that contradict each
-    other (by cells that no document has) can't all be met: then it ends when four rounds gain less than a fiftieth.
+    other (by cells that no document has) can't all be met: then it ends when four rounds gain less than ``least_gain`` of what is left.
     """
     last = float("inf")
     while True:
@@ -65,7 +65,7 @@ def fitted(cells: DataFrame, names: list[str], aims: Mapping[str, str], weight:
                 cells = step(cells, name)
         cells = cut(cells)
         now = max(distances(cells, aims, weight).values(), default=0.0)
-        if now <= tolerance or now > 0.98 * last:
+        if now <= tolerance or now > (1 - least_gain) * last:
             return cells
         last = now
 
@@ -83,7 +83,7 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *
     def step(now: DataFrame, name: str) -> DataFrame:
         return now.withColumn("weight", F.col("weight") * F.col(f"__share_{name}") / F.sum("weight").over(Window.partitionBy(name)))
 
-    cells = fitted(cells, names, {n: f"__share_{n}" for n in names}, "weight", step, tolerance)
+    cells = fitted(cells, names, {n: f"__share_{n}" for n in names}, "weight", step, tolerance, 0.02)
     return cells.select(*names, "tokens", "weight")
 
 
@@ -105,7 +105,7 @@ def sampling_rates(cells: DataFrame, keep: float) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), F.col("weight") * factor / F.col("tokens")))
 
 
-def refit(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], keep: float, *, tolerance: float = 1e-7) -> DataFrame:
+def refit(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], keep: float, *, tolerance: float = 1e-5) -> DataFrame:
     """The cells of ``rake`` with weights whose parts up to tokens (what a sample can hold) sum to each dimension's aims.
 
     A value's aim is its share of ``keep`` of all tokens; a value that has fewer stays whole, and the others share what it lacks. A cell whose
@@ -131,7 +131,7 @@ def refit(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]],
         raised = F.when(F.col(f"__whole_{name}"), F.greatest(scaled, F.col("tokens").cast("double"))).otherwise(scaled)
         return now.withColumn("weight", raised).drop("__full", "__free")
 
-    cells = fitted(cells, names, {n: f"__aim_{n}" for n in names}, "least(weight, tokens)", step, tolerance)
+    cells = fitted(cells, names, {n: f"__aim_{n}" for n in names}, "least(weight, tokens)", step, tolerance, 0.1)
     return cells.select(*own)
 
 
@@ -154,7 +154,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *,
         wanted = {d: targets[n] for d, n in dims.items()}
         weighted = rake(cells, wanted, tolerance=tolerance)
         if fit_full:
-            weighted = refit(weighted, wanted, keep, tolerance=max(tolerance, 1e-7))
+            weighted = refit(weighted, wanted, keep, tolerance=max(tolerance, 1e-5))
         rates = cut(sampling_rates(weighted, keep).select(*dims, "p"))
         few = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
         rows = df.withColumns(value)
