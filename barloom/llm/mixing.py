@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import WS, beside, cut, filtered, join_dealt, named, unit_hash
 
 BROADCAST_CELLS = 50_000
-"""Cells are broadcast to the rows up to so many, and joined by shuffle beyond."""
+"""Up to so many, cells are broadcast to the rows and fitted in one partition; beyond, they are joined and fitted by shuffles, with the same result."""
 
 
 def word_count(text: Column) -> Column:
@@ -55,11 +55,12 @@ def distances(cells: DataFrame, aims: Mapping[str, str], weight: str) -> dict[st
 def fitted(cells: DataFrame, names: list[str], aims: Mapping[str, str], weight: str, step: Callable[[DataFrame, str], DataFrame], tolerance: float, least_gain: float) -> DataFrame:
     """``step`` for each dimension, round by round, until all margins are within ``tolerance`` of their aims.
 
-    Every fourth round the cells, a small table, are written, so that plans stay short, and the distance is taken. Margins that contradict each
+    Up to BROADCAST_CELLS, cells stand in one partition, where windows by any dimension need no shuffle. Every fourth round the cells are written, so that plans stay short, and the distance is taken. Margins that contradict each
     other (by cells that no document has) can't all be met: then it ends when four rounds gain less than ``least_gain`` of what is left.
     """
-    last = float("inf")
+    last, few = float("inf"), cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     while True:
+        cells = cells.coalesce(1) if few else cells
         for _ in range(4):
             for name in names:
                 cells = step(cells, name)
