@@ -1,6 +1,7 @@
 """Compares a registered query with its SQL in DuckDB."""
 
 import math
+import numbers
 import os
 
 import duckdb
@@ -13,7 +14,7 @@ def rows(frame, columns):
     def cell(x):
         if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return None
-        return repr(float(x) + 0.0) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+        return repr(float(x) + 0.0) if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x)
 
     return sorted((tuple(cell(x) for x in r) for r in frame[columns].itertuples(index=False)), key=str)
 
