@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, linerules, mixing, neardup, quality, tokencount, toxicity, urlfilter
+from . import decontam, htmltext, langid, linerules, mixing, neardup, quality, ranking, spelling, tokencount, toxicity, urlfilter, warc
 from .common import bucket_of_id, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -178,15 +178,92 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    read, _ = warc.read_archives(spark, archives)
+    return read.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+OP11_SQL = """
+WITH sized AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM sized)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> f THEN f END AS refers_to
+FROM firsts
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), slips=199))
+
+
+OP12_SQL = """
+WITH RECURSIVE steps(byte, crc, i) AS (
+  SELECT range, range::UBIGINT, 0 FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384::UBIGINT) ELSE crc >> 1 END, i + 1 FROM steps WHERE i < 8),
+crcs AS (SELECT list(crc ORDER BY byte) AS crc_of FROM steps WHERE i = 8),
+runs AS (
+  SELECT k, w, count(*) AS n
+  FROM (SELECT coalesce(doc_id::VARCHAR, 'null') AS k, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY ALL),
+coded AS (
+  SELECT k, w, n, list_transform(range(0, octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::INT) AS bytes
+  FROM (SELECT *, encode(k || ':' || w) AS b FROM runs)),
+hashed AS (SELECT k, w, n, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc_of[(xor(c, x::UBIGINT) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM coded, crcs),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+less AS (SELECT DISTINCT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+links AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, less.n, rest, words.n FROM less JOIN (SELECT word AS rest, n FROM words) words USING (rest)
+  UNION SELECT rest, words.n, word, less.n FROM less JOIN (SELECT word AS rest, n FROM words) words USING (rest)),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM links GROUP BY 1),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+follow(word, root) AS (SELECT word, word FROM judged UNION ALL SELECT follow.word, form FROM follow JOIN judged ON follow.root = judged.word WHERE form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n
+FROM judged JOIN (SELECT follow.word, follow.root FROM follow JOIN judged ON follow.root = judged.word WHERE form IS NULL) roots USING (word)
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    found = ranking.search(ranking.build_index(table(spark, sf_dir, "documents"), items), items)
+    return found.select(F.col("key").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+OP13_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t
+  FROM benchmark),
+whole AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS length FROM docs WHERE len(w) > 0),
+asked AS (SELECT q, item_id, t, count(*) AS times FROM items GROUP BY ALL),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, whole GROUP BY t, n_docs),
+impacts AS (SELECT rid, t, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_docs) // length)) AS impact FROM tf JOIN docs USING (rid), whole),
+scores AS (SELECT q, item_id, rid, sum(times * weight * impact)::BIGINT AS score FROM asked JOIN weights USING (t) JOIN impacts USING (t) GROUP BY ALL HAVING sum(times * weight * impact) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores JOIN docs USING (rid)) WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_url_filters, op2_html_extraction, op3_language_id, op4_decontamination, op5_toxicity,
             op6_quality, op7_mixing, op8_quality_rules, op9_near_duplicates, op10_token_counts,
+            op11_warc, op12_spelling_variants, op13_ranked_search,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op7_mixing": op7_sql(), "op8_quality_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op7_mixing": op7_sql(), "op8_quality_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL, "op11_warc": OP11_SQL,
+            "op12_spelling_variants": OP12_SQL, "op13_ranked_search": OP13_SQL}
