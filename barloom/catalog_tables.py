@@ -320,28 +320,36 @@ def feature_report_sql() -> str:
     return f"WITH w AS ({chosen_wide_sql()}), l AS ({long}) SELECT feature, count(*) AS n_rows, count(value) AS n_values, round(avg(value), 3) + 0.0 AS mean, round(stddev_pop(value), 3) + 0.0 AS deviation, count(value) = 0 AS all_null FROM l GROUP BY 1"
 
 
-def framed(spark: SparkSession, sf_dir: str, *frame: int) -> DataFrame:
-    f = features.frames(B.bars_events(spark, sf_dir), *frame)
-    out = indicators.series(f, {"rsi": ("RSI", {"time_period": 15, "series_type": "CLOSE"}), "ema": ("EMA", {"time_period": 15, "series_type": "CLOSE"})}, ["ticker", "anchor_ts"])
-    return rounded(out.where("ts = anchor_ts").select("ticker", "ts", "rsi", "ema"), ["rsi", "ema"])
+FRAMED = {"rsi": "RSI", "ema": "EMA"}
+FRAME_FEATURES = {n.lower(): n for n in ("EMA", "RSI", "DEMA", "TEMA", "T3", "MACD_SIGNAL", "ATR", "PLUS_DI", "WILLR", "OBV")}
+
+
+def framed(spark: SparkSession, sf_dir: str, size: int, names: dict[str, str] = FRAMED) -> DataFrame:
+    wanted = {c: (n, parameters(n) | {"time_period": 15, "series_type": "CLOSE"}) for c, n in names.items()}
+    return rounded(features.frame_values(B.bars_events(spark, sf_dir), wanted, size).select("ticker", "ts", *names), list(names))
 
 
 def frame_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSI and EMA of each bar, started anew over the 100 bars that end there."""
-    return framed(spark, sf_dir, 100, 1)
+    return framed(spark, sf_dir, 100)
 
 
 def frame_mode_every_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSI and EMA of each bar, started anew over the 250 bars that end there."""
-    return framed(spark, sf_dir)
+    return framed(spark, sf_dir, 250)
+
+
+def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten features of each bar, started anew over the 60 bars that end there."""
+    return framed(spark, sf_dir, 60, FRAME_FEATURES)
 
 
-def frame_mode_sql(size: int = 100, every: int = 1) -> str:
+def frame_mode_sql(size: int, names: dict[str, str] = FRAMED) -> str:
     g = Graph()
     base = f"""SELECT b.* REPLACE (b.ticker || '@' || a.ts::VARCHAR AS ticker), a.ts AS anchor, b.ticker AS t FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM ({BARS_SQL})) b
-JOIN (SELECT ticker, ts, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM ({BARS_SQL})) a ON a.ticker = b.ticker AND a.i % {every} = 0 AND b.i BETWEEN a.i - {size - 1} AND a.i"""
-    made = duck.sql(base, {n: indicators.build(g, k, {"time_period": 15, "series_type": "CLOSE"}) for n, k in (("rsi", "RSI"), ("ema", "EMA"))})
-    return f"SELECT split_part(ticker, '@', 1) AS ticker, ts, rsi, ema FROM ({made}) WHERE split_part(ticker, '@', 2) = ts::VARCHAR"
+JOIN (SELECT ticker, ts, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM ({BARS_SQL})) a ON a.ticker = b.ticker AND b.i BETWEEN a.i - {size - 1} AND a.i"""
+    made = duck.sql(base, {c: indicators.build(g, n, parameters(n) | {"time_period": 15, "series_type": "CLOSE"}) for c, n in names.items()})
+    return f"SELECT split_part(ticker, '@', 1) AS ticker, ts, {', '.join(names)} FROM ({made}) WHERE split_part(ticker, '@', 2) = ts::VARCHAR"
 
 
 # Signals and trades: hourly bars, so horizons are hours
@@ -568,7 +576,7 @@ _QUERIES: dict[str, tuple[Query, str | Callable[[], str]]] = {
     "local_epochs": (local_epochs, "SELECT event_id, epoch(date_trunc('minute', ts))::BIGINT AS uts FROM events"), "spec_table": (spec_table, SPECS_SQL),
     "anomaly_repair": (repaired, repaired_sql), "anomaly_counts": (dropped, dropped_sql), "regular_grid": (grid, GRID_SQL), "market_session": (session, SESSION_SQL),
     "latest_close": (latest_close, f"SELECT ticker, round(arg_max(close, ts), 6) AS close FROM ({USER_BARS_SQL}) GROUP BY ticker"), "chunked_ema": (chunked_ema, chunked_ema_sql), "long_series": (long_series, long_series_sql),
-    "context_windows": (contexts, contexts_sql), "feature_report": (feature_report, feature_report_sql), "frame_mode": (frame_mode, frame_mode_sql), "frame_mode_every_bar": (frame_mode_every_bar, lambda: frame_mode_sql(250, 1)),
+    "context_windows": (contexts, contexts_sql), "feature_report": (feature_report, feature_report_sql), "frame_mode": (frame_mode, lambda: frame_mode_sql(100)), "frame_mode_every_bar": (frame_mode_every_bar, lambda: frame_mode_sql(250)), "frame_features": (frame_features, lambda: frame_mode_sql(60, FRAME_FEATURES)),
     "agreement_entries": (lambda s, d: rounded(entries(s, d), LEVELS), f"SELECT ticker, ts, {rounded_sql(LEVELS)}, maturity FROM ({ENTRIES_SQL})"),
     "first_exits": (lambda s, d: rounded(exits(s, d), [*LEVELS, "exit_price"]), f"SELECT ticker, ts, {rounded_sql([*LEVELS, 'exit_price'])}, maturity, exit_ts, exit_type FROM ({EXITS_SQL})"),
     "thinned_entries": (lambda s, d: rounded(taken(s, d), [*LEVELS, "exit_price"]), f"SELECT ticker, ts, {rounded_sql([*LEVELS, 'exit_price'])}, maturity, exit_ts, exit_type FROM ({TAKEN_SQL})"),

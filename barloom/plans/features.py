@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators
 from ..sources.specs import typed
+from .frames import frame_series
 from .graph import Graph
 
 
@@ -89,18 +90,36 @@ def context_matrix(contexts: DataFrame) -> DataFrame:
     return held.select("ts", F.transform("m", lambda x: x["feature"]).alias("features"), F.transform("m", lambda x: x["context"]).alias("matrix"))
 
 
-def frames(bars: DataFrame, size: int = 250, every: int = 1) -> DataFrame:
+def frames(bars: DataFrame, size: int = 250, every: int = 1, keys: list[str] | None = None) -> DataFrame:
     """Each ``every``-th bar as an anchor with the ``size`` bars that end there: bars with anchor_ts.
 
     Indicators with the keys ticker and anchor_ts then start anew in each frame, as a buffer of that size does. Each bar is copied to
     the anchors that follow it within ``size`` bars, by its place, so no range join is needed.
     """
-    w = Window.partitionBy("ticker").orderBy("ts")
+    keys = keys or ["ticker"]
+    w = Window.partitionBy(*keys).orderBy("ts")
     placed = bars.withColumn("__i", F.row_number().over(w).cast("long"))
-    anchors = placed.where(F.col("__i") % every == 0).select("ticker", F.col("__i").alias("__a"), F.col("ts").alias("anchor_ts"))
+    anchors = placed.where(F.col("__i") % every == 0).select(*keys, F.col("__i").alias("__a"), F.col("ts").alias("anchor_ts"))
     first = F.ceil(F.col("__i") / every) * every
     copies = placed.withColumn("__a", F.explode(F.when(first <= F.col("__i") + size - 1, F.sequence(first, F.col("__i") + size - 1, F.lit(every).cast("long")))))
-    return copies.join(anchors, ["ticker", "__a"]).drop("__i", "__a")
+    return copies.join(anchors, [*keys, "__a"]).drop("__i", "__a")
+
+
+def frame_values(bars: DataFrame, wanted: Mapping[str, tuple[str, Mapping[str, object]]], size: int = 250, keys: list[str] | None = None) -> DataFrame:
+    """``bars`` with a column for each of ``wanted``: its value on the ``size`` bars that end at each bar (fewer at the start of a series), started anew there.
+
+    Windows, differences and sums within a frame and exponential weightings of them come from one run per block of bars (``plans.frames``); only
+    series that aren't linear in their past (such as ADX or the parabolic stop) are computed on copies of the bars, as ``frames`` makes them.
+    """
+    keys = keys or ["ticker"]
+    g = Graph()
+    nodes = {name: indicators.build(g, function, params) for name, (function, params) in wanted.items()}
+    out, rest = frame_series(bars, nodes, g, size, keys)
+    if rest:
+        copies = indicators.series(frames(bars, size, keys=keys), {name: wanted[name] for name in rest}, [*keys, "anchor_ts"])
+        out = out.join(copies.where("ts = anchor_ts").select(*keys, "ts", *rest), [*keys, "ts"])
+    finished = {name: F.when(~F.isnan(F.col(name).cast("double")), F.col(name).cast("double")) for name in wanted}
+    return out.withColumns(finished).select(*[c for c in bars.columns if c not in wanted], *wanted)
 
 
 def quality_report(long: DataFrame) -> DataFrame:
