@@ -35,19 +35,40 @@ def pairs_of(ranked: list) -> list[tuple]:
     return list(zip(ranked[::2], ranked[1::2], strict=False))
 
 
-def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8).tobytes()
 
 
-def row(**columns) -> pa.RecordBatch:
-    """One row of arrays."""
-    return pa.RecordBatch.from_arrays([lists(v, [0, len(v)]) if isinstance(v, np.ndarray | pa.Array) else pa.array([v], pa.int64()) for v in columns.values()], list(columns))
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}" if n else "u1").astype(np.int64)
+
+
+def cells(batch: pa.RecordBatch, i: int) -> dict:
+    """The columns of row ``i`` of a table of shards: arrays of numbers, terms and pairs as lists of bytes."""
+    at = lambda name: batch.column(name)[i].as_buffer().to_pybytes()
+    out = {"keys": batch.column("keys")[i].values, "starts": np.frombuffer(at("starts"), np.int64), "sizes": np.frombuffer(at("sizes"), np.int64), "terms": at("terms").split(b" ")}
+    for name in ("docs", "tfs"):
+        out[name] = unpacked(at(name), int(out["starts"][-1]))
+    if "joint" in batch.schema.names:
+        ends = np.frombuffer(at("pair_starts"), np.int64)
+        out |= {"pairs": at("pairs").split(b"\n") if len(ends) > 1 else [], "joint": np.frombuffer(at("joint"), np.int64), "pair_starts": ends, "common": unpacked(at("common"), int(ends[-1]))}
+    return out
+
+
+def row(keys: pa.Array, **columns: bytes | int) -> pa.RecordBatch:
+    parts = [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
+    parts += [pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in columns.values()]
+    return pa.RecordBatch.from_arrays(parts, ["keys", *columns])
+
+
+SHARD_FIELDS = "sizes binary, terms binary, starts binary, docs binary, tfs binary"
 
 
 def shards(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for about each SHARD_BYTES of text: its documents with a term (keys, sizes), their number of terms, and each term's documents and frequencies.
+    """A row for about each SHARD_BYTES of text: its documents with a term (keys, sizes), their number, all their terms, and each term's documents and frequencies.
 
-    starts has where the postings of each term begin, and their end; docs are places in keys, ascending.
+    Numbers are packed in bytes, so that a row is a few MB in all. starts has where the postings of each term begin, and their end; docs are places in keys, ascending.
     """
     kind = docs.select(F.col(f"`{key}`")).schema[0].dataType.simpleString()
 
@@ -59,10 +80,9 @@ def shards(docs: DataFrame, key: str, text: str) -> DataFrame:
             term = np.concatenate(found)
             order = np.argsort(term, kind="stable")
             doc = np.repeat(np.arange(len(keys), dtype=np.int32), [len(x) for x in found])[order]
-            starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(ids)))]).astype(np.int32)
-            spelled = pa.array([t.decode() for t in ids], pa.string())
+            starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(ids)))])
             return row(
-                keys=pa.concat_arrays(keys), sizes=np.array(sizes, np.int64), length=int(sum(sizes)), terms=spelled, df=np.diff(starts).astype(np.int64), starts=starts, docs=doc, tfs=np.concatenate(times)[order]
+                pa.concat_arrays(keys), n_docs=len(keys), length=sum(sizes), sizes=np.array(sizes, np.int64).tobytes(), terms=b" ".join(ids), starts=starts.astype(np.int64).tobytes(), docs=packed(doc), tfs=packed(np.concatenate(times)[order])
             )
 
         for batch in batches:
@@ -73,7 +93,7 @@ def shards(docs: DataFrame, key: str, text: str) -> DataFrame:
                     if terms:
                         counts = Counter(terms)
                         found.append(np.fromiter(map(ids.__getitem__, counts), np.int32, len(counts)))
-                        times.append(np.fromiter(counts.values(), np.int64, len(counts)))
+                        times.append(np.fromiter(counts.values(), np.int32, len(counts)))
                         keys.append(own.slice(i, 1))
                         sizes.append(len(terms))
                         held += len(body)
@@ -84,10 +104,22 @@ def shards(docs: DataFrame, key: str, text: str) -> DataFrame:
         if keys:
             yield out()
 
-    schema = f"keys array<{kind}>, sizes array<bigint>, length bigint, terms array<string>, df array<bigint>, starts array<int>, docs array<int>, tfs array<bigint>"
+    schema = f"keys array<{kind}>, n_docs bigint, length bigint, {SHARD_FIELDS}"
     return docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
+def document_counts(shards: DataFrame) -> DataFrame:
+    """(term, df) over all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for terms, starts in zip(batch.column("terms"), batch.column("starts"), strict=True):
+                spelled = pa.array(terms.as_py().split(b" "), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([spelled, pa.array(np.diff(np.frombuffer(starts.as_py(), np.int64)))], ["term", "df"])
+
+    return shards.select("terms", "starts").mapInArrow(run, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+
+
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     """(key, terms, times) of each row: its different terms in order, and how often each stands in it."""
     kind = queries.select(F.col(f"`{key}`")).schema[0].dataType.simpleString()
@@ -116,20 +148,38 @@ class Index:
     length: int
 
 
-def joint_lists(terms: pa.Array, starts: np.ndarray, docs: np.ndarray, impacts: np.ndarray, wanted: tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]) -> tuple:
-    """Of the wanted pairs whose terms a shard has: which, the joint maximum of their weighted impacts, and the documents with both."""
-    first, second, w1, w2 = wanted
-    a, b = (pc.fill_null(pc.index_in(x, value_set=terms), -1).to_numpy() for x in (first, second))
+@dataclass
+class Pairs:
+    """Pairs of terms to be listed: their names (both terms with a space between them), and the terms with their weights."""
+
+    names: list[bytes]
+    terms: tuple[pa.Array, pa.Array]
+    weights: tuple[np.ndarray, np.ndarray]
+
+
+def impacts_of(tfs: np.ndarray, sizes: np.ndarray, docs: np.ndarray, n_docs: int, length: int) -> np.ndarray:
+    m = 75 + (25 * sizes * n_docs) // length
+    return (1_000_000_000 * tfs) // (1000 * tfs + 12 * m[docs])
+
+
+def joint_lists(terms: pa.Array, starts: np.ndarray, docs: np.ndarray, impacts: np.ndarray, n: int, wanted: Pairs) -> dict[str, bytes]:
+    """Of the wanted pairs whose terms a shard of ``n`` documents has: which, the joint maximum of their weighted impacts, and the documents with both."""
+    a, b = (pc.fill_null(pc.index_in(x, value_set=terms), -1).to_numpy() for x in wanted.terms)
     here = np.flatnonzero((a >= 0) & (b >= 0))
-    most, common, ends = np.zeros(len(here), np.int64), [], [0]
+    most, common, ends = np.zeros(len(here), np.int64), [], np.zeros(len(here) + 1, np.int64)
+    of_first = np.zeros(n, np.int64)
     for i, p in enumerate(here):
         x, y = slice(starts[a[p]], starts[a[p] + 1]), slice(starts[b[p]], starts[b[p] + 1])
-        both, at, bt = np.intersect1d(docs[x], docs[y], assume_unique=True, return_indices=True)
+        of_first[docs[x]] = impacts[x]
+        found = of_first[docs[y]]
+        hit = found > 0  # an impact is never 0
+        of_first[docs[x]] = 0
+        both = docs[y][hit]
         if len(both):
-            most[i] = (w1[p] * impacts[x][at] + w2[p] * impacts[y][bt]).max()
+            most[i] = (wanted.weights[0][p] * found[hit] + wanted.weights[1][p] * impacts[y][hit]).max()
         common.append(both)
-        ends.append(ends[-1] + len(both))
-    return here.astype(np.int32), most, np.array(ends, np.int32), np.concatenate(common).astype(np.int32) if common else np.zeros(0, np.int32)
+        ends[i + 1] = ends[i] + len(both)
+    return {"pairs": b"\n".join(wanted.names[p] for p in here), "joint": most.tobytes(), "pair_starts": ends.tobytes(), "common": packed(np.concatenate(common)) if common else b""}
 
 
 def build_index(docs: DataFrame, workload: DataFrame | None = None, *, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text", max_pairs: int = MAX_PAIRS) -> Index:
@@ -142,38 +192,33 @@ def build_index(docs: DataFrame, workload: DataFrame | None = None, *, key: str
     """
     spark = docs.sparkSession
     plain = cut(shards(docs, key, text))
-    n_docs, length = plain.select(F.sum(F.size("keys")), F.sum("length")).first()
+    n_docs, length = plain.select(F.sum("n_docs"), F.sum("length")).first()
     n_docs, length = n_docs or 0, length or 0
-    df = cut(plain.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df")))
-    first, second, w1, w2 = [], [], [], []
+    df = cut(document_counts(plain))
+    chosen = []
     if workload is not None:
-        # 2 N + 2 over 2 df + 1 falls with df, so terms of a query go from the lightest on by df downwards.
+        # A term's weight falls with its df, so the terms of a query go from the lightest on by df downwards.
         terms = query_terms(workload, query_key, query_text).withColumn("q", F.monotonically_increasing_id()).select("q", F.explode("terms").alias("term")).join(df, "term")
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("df"), "term")) - 1
         two = terms.withColumn("at", place).groupBy("q", F.floor(F.col("at") / 2)).agg(F.min(F.struct("at", "term", "df")).alias("a"), F.max(F.struct("at", "term", "df")).alias("b"))
         pairs = two.where("a.at < b.at").groupBy(F.col("a.term").alias("a"), F.col("b.term").alias("b"), F.col("a.df").alias("n"), F.col("b.df").alias("k")).count()
-        for r in pairs.orderBy(F.desc("count"), "a", "b").limit(max_pairs).collect():
-            for held, value in zip((first, second, w1, w2), (r.a, r.b, weight(n_docs, r.n), weight(n_docs, r.k)), strict=True):
-                held.append(value)
-    chosen = spark.sparkContext.broadcast((pa.array(first, pa.string()), pa.array(second, pa.string()), np.array(w1, np.int64), np.array(w2, np.int64)))
+        chosen = pairs.orderBy(F.desc("count"), "a", "b").limit(max_pairs).collect()
+    wanted = Pairs(
+        [f"{r.a} {r.b}".encode() for r in chosen], (pa.array([r.a.encode() for r in chosen], pa.binary()), pa.array([r.b.encode() for r in chosen], pa.binary())),
+        (np.array([weight(n_docs, r.n) for r in chosen], np.int64), np.array([weight(n_docs, r.k) for r in chosen], np.int64)),
+    )
+    listed = spark.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                c = {n: batch.column(n)[i].values for n in ("keys", "sizes", "terms", "starts", "docs", "tfs")}
-                sizes, starts, at, tf = (c[n].to_numpy(zero_copy_only=False) for n in ("sizes", "starts", "docs", "tfs"))
-                m = 75 + (25 * sizes * n_docs) // length
-                impacts = (1_000_000_000 * tf) // (1000 * tf + 12 * m[at])
-                most = np.maximum.reduceat(impacts, starts[:-1])
-                pairs, joint, ends, common = joint_lists(c["terms"], starts, at, impacts, chosen.value)
-                yield row(
-                    keys=c["keys"], terms=c["terms"], starts=starts, docs=at, impacts=impacts.astype(np.int32), most=most.astype(np.int32), firsts=chosen.value[0].take(pa.array(pairs)), seconds=chosen.value[1].take(pa.array(pairs)),
-                    joint=joint, pair_starts=ends, common=common,
-                )
+                c = cells(batch, i)
+                impacts = impacts_of(c["tfs"], c["sizes"], c["docs"], n_docs, length)
+                same = {name: batch.column(name)[i].as_py() for name in ("sizes", "terms", "starts", "docs", "tfs")}
+                yield row(c["keys"], **same, most=np.maximum.reduceat(impacts, c["starts"][:-1]).tobytes(), **joint_lists(pa.array(c["terms"], pa.binary()), c["starts"], c["docs"], impacts, len(c["keys"]), listed.value))
 
     kind = plain.schema["keys"].dataType.simpleString()
-    schema = f"keys {kind}, terms array<string>, starts array<int>, docs array<int>, impacts array<int>, most array<int>, firsts array<string>, seconds array<string>, joint array<bigint>, pair_starts array<int>, common array<int>"
-    made = cut(plain.mapInArrow(run, schema))
+    made = cut(plain.mapInArrow(run, f"keys {kind}, {SHARD_FIELDS}, most binary, pairs binary, joint binary, pair_starts binary, common binary"))
     forget(plain)
     return Index(made, df, n_docs, length)
 
@@ -181,13 +226,12 @@ def build_index(docs: DataFrame, workload: DataFrame | None = None, *, key: str
 class Shard:
     """One shard's lists, and the scores of queries against it."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int, vocabulary: pa.Array, pairs: tuple[pa.Array, pa.Array]):
-        c = {n: batch.column(n)[i].values for n in batch.schema.names}
-        self.keys = c["keys"]
-        self.starts, self.docs, self.impacts, self.most, self.joint, self.pair_starts, self.common = (c[n].to_numpy(zero_copy_only=False) for n in ("starts", "docs", "impacts", "most", "joint", "pair_starts", "common"))
-        self.place = pc.fill_null(pc.index_in(vocabulary, value_set=c["terms"]), -1).to_numpy()
-        joined = [pc.binary_join_element_wise(a, b, " ") for a, b in ((c["firsts"], c["seconds"]), pairs)]
-        self.pair_place = pc.fill_null(pc.index_in(joined[1], value_set=joined[0]), -1).to_numpy()
+    def __init__(self, batch: pa.RecordBatch, i: int, block: Block):
+        c = cells(batch, i)
+        self.keys, self.starts, self.docs, self.joint, self.pair_starts, self.common = (c[n] for n in ("keys", "starts", "docs", "joint", "pair_starts", "common"))
+        self.impacts = impacts_of(c["tfs"], c["sizes"], c["docs"], block.n_docs, block.length)
+        self.most = np.frombuffer(batch.column("most")[i].as_buffer(), np.int64)
+        self.place, self.pair_place = (pc.fill_null(pc.index_in(wanted, value_set=pa.array(own, pa.binary())), -1).to_numpy() for wanted, own in ((block.vocabulary, c["terms"]), (block.pairs, c["pairs"])))
         self.scores = np.zeros(len(self.keys), np.int64)
 
     def add(self, term: int, times: int, candidates: np.ndarray | None) -> None:
@@ -200,9 +244,9 @@ class Shard:
         if candidates is not None and 8 * len(candidates) < len(docs):
             where = np.minimum(np.searchsorted(docs, candidates), len(docs) - 1)
             hit = docs[where] == candidates
-            self.scores[candidates[hit]] += times * impacts[where[hit]].astype(np.int64)
+            self.scores[candidates[hit]] += times * impacts[where[hit]]
         else:
-            self.scores[docs] += times * impacts.astype(np.int64)
+            self.scores[docs] += times * impacts
 
     def search(self, query: Query, least: int, k: int) -> list[tuple[int, object]]:
         """(score, key) of the documents that may be among the best ``k``: all those of ``least`` or more among this shard's best, ties with the last included.
@@ -261,12 +305,16 @@ class Query:
 
 @dataclass
 class Block:
+    """Queries with their vocabulary and the names of their pairs, and what impacts depend on."""
+
     vocabulary: pa.Array
-    pairs: tuple[pa.Array, pa.Array]
+    pairs: pa.Array
     queries: list[Query]
+    n_docs: int
+    length: int
 
 
-def block_of(rows: list, df: dict[str, int], n_docs: int) -> Block:
+def block_of(rows: list, df: dict[str, int], n_docs: int, length: int) -> Block:
     """The queries (q, terms, times) of one block; terms of no document are left out."""
     vocabulary = {t: i for i, t in enumerate(df)}
     w = {t: weight(n_docs, n) for t, n in df.items()}
@@ -280,7 +328,7 @@ def block_of(rows: list, df: dict[str, int], n_docs: int) -> Block:
         often = [max(times[a], times[b]) for a, b in pairs_of(ranked)]
         alone = len(ranked) % 2
         queries.append(Query(r.q, np.array([vocabulary[t] for t in ranked], np.int64), np.array([times[t] * w[t] for t in ranked], np.int64), np.array(own + [-1] * alone, np.int64), np.array(often + [1] * alone, np.int64)))
-    return Block(pa.array(list(df), pa.string()), (pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string())), queries)
+    return Block(pa.array([t.encode() for t in df], pa.binary()), pa.array([f"{a} {b}".encode() for a, b in pairs], pa.binary()), queries, n_docs, length)
 
 
 def by_rank(found: tuple[int, object]) -> tuple:
@@ -298,7 +346,7 @@ def searched(shards: DataFrame, block, k: int, floors) -> DataFrame:
         for batch in batches:
             key_type = batch.schema.field("keys").type.value_type
             for i in range(batch.num_rows):
-                shard = Shard(batch, i, work.vocabulary, work.pairs)
+                shard = Shard(batch, i, work)
                 for q in work.queries:
                     top = tops[q.number]
                     if len(q.terms):
@@ -339,7 +387,7 @@ def search(index: Index, queries: DataFrame, k: int = 20, *, key: str = "item_id
     for i in range(n_blocks):
         block_rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i)
         known = block_rows.select(F.explode("terms").alias("term")).distinct().join(index.df, "term").collect()
-        block = spark.sparkContext.broadcast(block_of(block_rows.collect(), {r.term: r.df for r in sorted(known)}, index.n_docs))
+        block = spark.sparkContext.broadcast(block_of(block_rows.collect(), {r.term: r.df for r in sorted(known)}, index.n_docs, index.length))
         floors = None
         if n_shards > SEED_SHARDS:
             floors = spark.sparkContext.broadcast({r.q: r.score for r in best_of(searched(few, block, k, None), k).where(F.col("rank") == k).select("q", "score").collect()})

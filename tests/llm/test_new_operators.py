@@ -290,6 +290,6 @@ def test_pair_bounds_skip_more_than_single_ones(spark, monkeypatch):
     items = [(1, "rare left right")]
     d, q = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
     index = ranking.build_index(d, q)
-    shard = index.shards.select("firsts", "seconds", "joint", "common").first()
-    assert (shard["firsts"], shard["seconds"], shard["joint"], shard["common"]) == (["left"], ["right"], [0], [])
+    shard = index.shards.select("pairs", "joint", "common").first()
+    assert (shard["pairs"], shard["joint"], shard["common"]) == (b"left right", bytes(8), b"")
     assert ranked(index, q) == brute_ranking(docs, items)
