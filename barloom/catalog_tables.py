@@ -344,11 +344,11 @@ def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed(spark, sf_dir, 60, FRAME_FEATURES)
 
 
-def frame_mode_sql(size: int, names: dict[str, str] = FRAMED) -> str:
+def frame_mode_sql(size: int, names: dict[str, str] = FRAMED, period: int = 15) -> str:
     g = Graph()
     base = f"""SELECT b.* REPLACE (b.ticker || '@' || a.ts::VARCHAR AS ticker), a.ts AS anchor, b.ticker AS t FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM ({BARS_SQL})) b
 JOIN (SELECT ticker, ts, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM ({BARS_SQL})) a ON a.ticker = b.ticker AND b.i BETWEEN a.i - {size - 1} AND a.i"""
-    made = duck.sql(base, {c: indicators.build(g, n, parameters(n) | {"time_period": 15, "series_type": "CLOSE"}) for c, n in names.items()})
+    made = duck.sql(base, {c: indicators.build(g, n, parameters(n) | {"time_period": period, "series_type": "CLOSE"}) for c, n in names.items()})
     return f"SELECT split_part(ticker, '@', 1) AS ticker, ts, {', '.join(names)} FROM ({made}) WHERE split_part(ticker, '@', 2) = ts::VARCHAR"
 
 
@@ -504,11 +504,15 @@ SELECT roll::INTEGER AS roll, role, count(*) AS n, min(ts) AS first_ts, max(ts)
 # Streams over the tables
 
 
+def pieces(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    """Events as a stream of six files, one a batch."""
+    return live.read_stream(spark, live.in_pieces(spark.read.parquet(f"{sf_dir}/events.parquet"), f"{at}/in"), 1)
+
+
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of raw quotes, normalised, folded to minute bars."""
-    raw = raw_quotes(spark, sf_dir, live.read_stream(spark, f"{sf_dir}/events.parquet"))
-    typed = payloads.normal_quotes(raw, F.lit("2000-01-01").cast("timestamp"))
     at = scratch(spark)
+    typed = payloads.normal_quotes(raw_quotes(spark, sf_dir, pieces(spark, sf_dir, at)), F.lit("2000-01-01").cast("timestamp"))
     out = live.run_once(live.minute_bars(typed), f"{at}/bars", f"{at}/checkpoint")
     return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), SHOWN)
 
@@ -524,8 +528,8 @@ def batch_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of high value as a stream of signals, one per ticker and two hours let through."""
-    e = live.read_stream(spark, f"{sf_dir}/events.parquet").where("value > 5").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     at = scratch(spark)
+    e = pieces(spark, sf_dir, at).where("value > 5").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     out = live.run_once(live.cooled_entries(e, COOLDOWN), f"{at}/out", f"{at}/checkpoint")
     return out.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
 
@@ -538,34 +542,33 @@ SELECT ticker, ts, event_id FROM x JOIN r USING (ticker, i) WHERE take"""
 
 def stream_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars in update mode: each bar as it was last seen, those in progress too."""
-    typed = payloads.normal_quotes(raw_quotes(spark, sf_dir, live.read_stream(spark, f"{sf_dir}/events.parquet")), F.lit("2000-01-01").cast("timestamp"))
     at = scratch(spark)
+    typed = payloads.normal_quotes(raw_quotes(spark, sf_dir, pieces(spark, sf_dir, at)), F.lit("2000-01-01").cast("timestamp"))
     out = live.latest_updates(live.minute_bars(typed), f"{at}/bars", f"{at}/checkpoint")
     return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), SHOWN)
 
 
 def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars as a stream; SMA and EMA on the last 250 bars of each ticker, as a live buffer of that size gives them."""
+    """Bars as a stream of six files: SMA, EMA and RSI of each bar on the last 250 bars of its ticker, as a live buffer of that size gives them."""
     at = scratch(spark)
-    B.bars_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).repartition(3, "ticker").write.parquet(f"{at}/in")
-    wanted = {n.lower(): (n, {"time_period": 10, "series_type": "CLOSE"}) for n in ("SMA", "EMA")}
-    each = live.features_per_batch(lambda b: indicators.series(b, wanted).select("ticker", "ts", *wanted), f"{at}/last", f"{at}/features")
-    query = live.read_stream(spark, f"{at}/in").writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = spark.read.parquet(f"{at}/features").drop("batch")
-    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), list(wanted))
+    live.in_pieces(B.bars_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), f"{at}/in")
+    wanted = {c: (n, {"time_period": 10, "series_type": "CLOSE"}) for c, n in LIVE.items()}
+    out = live.live_features(live.read_stream(spark, f"{at}/in", 1), lambda b: features.frame_values(b, wanted, 250), f"{at}/features", f"{at}/checkpoint")
+    return rounded(out.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), *wanted), list(wanted))
+
+
+LIVE = {"sma": "SMA", "ema": "EMA", "rsi": "RSI"}
 
 
 def stream_features_sql() -> str:
-    g, base = Graph(), f"SELECT * FROM ({BARS_SQL}) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) <= 250"
-    return duck.sql(base, {n.lower(): indicators.build(g, n, {"time_period": 10, "series_type": "CLOSE"}) for n in ("SMA", "EMA")})
+    return frame_mode_sql(250, LIVE, 10)
 
 
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of high value as positions that mature after an hour, given out when the watermark has passed that."""
-    e = live.read_stream(spark, f"{sf_dir}/events.parquet").where("value > 5").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).cast("timestamp").alias("maturity"), "event_id")
     at = scratch(spark)
-    out = live.run_once(live.expired_positions(e), f"{at}/out", f"{at}/checkpoint")
+    e = pieces(spark, sf_dir, at).where("value > 5").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).cast("timestamp").alias("maturity"), "event_id")
+    out = live.run_once(live.expired_positions(e), f"{at}/out", f"{at}/checkpoint", stateful=True)
     return out.select("ticker", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("ts", "maturity")], "event_id")
 
 

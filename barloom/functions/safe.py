@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 
 def fdiv(a: Column, b: Column) -> Column:
@@ -32,3 +35,9 @@ def epoch_of_local_minute(text: Column, zone: str = "US/Eastern") -> Column:
 def clean_zero(x: Column, digits: int) -> Column:
     """Rounded, NaN as null, without a negative zero."""
     return F.when(~F.isnan(x), F.round(x, digits) + F.lit(0.0))
+
+
+def without_nan(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``df`` with null in place of NaN in those of ``columns`` that are floating-point columns of it: a value that is no number is a missing one."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType | FloatType)}
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in columns if c in floats})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NO_LOSS_FACTOR = 999.0
@@ -35,22 +35,43 @@ def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def class_returns(rows: DataFrame) -> DataFrame:
-    """Mean, median and sample deviation of ret for each truth and pred.
+DIGITS = (48, 32, 16, 0)
+"""Bits that are left behind each digit of a number's key: four digits of 16 bits."""
+
+
+def ordered_key(x: Column) -> Column:
+    """A whole number of 64 bits in the order of a double that isn't NaN, infinities included: its bits, those of negative numbers turned over."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x).cast("long")
+    return bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(F.lit((1 << 63) - 1)))
+
 
-    The median is found by counting: values per bin of 1/512 of a unit, combined before the shuffle and summed up over the bins of a class, say which
-    bins hold the middle, and only values of those are put in order.
+def middle_values(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median): the mean of the one or two middle values of each class, nulls and NaN left out.
+
+    Found digit by digit: values are counted by the first 16 bits of their keys, the digit that holds a middle place is chosen, and so on among those
+    with that beginning. Each of the four passes combines its counts before the shuffle, so neither a hot class nor a value that most rows share
+    meets in one task; what is joined is one or two rows per class.
     """
+    keyed = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("__v")).withColumn("__key", ordered_key(F.col("__v")))
+    places = F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))))
+    wanted = keyed.groupBy(*by).agg(F.count("*").alias("n")).select(*by, places.alias("place")).select(*by, "place", F.col("place").alias("rest"), F.lit(None).cast("long").alias("begin"))
+    for i, left in enumerate(DIGITS):
+        within = keyed.join(F.broadcast(wanted), by)
+        if i:
+            within = within.where(F.shiftright("__key", DIGITS[i - 1]) == F.col("begin"))
+        counts = within.groupBy(*by, "place", "rest", F.shiftright("__key", left).alias("next")).agg(F.count("*").alias("c"), F.min("__v").alias("v"))
+        upto = F.sum("c").over(Window.partitionBy(*by, "place").orderBy("next").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        chosen = counts.withColumn("upto", upto).where("upto > rest AND upto - c <= rest")
+        wanted = chosen.select(*by, "place", (F.col("rest") - F.col("upto") + F.col("c")).alias("rest"), F.col("next").alias("begin"), *(["v"] if left == 0 else []))
+    return wanted.groupBy(*by).agg(F.avg("v").alias("median"))
+
+
+def class_returns(rows: DataFrame) -> DataFrame:
+    """Mean, median and sample deviation of ret for each truth and pred; a ret that is null or NaN is no return. The median is exact, as ``middle_values`` has it."""
     by = ["truth", "pred"]
-    valid = rows.where("pred is not null AND truth is not null AND ret is not null").select(*by, "ret")
+    valid = rows.where("pred is not null AND truth is not null AND ret is not null AND NOT isnan(ret)").select(*by, F.col("ret").cast("double").alias("ret"))
     stats = valid.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("deviation"))
-    binned = valid.withColumn("bin", F.floor(F.col("ret") * 512))
-    up_to = F.sum("c").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    bins = binned.groupBy(*by, "bin").agg(F.count("*").alias("c")).withColumn("upto", up_to).join(stats.select(*by, "n"), by)
-    middle = bins.where("upto > (n - 1) div 2 AND upto - c <= n div 2").select(*by, "bin", (F.col("upto") - F.col("c")).alias("before"), "n")
-    placed = binned.join(middle, [*by, "bin"]).withColumn("place", F.row_number().over(Window.partitionBy(*by, "bin").orderBy("ret")) - 1 + F.col("before"))
-    median = placed.where("place = n div 2 OR place = (n - 1) div 2").groupBy(*by).agg(F.avg("ret").alias("median"))
-    return stats.join(median, by).select(*by, "n", "mean", "median", "deviation")
+    return stats.join(middle_values(valid, by, "ret"), by).select(*by, "n", "mean", "median", "deviation")
 
 
 def equity(trades: DataFrame, quantity: int = 2) -> DataFrame:

@@ -12,11 +12,13 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.safe import without_nan
 from ..plans.graph import Graph, Node, compute
 
 Params = Mapping[str, object]
 INDICATORS: dict[str, Callable[[Graph, Params], Node]] = {}
 
+PRICES_AND_VOLUME = ("open", "high", "low", "close", "volume")
 PI = repr(math.pi)
 INF, NEG_INF = "CAST('Infinity' AS DOUBLE)", "CAST('-Infinity' AS DOUBLE)"
 
@@ -593,12 +595,13 @@ def build(g: Graph, name: str, params: Params) -> Node:
 def series(bars: DataFrame, wanted: Mapping[str, tuple[str, Params]], keys: list[str] | None = None, order: str = "ts", *, block: int | None = None) -> DataFrame:
     """``bars`` with a column for each of ``wanted`` (column name -> indicator and parameters), per ``keys`` in the order of ``order``.
 
-    Bars have open, high, low, close and volume as doubles, null where missing, and one row per key and time. An empty table gives
+    Bars have open, high, low, close and volume as doubles, null where missing (NaN is taken, and given back, as null), and one row per key and time. An empty table gives
     an empty one; one row gives null where more are needed. A key is held by one task, unless ``block`` gives the rows of the
     blocks that long keys are cut into (``plans.blocks``); results are the same.
     """
     g = Graph()
     outputs = {name: build(g, f, p) for name, (f, p) in wanted.items()}
+    bars = without_nan(bars, PRICES_AND_VOLUME)
     if block:
         from ..plans import blocks
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
+
+from ..sources.scratch import written
 
 TAKE_PROFIT, STOP_LOSS, STOP_GAP, SLIPPAGE = 0.008, 0.01, 0.03, 0.05
 HORIZON = "15 minutes"
@@ -65,28 +68,76 @@ def first_exits(entries: DataFrame, prices: DataFrame, *, bucket: str = "hour")
     return out.select(*entries.columns, F.when(close.isNotNull(), F.col("__e.at")).alias("exit_ts"), paid.alias("exit_price"), "exit_type")
 
 
-def thinned(entries: DataFrame, *, cooldown_seconds: float = COOLDOWN_SECONDS, restart_on_skip: bool = True) -> DataFrame:
-    """Entries that are taken, per ticker in time order: none within the cooldown behind the last try, none while a position is open.
+def chain(rows: DataFrame, key: str, at: str, wait: str, block: Column) -> DataFrame:
+    """The rows of each key that a walk from its first row stops at: from each it goes on to the first row whose ``at`` is its ``wait`` or more.
 
-    A signal that an open position stops counts as a try if ``restart_on_skip``. A position is open from its entry until exit_ts, and
-    without one for good. The fold keeps two times per ticker; tickers run in parallel.
+    ``at`` and ``wait`` are numbers (wait above at; null: the walk ends), ``block`` ascends with ``at``. Each block of a key is walked apart, from every row of it at once: where a
+    walk leaves the block depends on the row it enters by, and neighbours leave alike, so a block is told by few pairs (last entry of a run, what it
+    waits for when it leaves). The pairs of a key's blocks, in order, give what each block is entered with, and then each is walked once more.
     """
+    kind = dict(rows.dtypes)[key]
+    blocked = rows.withColumn("__block", block)
+    table = StructType().add("__key", rows.schema[key].dataType).add("__block", blocked.schema["__block"].dataType).add("entries", ArrayType(LongType())).add("leaves", ArrayType(LongType()))
+    end = 2**62
+
+    def successors(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        part = part.sort_values(at, kind="stable").reset_index(drop=True)
+        times = part[at].to_numpy("int64")
+        waits = np.array([end if pd.isna(w) else int(w) for w in part[wait].tolist()], dtype="int64")
+        return part, times, waits
+
+    def told(names: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        _, times, waits = successors(part)
+        after = np.searchsorted(times, waits, "left")
+        leaves = waits.copy()
+        for i in range(len(times) - 1, -1, -1):
+            if after[i] < len(times):
+                leaves[i] = leaves[after[i]]
+        last = np.append(np.flatnonzero(leaves[1:] != leaves[:-1]), len(leaves) - 1)
+        return pd.DataFrame({"__key": [names[0]], "__block": [names[1]], "entries": [times[last].tolist()], "leaves": [leaves[last].tolist()]})
+
+    def entered(part: pd.DataFrame) -> pd.DataFrame:
+        part, now, out = part.sort_values("__block"), -end, []
+        for entries, leaves in zip(part["entries"], part["leaves"], strict=True):
+            out.append(now)
+            i = int(np.searchsorted(entries, now, "left"))
+            now = int(leaves[i]) if i < len(entries) else now
+        return part[["__key", "__block"]].assign(enter=out)
+
+    def walked(part: pd.DataFrame) -> pd.DataFrame:
+        part, times, waits = successors(part)
+        now, taken = int(part["enter"].iloc[0]), []
+        while (i := int(np.searchsorted(times, now, "left"))) < len(times):
+            taken.append(i)
+            now = waits[i]
+        return part.iloc[taken][columns]
+
+    held = blocked.withColumn("__key", F.col(key).cast(kind))
+    tables = held.groupBy("__key", "__block").applyInPandas(told, table)
+    enters = tables.groupBy("__key").applyInPandas(entered, StructType(table.fields[:2]).add("enter", "long"))
+    columns = rows.columns
+    return held.join(enters, [held["__key"].eqNullSafe(enters["__key"]), held["__block"] == enters["__block"]]).select(held["*"], enters["enter"]).groupBy("__key", "__block").applyInPandas(walked, rows.schema)
+
+
+def thinned(entries: DataFrame, *, cooldown_seconds: float = COOLDOWN_SECONDS, restart_on_skip: bool = True, block: str = "month") -> DataFrame:
+    """Entries that are taken, per ticker in time order: none within the cooldown behind the last try, none while a position is open.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
-        pause = pd.Timedelta(seconds=cooldown_seconds)
-        ready = free = pd.Timestamp.min
-        taken = []
-        for ts, out in zip(rows["ts"], rows["exit_ts"], strict=True):
-            take = ts >= ready and ts >= free
-            if take or (ts >= ready and restart_on_skip):
-                ready = ts + pause
-            if take:
-                free = out if pd.notna(out) else pd.Timestamp.max
-            taken.append(take)
-        return rows[taken]
+    A signal that an open position stops counts as a try if ``restart_on_skip``. A position is open from its entry until exit_ts, and
+    without one for good. Entries have a ticker and a time, one each per ticker and time.
 
-    return entries.groupBy("ticker").applyInPandas(fold, entries.schema)
+    Either rule is a walk along the entries (``chain``), in blocks of time: with ``restart_on_skip`` the tries are those that follow each other by the cooldown, whatever is
+    open, and the taken ones those of them that follow each other by their exits; without it, the next one taken waits for both.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    part = F.unix_micros(F.date_trunc(block, F.col("ts").cast("timestamp")))
+    pause = round(cooldown_seconds * 1_000_000)
+    timed = entries.withColumns({"__at": micros("ts"), "__pause": micros("ts") + F.lit(max(pause, 1)), "__free": F.when(F.col("exit_ts").isNotNull(), F.greatest(micros("exit_ts"), micros("ts") + 1))})
+    if restart_on_skip:
+        timed = chain(chain(timed, "ticker", "__at", "__pause", part), "ticker", "__at", "__free", part)
+    else:
+        both = F.when(F.col("__free").isNotNull(), F.greatest("__pause", "__free"))
+        timed = chain(timed.withColumn("__both", both), "ticker", "__at", "__both", part)
+    return timed.select(*entries.columns)
 
 
 def transactions(trades: DataFrame, quantity: int = 2) -> DataFrame:
@@ -117,31 +168,42 @@ def transactions(trades: DataFrame, quantity: int = 2) -> DataFrame:
     return placed.select(F.explode(rows).alias("t")).select("t.*")
 
 
+def running(df: DataFrame, out: str, value: Column, keys: list[str], part: str, order: list[str]) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of ``keys`` up to its own, in two levels: within each ``part`` (which ascends with ``order``), and over a row per part."""
+    own = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = df.withColumn("__value", value)
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = summed.groupBy(*keys, part).agg(F.sum("__value").alias("__sum")).select(*keys, part, F.sum("__sum").over(earlier).alias("__before"))
+    joined = summed.withColumn("__own", F.sum("__value").over(own)).join(before, [*keys, part])
+    return joined.withColumn(out, F.coalesce("__before", F.lit(0)) + F.coalesce("__own", F.lit(0))).drop("__value", "__own", "__before")
+
+
 def average_cost(fills: DataFrame) -> DataFrame:
     """Adds shares_held, cost_held (null where no position is left) and exposure to fills (symbol, ts, order_id, side BOT or SLD, shares, price).
 
     A buy adds shares * price to the exposure and makes the position anew, as large as that buy; a sale takes shares at the average cost, and
-    the position ends at 0 shares. A sale without a position changes nothing. One fold per symbol.
+    the position ends at 0 shares. A sale without a position changes nothing; null shares or prices count as 0, and shares aren't negative. Fills
+    without a symbol are one symbol's.
+
+    As a buy makes the position anew, the average cost is its price up to the next one: shares and exposure are sums over the fills since the last buy, and
+    over all, each in two levels by day, so that a symbol with many fills has many tasks. Steps are written, as each is read twice by the next.
     """
-    schema = StructType(list(fills.schema.fields)).add("shares_held", "double").add("cost_held", "double").add("exposure", "double")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "order_id"], kind="stable")
-        held = cost = exposure = 0.0
-        out = []
-        for side, shares, price in zip(rows["side"], rows["shares"], rows["price"], strict=True):
-            if side == "BOT":
-                held, cost = shares, shares * price
-                exposure += cost
-            elif side == "SLD" and held > 0:
-                part = shares * cost / held
-                held, cost, exposure = held - shares, cost - part, exposure - part
-                if held <= 0:
-                    held = cost = 0.0
-            out.append((held or None, cost if held else None, exposure))
-        return rows.assign(shares_held=[o[0] for o in out], cost_held=[o[1] for o in out], exposure=[o[2] for o in out]).astype({"shares_held": float, "cost_held": float})
-
-    return fills.groupBy("symbol").applyInPandas(fold, schema)
+    order = ["ts", "order_id"]
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    rows = fills.withColumns({"__symbol": F.struct("symbol"), "__day": F.coalesce(day, F.lit("0001-01-01").cast("timestamp")), "__shares": F.coalesce(F.col("shares").cast("double"), F.lit(0.0))})
+    bought, sold = F.col("side") == "BOT", F.col("side") == "SLD"
+    rows = written(rows)
+    rows = running(rows, "__buys", F.coalesce(bought.cast("long"), F.lit(0)), ["__symbol"], "__day", order)
+    rows = written(rows)
+    buys = rows.where(bought).select("__symbol", "__buys", F.col("__shares").alias("__bought"), F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("__cost"))
+    rows = written(rows.join(buys, ["__symbol", "__buys"], "left"))
+    rows = running(rows, "__sold", F.when(sold, F.col("__shares")).otherwise(0.0), ["__symbol", "__buys"], "__day", order)
+    open_before = F.coalesce(sold & (F.col("__bought") - F.col("__sold") + F.col("__shares") > 0), F.lit(False))
+    change = F.when(bought, F.col("__shares") * F.col("__cost")).when(open_before, -F.col("__shares") * F.col("__cost")).otherwise(0.0)
+    rows = written(rows.withColumn("__change", change))
+    rows = running(rows, "exposure", F.col("__change"), ["__symbol"], "__day", order)
+    held = F.greatest(F.col("__bought") - F.col("__sold"), F.lit(0.0))
+    return rows.select(*fills.columns, F.when(held > 0, held).alias("shares_held"), F.when(held > 0, held * F.col("__cost")).alias("cost_held"), F.col("exposure"))
 
 
 def exposure_timeline(trades: DataFrame, *, quantity: int = 2, limit: float = 7000.0) -> DataFrame:

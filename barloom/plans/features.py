@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.safe import without_nan
 from ..operators import indicators
 from ..sources.specs import typed
 from .frames import frame_series
@@ -114,6 +115,7 @@ def frame_values(bars: DataFrame, wanted: Mapping[str, tuple[str, Mapping[str, o
     keys = keys or ["ticker"]
     g = Graph()
     nodes = {name: indicators.build(g, function, params) for name, (function, params) in wanted.items()}
+    bars = without_nan(bars, indicators.PRICES_AND_VOLUME)
     out, rest = frame_series(bars, nodes, g, size, keys)
     if rest:
         copies = indicators.series(frames(bars, size, keys=keys), {name: wanted[name] for name in rest}, [*keys, "anchor_ts"])

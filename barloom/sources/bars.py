@@ -5,28 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.safe import without_nan
+
 BAR_COLUMNS = ["ticker", "ts", "open", "high", "low", "close", "volume"]
 
 
+KEY_BITS = 72
+
+
 def tick_order(time: Column, ties: list[tuple[Column, int]]) -> Column:
-    """Time, then whole numbers from 0 of so many bits each, as one number of fixed width, by which partial aggregates can be kept in a hash table."""
+    """Time, then whole numbers of so many bits each (72 in all at most), as one number of fixed width, by which partial aggregates can be kept in a hash table.
+
+    A null tie counts as 0. A number below 0 or beyond its bits would put ticks out of order, so it is an error.
+    """
+    if sum(bits for _, bits in ties) > KEY_BITS:
+        raise ValueError(f"ties of {sum(bits for _, bits in ties)} bits: {KEY_BITS} fit")
     key = F.unix_micros(time.cast("timestamp"))
     if not ties:
         return key
     key = key.cast("decimal(38,0)")
     for column, bits in ties:
-        key = (key * F.lit(str(1 << bits)).cast("decimal(20,0)")).cast("decimal(38,0)") + column.cast("decimal(20,0)")
+        tie = F.coalesce(column.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+        wrong = F.raise_error(F.concat(F.lit(f"a tie is not in {bits} bits: "), tie.cast("string"))).cast("decimal(20,0)")
+        tie = F.when((tie >= 0) & (tie < F.lit(str(1 << bits)).cast("decimal(20,0)")), tie).otherwise(wrong)
+        key = (key * F.lit(str(1 << bits)).cast("decimal(20,0)")).cast("decimal(38,0)") + tie
     return key.cast("decimal(38,0)")
 
 
 def bars_from_ticks(ticks: DataFrame, ticker: Column, time: Column, bucket: Column, price: Column, volume: Column, ties: list[tuple[Column, int]] | None = None) -> DataFrame:
-    """First, greatest, least and last price and the summed volume per ticker and bucket; ``ties`` order ticks of one time (72 bits in all at most).
+    """First, greatest, least and last price and the summed volume per ticker and bucket; ``ties`` order ticks of one time, as ``tick_order`` takes them.
 
-    Partial results are combined before the shuffle, in hash tables and without sorting ticks, so a hot ticker sends one row per bucket and task.
+    A tick without a price (null or NaN) counts with its volume alone. Ticks without a ticker or bucket are left out; of ticks that tie in all, any
+    may be first. Partial results are combined before the shuffle, in hash tables and without sorting ticks, so a hot ticker sends one row per bucket and task.
     """
     rows = ticks.select(ticker.alias("ticker"), bucket.alias("ts"), tick_order(time, ties or []).alias("at"), price.cast("double").alias("price"), volume.cast("double").alias("v")).where("ticker is not null and ts is not null")
+    rows = without_nan(rows, ["price", "v"])
+    at = F.when(F.col("price").isNotNull(), F.col("at"))
     return rows.groupBy("ticker", "ts").agg(
-        F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"), F.sum("v").alias("volume"),
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("v").alias("volume"),
     )
 
 

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -22,3 +22,10 @@ def scratch(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         top = context.getCheckpointDir()
     return f"{top.rstrip('/')}/barloom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a new scratch folder: what is read several times is computed once, and a lost executor costs a read."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

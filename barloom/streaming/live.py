@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.cleaning import last_rows
-
 WATERMARK = "2 minutes"
 LEAD_SECONDS = 5
 """A bar starts so long before the minute of its label."""
@@ -39,37 +38,95 @@ def minute_bars(quotes: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return bars.select(F.col("symbol").alias("ticker"), label.alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def features_per_batch(compute: Callable[[DataFrame], DataFrame], last_path: str, features_path: str, size: int = 250) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch``: features of the tickers in a batch on their last ``size`` bars.
+class LastBars(StatefulProcessor):
+    """A ring of the last ``size`` bars of each ticker: a place holds the bars whose number leaves its remainder.
+
+    Gives a batch's new bars with those before them that their windows read (``size`` - 1 at most), told apart by is_new. Bars are taken in the order of their times; one that isn't
+    later than the ticker's last is left out, as a window of it has been given already. Only new bars are written to the state.
+    """
 
-    What is kept from batch to batch is a table of the last ``size`` bars per ticker, not the history: each batch reads the one before it and
-    writes its own. The batch number is part of what is written, so a batch that runs again replaces its own rows. A bar that comes again
-    replaces the one it had.
+    def __init__(self, schema: StructType, size: int):
+        self.names, self.fields, self.size = schema.names, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getMapState("ring", "place int", self.fields)
+        self.count = handle.getValueState("count", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = self.count.get()[0] if self.count.exists() else 0
+        held = pd.DataFrame([self.ring.getValue((i % self.size,)) for i in range(max(0, n - self.size), n)], columns=self.names)
+        new = pd.concat(list(rows)).sort_values("ts", kind="stable").drop_duplicates("ts", keep="last")[self.names]
+        if len(held):
+            last = pd.Timestamp(held["ts"].iloc[-1])
+            new = new[new["ts"] > (last.tz_localize(None) if last.tzinfo else last)]
+        if not len(new):
+            return
+        for i, bar in enumerate(new.tail(self.size).itertuples(index=False), n + max(0, len(new) - self.size)):
+            self.ring.updateValue((i % self.size,), tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else None if pd.isna(x) else x for x in bar))
+        self.count.update((n + len(new),))
+        held = held.tail(self.size - 1) if self.size > 1 else held.iloc[:0]
+        if len(held):
+            yield held.assign(is_new=False)
+        yield new.assign(is_new=True)
+
+    def close(self) -> None:
+        pass
+
+
+def start_stateful(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a query whose operators hold state of several kinds, which needs the RocksDB store; the session's own setting is put back."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, own)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
+def live_features(bars: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, size: int = 250) -> DataFrame:
+    """Runs a stream of bars over what is there now: the features of each new bar on the last ``size`` bars of its ticker, one row per bar and in all.
+
+    ``compute`` gets the new bars with those their windows read and must keep the columns it doesn't know, such as ``plans.features.frame_values`` with
+    that size does. What is kept from batch to batch is ``LastBars``. The batch's number is part of what is written, so a batch that runs again
+    replaces its own rows.
     """
+    spark = bars.sparkSession
+    schema = bars.schema
+    seen = bars.groupBy("ticker").transformWithStateInPandas(LastBars(schema, size), StructType(list(schema.fields)).add("is_new", "boolean"), "append", "none")
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("__new", F.lit(1))
-        if number > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{last_path}/batch={number - 1}").withColumn("__new", F.lit(0))
-            new = before.unionByName(new)
-        best = new.withColumn("__best", F.row_number().over(Window.partitionBy("ticker", "ts").orderBy(F.desc("__new")))).where("__best = 1").drop("__best")
-        last_rows(best, size).drop("__new").write.mode("overwrite").parquet(f"{last_path}/batch={number}")
-        held = spark.read.schema(batch.schema).parquet(f"{last_path}/batch={number}")
-        compute(held.join(batch.select("ticker").distinct(), "ticker", "left_semi")).write.mode("overwrite").parquet(f"{features_path}/batch={number}")
+        compute(batch).where("is_new").drop("is_new").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    start_stateful(seen.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True), spark).awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
 
-    return each
+def upsert(rows: DataFrame, path: str, by: str = "hour") -> None:
+    """Puts rows (ticker, ts, ...) in place of those that the table at ``path`` has for their tickers and times.
+
+    The table is cut by time, and only the parts with new rows are read and written anew, so that what a batch costs follows its own span of time. Done
+    again, it changes nothing.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("part", F.date_format(F.date_trunc(by, "ts"), "yyyy-MM-dd-HH-mm"))
+    spark.createDataFrame([], new.schema).write.mode("append").partitionBy("part").parquet(path)  # so that there is a table
+    parts = new.select("part").distinct()
+    # in order of parts, of which a batch has few
+    there = spark.read.schema(new.schema).parquet(path).join(F.broadcast(parts), "part", "left_semi").join(new.select("ticker", "ts"), ["ticker", "ts"], "left_anti")
+    there.select(*new.columns).unionByName(new).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def latest_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs a stream in update mode over what is there now; the rows (ticker, ts, ...) as each was last given, those in progress too."""
+    """Runs a stream in update mode over what is there now into a table of (ticker, ts, ...), as each row was last given, those in progress too."""
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held = batch.persist()
+        upsert(held, path)
+        held.unpersist()
 
     stream.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    every = stream.sparkSession.read.parquet(path)
-    return every.groupBy("ticker", "ts").agg(F.max_by(F.struct(*stream.columns), "batch").alias("r")).select("r.*")
+    return stream.sparkSession.read.schema(StructType(list(stream.schema.fields)).add("part", "string")).parquet(path).drop("part")
 
 
 def cooled_entries(signals: DataFrame, seconds: float = 45, watermark: str = WATERMARK) -> DataFrame:
@@ -101,49 +158,71 @@ def cooled_entries(signals: DataFrame, seconds: float = 45, watermark: str = WAT
     return stamped.groupBy("ticker").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class Maturing(StatefulProcessor):
+    """Positions of one ticker and maturity, held until a timer says that the watermark has passed it; those that come later than that go at once."""
+
+    def __init__(self, schema: StructType):
+        self.names, self.fields = schema.names, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.fields)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = int(key[1])
+        if due <= timerValues.getCurrentWatermarkInMs():
+            yield from (part[self.names] for part in rows)
+            return
+        if not self.held.exists():
+            self.handle.registerTimer(due)
+        for part in rows:
+            self.held.appendList([tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else None if pd.isna(x) else x for x in r) for r in part[self.names].itertuples(index=False)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = pd.DataFrame(list(self.held.get()), columns=self.names)
+        self.held.clear()
+        yield rows
+
+    def close(self) -> None:
+        pass
+
+
 def expired_positions(positions: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Positions (ticker, ts, maturity, and more) of a stream, given out once the watermark has passed their maturity.
+    """Positions (ticker, ts, maturity, and more) of a stream, given out once the watermark has passed their maturity; start it with ``start_stateful``.
 
-    The state per ticker is its open positions.
+    The state is a list for each ticker and maturity (to the millisecond, as watermarks are) with a timer of its own, so a ticker with many open positions has many
+    tasks, and a batch touches the lists that it adds to or that are due. Positions without a maturity never expire and are left out.
     """
-    names = [f.name for f in positions.schema.fields]
-    state = StructType().add("rows", "string")
     stamped = positions.withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "maturity")}).withWatermark("ts", watermark)
-    out = stamped.schema
+    dated = stamped.where("maturity IS NOT NULL").withColumn("__due", F.unix_millis("maturity") + 1)
+    return dated.groupBy("ticker", "__due").transformWithStateInPandas(Maturing(positions.schema), stamped.schema, "append", "eventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        from io import StringIO
-
-        parts = [pd.read_json(StringIO(held.get[0]), orient="table").reset_index(drop=True)[names]] if held.exists else []
-        if not held.hasTimedOut:
-            parts += list(batches)
-        rows = pd.concat(parts) if parts else pd.DataFrame(columns=names)
-        for c in ("ts", "maturity"):
-            rows[c] = pd.to_datetime(rows[c]).dt.tz_localize(None).astype("datetime64[us]")
-        now = pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms")
-        due = rows["maturity"] < now
-        left = rows[~due].reset_index(drop=True)
-        if len(left):
-            held.update((left.to_json(orient="table", index=False, date_unit="us"),))
-            held.setTimeoutTimestamp(int(left["maturity"].min().timestamp() * 1000) + 1)
-        elif held.exists:
-            held.remove()
-        yield rows[due]
 
-    return stamped.groupBy("ticker").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", stateful: bool = False) -> DataFrame:
     """Runs a stream over what is there now into Parquet, and reads the result."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    (start_stateful(writer, stream.sparkSession) if stateful else writer.start()).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet folder or file as a stream, with the table's own schema. A stream reads folders, so a file is one that its folder is searched for."""
+def read_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A Parquet folder or file as a stream, with the table's own schema, ``files`` files a batch. A stream reads folders, so a file is one that its folder is searched for."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
     return reader.parquet(path)
+
+
+def in_pieces(table: DataFrame, path: str, pieces: int = 6, order: str = "ts") -> str:
+    """Writes a table as one file after another, each with a later part of ``order`` (nulls in the first), as a stream's source would get it."""
+    at = F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    cuts = table.select(at.alias("at")).approxQuantile("at", [i / pieces for i in range(1, pieces)], 0.01)
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        later = F.lit(True) if low is None else at >= low
+        earlier = F.lit(True) if high is None else at < high
+        part = later & earlier if low is not None else earlier | F.col(order).isNull()
+        table.where(part).coalesce(1).write.mode("append").parquet(path)
+    return path

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,17 +283,51 @@ def test_stream_equals_table(spark, tmp_path):
     assert out == table[: len(out)] and len(out) == len(table) - 1  # the last bar is still open
 
 
-def test_features_per_batch(spark, tmp_path):
-    each = live.features_per_batch(lambda b: indicators.series(b, {"sma": ("SMA", {"time_period": 3, "series_type": "CLOSE"})}).select("ticker", "ts", "sma"), f"{tmp_path}/bars", f"{tmp_path}/features", size=5)
-    f = walk(12)
-    for i in range(2):
-        part = to_spark(spark, f.iloc[6 * i : 6 * i + 6])
-        each(part, i)
-        each(part, i)
-    assert spark.read.parquet(f"{tmp_path}/bars").where("batch = 1").count() == 5
-    out = spark.read.parquet(f"{tmp_path}/features").where("batch = 1").orderBy("ts").toPandas()
-    np.testing.assert_allclose(out.sma.iloc[2:], f.close.rolling(3).mean().iloc[-3:])
-    assert len(out) == 5
+def test_live_features_over_batches(spark, tmp_path):
+    """Six batches, bars of two tickers: one row per bar, each on the last five bars; a late bar and a repeated one are left out."""
+    f = walk(40)
+    late = f.iloc[[3]].assign(close=-1.0)
+    parts = [f.iloc[:7], f.iloc[7:8], pd.concat([late, f.iloc[7:9]]), f.iloc[9:30], f.iloc[30:31], f.iloc[31:]]
+    for part in parts:
+        every = to_spark(spark, part)
+        every.unionByName(every.withColumns({"ticker": F.lit("other"), "close": F.col("close") * 2})).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    compute = lambda b: features.frame_values(b, {"sma": ("SMA", {"time_period": 3, "series_type": "CLOSE"}), "ema": ("EMA", {"time_period": 3, "series_type": "CLOSE"})}, 5)
+    stream = live.read_stream(spark, f"{tmp_path}/in", 1)
+    out = live.live_features(stream, compute, f"{tmp_path}/features", f"{tmp_path}/checkpoint", 5)
+    assert len(list((tmp_path / "features").glob("batch=*"))) == 6
+    whole = features.frame_values(to_spark(spark, f), {"sma": ("SMA", {"time_period": 3, "series_type": "CLOSE"}), "ema": ("EMA", {"time_period": 3, "series_type": "CLOSE"})}, 5).orderBy("ts").toPandas()
+    for ticker, scale in ((f.ticker.iloc[0], 1), ("other", 2)):
+        got = out.where(F.col("ticker") == ticker).orderBy("ts").toPandas()
+        assert list(got.ts) == list(whole.ts)
+        for c in ("sma", "ema"):
+            np.testing.assert_allclose(got[c], whole[c] * scale)
+
+
+def test_upsert_is_idempotent_and_reads_its_parts_only(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "ticker string, ts timestamp, close double")
+    path = f"{tmp_path}/t"
+    live.upsert(rows(("A", at(0), 1.0), ("A", at(70), 2.0), ("B", at(0), 3.0)), path)
+    before = set((tmp_path / "t").glob("part=*/*.parquet"))
+    for _ in range(2):
+        live.upsert(rows(("A", at(0), 5.0), ("A", at(1), 6.0)), path)
+        got = spark.read.parquet(path).orderBy("ticker", "ts").select("ticker", "ts", "close").collect()
+        assert [tuple(r) for r in got] == [("A", at(0), 5.0), ("A", at(1), 6.0), ("A", at(70), 2.0), ("B", at(0), 3.0)]
+    assert len(before & set((tmp_path / "t").glob("part=*/*.parquet"))) == 1  # the later hour's file is as it was
+    live.upsert(rows(), path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_many_open_positions_of_one_ticker(spark, tmp_path):
+    """Maturities spread over batches, repeated rows, one that comes when it is due already, and one without maturity."""
+    schema = "ticker string, ts timestamp, maturity timestamp, n long"
+    piece = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    piece([("A", at(0), at(5 + i % 40), i) for i in range(600)] + [("A", at(0), at(5), 0), ("A", at(0), None, -1)])
+    piece([("A", at(20), at(1000), 1000)])
+    piece([("A", at(20), at(3), 1001), ("B", at(20), at(18.5), 1002)])
+    piece([("B", at(60), at(1000), 1003)])
+    done = live.run_once(live.expired_positions(live.read_stream(spark, f"{tmp_path}/in", 1)), f"{tmp_path}/b", f"{tmp_path}/cb", stateful=True)
+    assert sorted(r["n"] for r in done.collect()) == sorted([*range(600), 0, 1001, 1002])
+    assert done.where("n = 7").first()["maturity"] == at(12)
 
 
 def test_stream_of_entries_and_positions(spark, tmp_path):
@@ -302,5 +337,5 @@ def test_stream_of_entries_and_positions(spark, tmp_path):
     kept = live.run_once(live.cooled_entries(s), f"{tmp_path}/a", f"{tmp_path}/ca").orderBy("ticker", "ts").collect()
     assert [(r["ticker"], r["ts"]) for r in kept] == [("A", at(0)), ("A", at(1)), ("B", at(0))]
     spark.createDataFrame([("C", at(60), at(75))], "ticker string, ts timestamp, maturity timestamp").write.mode("append").parquet(f"{tmp_path}/in")
-    done = live.run_once(live.expired_positions(live.read_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/b", f"{tmp_path}/cb").orderBy("ticker", "ts").collect()
+    done = live.run_once(live.expired_positions(live.read_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/b", f"{tmp_path}/cb", stateful=True).orderBy("ticker", "ts").collect()
     assert [(r["ticker"], r["ts"]) for r in done] == [("A", at(0)), ("A", at(0.5)), ("A", at(1))]
