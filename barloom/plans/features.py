@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from ..functions.safe import without_nan
 from ..operators import indicators
 from ..sources.specs import typed
+from . import blocks
 from .frames import frame_series
 from .graph import Graph
 
 
+CONTEXT_ROWS = 512
+"""Rows of a block that contexts are cut from."""
 MAX_SHAPES = 2000
 """Different functions with parameters that one plan takes."""
 
@@ -68,11 +75,40 @@ def last_contexts(table: DataFrame, plan: Mapping[str, tuple[str, Mapping[str, o
     return context_cells(held, plan, depth, keys)
 
 
-def contexts(table: DataFrame, plan: Mapping[str, tuple[str, Mapping[str, object]]], depth: int = 60, keys: list[str] | None = None) -> DataFrame:
-    """(keys, ts, feature, context) for every row of ``table``: the ``depth`` values that end there, as in ``last_contexts``."""
+def contexts(table: DataFrame, plan: Mapping[str, tuple[str, Mapping[str, object]]], depth: int = 60, keys: list[str] | None = None, block: int = CONTEXT_ROWS) -> DataFrame:
+    """(keys, ts, feature, context) for every row of ``table``: the ``depth`` values that end there, as in ``last_contexts``.
+
+    Series are cut into blocks of ``block`` rows with a halo of the ``depth`` - 1 rows before them, so a long key has many tasks; within a block, windows are
+    views of one matrix, and each context is written once.
+    """
     keys = keys or ["ticker"]
-    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(1 - depth, 0)
-    return context_cells(table.select(*keys, "ts", F.collect_list(F.struct(*plan)).over(w).alias("rows")), plan, depth, keys)
+    block = max(block, depth)
+    rows = blocks.placed(table.select(*keys, "ts", *plan), keys, "ts", block)
+    lent = rows.where(F.col(blocks.PLACE) > (F.col(blocks.BLOCK) + 1) * block - (depth - 1)).withColumn(blocks.BLOCK, F.col(blocks.BLOCK) + 1)
+    both = rows.withColumn(blocks.HALO, F.lit(False)).unionByName(lent.withColumn(blocks.HALO, F.lit(True)))
+    scales = np.array([float(indicators.scale_of(function)) for function, _ in plan.values()])[None, :, None]
+    names = pa.array(list(plan), pa.string())
+    schema = StructType([table.schema[c] for c in (*keys, "ts")]).add("feature", "string").add("context", ArrayType(FloatType()))
+
+    def windows(part: pa.Table) -> pa.Table:
+        part = part.sort_by(blocks.PLACE)
+        own = np.flatnonzero(~part[blocks.HALO].to_numpy())
+        n, width = part.num_rows, len(plan)
+        values, missing = np.zeros((n + depth - 1, width)), np.ones((n + depth - 1, width), bool)
+        for i, c in enumerate(plan):
+            cells = part[c].combine_chunks()
+            missing[depth - 1 :, i] = cells.is_null().to_numpy(zero_copy_only=False)
+            values[depth - 1 :, i] = cells.fill_null(0.0).to_numpy(zero_copy_only=False)
+        view, gaps = (sliding_window_view(x, depth, axis=0)[own] for x in (values, missing))
+        with np.errstate(all="ignore"):
+            context = ((view - view[:, :, -1:]) / scales).astype(np.float32)
+        flat = pa.array(context.ravel(), pa.float32(), mask=(gaps | gaps[:, :, -1:]).ravel())
+        count = len(own) * width
+        kept = part.select([*keys, "ts"]).take(pa.array(np.repeat(own, width)))
+        feature = names.take(pa.array(np.tile(np.arange(width), len(own))))
+        return kept.append_column("feature", feature).append_column("context", pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * depth, pa.int32()), flat))
+
+    return both.groupBy(*keys, blocks.BLOCK).applyInArrow(windows, schema)
 
 
 def context_cells(held: DataFrame, plan: Mapping[str, tuple[str, Mapping[str, object]]], depth: int, keys: list[str]) -> DataFrame:
