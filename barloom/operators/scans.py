@@ -6,6 +6,8 @@ the one computes blocks of rows apart and passes states along one row per block,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -62,26 +64,58 @@ def stop_and_reverse(high: np.ndarray, low: np.ndarray, close: np.ndarray, step:
     return np.array([stop.advance(h, x) for h, x in zip(high.tolist(), low.tolist(), strict=True)])
 
 
+def key_runs(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """The number of each row's key among those that follow each other in sorted rows."""
+    codes = np.stack([pd.factorize(rows[k], use_na_sentinel=False)[0] for k in keys])
+    return np.concatenate([[0], np.cumsum((codes[:, 1:] != codes[:, :-1]).any(axis=0))])
+
+
 def run(df: DataFrame, nodes: list, keys: list[str], order: str) -> DataFrame:
-    """``df`` with a double column per scan node; nodes are in an order in which each comes after those it reads."""
+    """``df`` with a double column per scan node; nodes are in an order in which each comes after those it reads.
+
+    Sorted rows pass by in batches, and all keys that a batch holds whole are computed together, so that many short keys cost little; a key that goes
+    on is held until its end.
+    """
     plan = [(n.name, n.what, [d.name for d in n.deps], dict(n.params)) for n in nodes]
     schema = StructType(df.schema.fields + [StructField(name, DoubleType()) for name, *_ in plan])
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
+    def computed(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+        key = key_runs(rows, keys)
+        bounds = [*np.flatnonzero(np.diff(key, prepend=-1)), len(rows)]
+        made: dict[str, pd.Series] = {}
         for name, what, deps, params in plan:
-            series = [rows[d].astype(float) for d in deps]
+            series = [made[d] if d in made else rows[d].astype(float) for d in deps]
             if what == "ewm":
-                rows[name] = ewm(series[0], params["alpha"])
-            elif what == "sar":
-                rows[name] = stop_and_reverse(*[s.to_numpy() for s in series], params["step"], params["limit"])
-            elif what == "quadrature":
-                rows[name] = quadrature(series[0].to_numpy())
+                values = ewm(series[0], params["alpha"]).to_numpy() if len(bounds) == 2 else series[0].groupby(key).ewm(alpha=params["alpha"], adjust=False, ignore_na=False).mean().to_numpy()
+            elif what in ("sar", "quadrature"):
+                columns = [x.to_numpy() for x in series]
+                each = [stop_and_reverse(*[c[i:j] for c in columns], params["step"], params["limit"]) if what == "sar" else quadrature(columns[0][i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
+                values = np.concatenate(each)
             else:
                 raise ValueError(what)
-        return rows
+            made[name] = pd.Series(values)
+        return pd.concat([rows, pd.DataFrame(made)], axis=1)
+
+    def run_along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            if not len(rows):
+                continue
+            key = key_runs(rows, keys)
+            if key[-1]:
+                split = int(np.searchsorted(key, key[-1]))
+                yield computed([*held, rows.iloc[:split]])
+                held = [rows.iloc[split:]]
+            elif held and key_runs(pd.concat([held[-1].iloc[-1:], rows.iloc[:1]]), keys)[-1]:
+                yield computed(held)
+                held = [rows]
+            else:
+                held.append(rows)
+        if held:
+            yield computed(held)
 
-    return df.groupBy(*keys).applyInPandas(one, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run_along, schema)
 
 
 def ewm_chunked(df: DataFrame, source: str, alpha: float, out: str, keys: list[str], order: str = "ts", *, chunk: Column) -> DataFrame:
