@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from .common import cut, unit_hash, with_columns_from_text
 
 LETTERS = re.compile(r"[^\W\d_]+")
-LEARNED_LETTERS = 400
-"""Longer words of the training sample aren't learned from; predictions take all words whole."""
 RESCALE = 32
 """Steps after which forward sums are scaled: the floor of ``estimate`` to this power is still a normal double."""
 MARK = "▁"
@@ -161,7 +159,7 @@ def train(labelled: DataFrame, text: str, lang: str, key: str, *, pieces: str =
     """Piece probabilities per language by expectation-maximisation; rows without a language are left out.
 
     About ``per_language`` rows of each language are used (all, if it has fewer), chosen by a hash of ``key`` in one pass. Spark counts their
-    words (of LEARNED_LETTERS at most) and sums expected counts; what reaches the driver is one row per language and piece. An empty table gives a model without languages.
+    words, whole however long, and sums expected counts; what reaches the driver is one row per language and piece. An empty table gives a model without languages.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{key}`").alias("key")).where("lang is not null and text is not null")
@@ -172,7 +170,7 @@ def train(labelled: DataFrame, text: str, lang: str, key: str, *, pieces: str =
         return {"langs": [], "pieces": vocabulary, "probability": np.ones((len(vocabulary) + 1, 0)), "prior": np.ones(0)}
     rate = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, per_language / totals[x]))])
     sample = rows.where(unit_hash(F.col("key"), "langid") < F.element_at(rate, F.col("lang")))
-    tokens = with_columns_from_text(sample, "text", "words array<string>", lambda: lambda texts: [[[w for w in words_of(t or "") if len(w) <= LEARNED_LETTERS] for t in texts]], ["lang"])
+    tokens = with_columns_from_text(sample, "text", "words array<string>", lambda: lambda texts: [[words_of(t or "") for t in texts]], ["lang"])
     words = cut(tokens.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count())
     probability = np.full((len(vocabulary) + 1, len(langs)), 1.0 / (len(vocabulary) + 1))
     for _ in range(rounds):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, beside, cut, join_dealt
 
-SEP = "\x01"
-"""Stands between the reversed host and the path of a key; sorts before anything a url has there."""
+SEP = "#"
+"""Stands between the reversed host and the path of a key; neither of a url's can hold it, so a key begins with a rule's only if the hosts are equal."""
 
 
 def url_host(url: Column) -> Column:

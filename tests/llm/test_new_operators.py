@@ -293,3 +293,25 @@ def test_pair_bounds_skip_more_than_single_ones(spark, monkeypatch):
     shard = index.shards.select("pairs", "joint", "common").first()
     assert (shard["pairs"], shard["joint"], shard["common"]) == (b"left right", bytes(8), b"")
     assert ranked(index, q) == brute_ranking(docs, items)
+
+
+# Earlier operators
+
+
+def test_url_hosts_with_control_characters(spark):
+    """A host that goes on behind any character is another host."""
+    from barloom.llm import urlfilter
+
+    rules = spark.createDataFrame([("block", "com", ""), ("block", "a.b", "/x")], "verdict string, host string, path string")
+    urls = ["http://com\x01zzz/a", "http://com\x00/a", "http://com/a", "http://q.com#", "http://a.b/x?#", "http://a.b\x01/x", "http://b\x01/x/x"]
+    out = urlfilter.url_filter(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()
+    assert {r["url"]: r["rule"] for r in out} == dict(zip(urls, [None, None, "com", "com", "a.b/x", None, None], strict=True))
+
+
+def test_languages_are_learned_from_long_words(spark):
+    from barloom.llm import langid
+
+    rows = [(i, "ab" * 600 if i % 2 else "cd" * 600, "x" if i % 2 else "y") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "abab"), (2, "cdcdcd")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.language_of(asked, docs).collect()} == {1: "x", 2: "y"}
