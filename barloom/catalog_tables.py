@@ -374,7 +374,7 @@ FROM (SELECT *, round(close + 0.05, 2) AS entry FROM ({SCORES_SQL}) WHERE profit
 
 
 def exits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.first_exits(entries(spark, sf_dir), B.bars_events(spark, sf_dir), bucket="hour")
+    return signals.first_exits(entries(spark, sf_dir), B.bars_events(spark, sf_dir))
 
 
 EXITS_SQL = f"""SELECT ticker, ts, entry, tp, sl, sl_limit, maturity, x.at AS exit_ts, CASE WHEN x.close >= tp THEN tp WHEN x.close <= sl THEN sl ELSE x.close END AS exit_price,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
+from ..plans.blocks import BLOCK, PLACE, placed
 from ..sources.scratch import written
 
 TAKE_PROFIT, STOP_LOSS, STOP_GAP, SLIPPAGE = 0.008, 0.01, 0.03, 0.05
@@ -33,39 +34,92 @@ def brackets(entries: DataFrame, *, take_profit: float = TAKE_PROFIT, stop_loss:
     return leveled.withColumns({"sl_limit": cents(F.col("sl") - STOP_GAP), "maturity": F.col("ts") + F.expr(f"INTERVAL {horizon}")})
 
 
-def first_exits(entries: DataFrame, prices: DataFrame, *, bucket: str = "hour") -> DataFrame:
+FAN = 64
+"""Children of a node of prices."""
+
+
+def price_nodes(prices: DataFrame) -> list[DataFrame]:
+    """Levels of (ticker, node, hi, lo): the greatest and least close of each of a node's FAN children at most, by place; at the lowest, the closes with their times (ats).
+
+    ``prices`` has ticker, at, close and __place, a number from 0 on without gaps per ticker.
+    """
+    own = F.array_sort(F.collect_list(F.struct("__place", "at", "close")))
+    rows = prices.groupBy("ticker", F.floor(F.col("__place") / FAN).alias("node")).agg(own.alias("x"))
+    levels = [written(rows.select("ticker", "node", F.col("x.close").alias("hi"), F.col("x.close").alias("lo"), F.col("x.at").alias("ats")))]
+    while levels[-1].where("node > 0").limit(1).count():
+        last = levels[-1].select("ticker", F.floor(F.col("node") / FAN).alias("up"), F.struct("node", F.array_max("hi").alias("hi"), F.array_min("lo").alias("lo")).alias("x"))
+        rows = last.groupBy("ticker", F.col("up").alias("node")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+        levels.append(written(rows.select("ticker", "node", F.col("x.hi").alias("hi"), F.col("x.lo").alias("lo"))))
+    return levels
+
+
+def first_crossings(asks: DataFrame, prices: DataFrame) -> DataFrame:
+    """(ticker, ts, hit): of each ask (ticker, ts, tp, sl, __from, __to) the first price (place, at, close) from the place __from on, before __to (null: no end), that is at or above tp or at or below sl.
+
+    A walk over the levels of ``price_nodes``: up from the node of __from until a later child crosses, then down to the price. Each step is an equi-join with one
+    node per ask, whatever the horizon; asks that are done stand aside under keys that no node has.
+    """
+    levels = price_nodes(prices)
+    apart = -1 - F.pmod(F.xxhash64("ts"), F.lit(1 << 20))
+    nothing = F.lit(None).cast("bigint")
+    now = asks.where("__from IS NOT NULL").select("ticker", "ts", "tp", "sl", "__to", F.col("__from").cast("long").alias("__pos"), nothing.alias("__level"), nothing.alias("__child"), F.lit(None).cast(f"struct<place:bigint,at:{dict(prices.dtypes)['at']},close:double>").alias("hit"))
+
+    def step(now: DataFrame, level: int, active: Column, node: Column, begin: Column) -> DataFrame:
+        """Looks for a crossing child of a node: sets __child to its number in the level and __level, and at the lowest level the hit."""
+        at = levels[level].withColumnRenamed("ticker", "__t")
+        placed = now.withColumns({"__active": active, "__node": F.when(active, node).otherwise(apart), "__begin": begin})
+        met = placed.join(at, [F.col("ticker") == F.col("__t"), F.col("__node") == F.col("node")], "left")
+        met = met.withColumn("__c", F.expr("try_element_at(filter(sequence(cast(__begin AS INT), greatest(cast(__begin AS INT), size(hi) - 1)), c -> try_element_at(hi, c + 1) >= tp OR try_element_at(lo, c + 1) <= sl), 1)"))
+        found = F.col("__active") & F.col("__c").isNotNull()
+        child = F.when(found, F.col("__node") * FAN + F.col("__c")).otherwise(F.col("__child"))
+        hit = F.col("hit")
+        if level == 0:
+            hit = F.when(found, F.struct(child.alias("place"), F.expr("try_element_at(ats, __c + 1)").alias("at"), F.expr("try_element_at(hi, __c + 1)").alias("close"))).otherwise(hit)
+        return met.withColumns({"__child": child, "__level": F.when(found, F.lit(level)).otherwise(F.col("__level")), "hit": hit, "__pos": F.when(F.col("__active"), F.col("__node") + 1).otherwise(F.col("__pos"))}).select(*now.columns)
+
+    for level in range(len(levels)):
+        pos = F.col("__pos")
+        now = step(now, level, F.col("__level").isNull(), F.floor(pos / FAN), pos % FAN)
+    for level in range(len(levels) - 2, -1, -1):
+        now = step(now, level, F.coalesce(F.col("__level") == level + 1, F.lit(False)), F.col("__child"), F.lit(0))
+    return now.where("hit IS NOT NULL AND (__to IS NULL OR hit.place < __to)").select("ticker", "ts", "hit")
+
+
+def first_exits(entries: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds exit_ts, exit_price and exit_type to bracketed entries: the first later price at or above tp (exit at tp), else at or below sl (at sl),
     else the first at or behind maturity (at that price); in that order within one price. Null where no such price is there yet.
 
-    ``prices`` has ticker, ts and close. Levels are looked for in an equi-join on ticker and time bucket, each entry copied to the
-    buckets from its own to its maturity's (choose a ``bucket`` of about the horizon); the price at maturity by one sorted pass over both tables, bounded per
-    ticker and month, with the next months' first price passed on. Entries of one ticker and time are taken as one.
+    ``prices`` has ticker, ts and close. The first price behind an entry and the first at its maturity are found by one sorted pass over both tables, bounded per
+    ticker and month, with the next months' first price passed on; what crosses a level between them, by ``first_crossings``, so that the work of an entry
+    doesn't depend on its horizon. Entries of one ticker and time are taken as one.
     """
-    size = F.expr(f"INTERVAL 1 {bucket}")
-    trunc = lambda c: F.date_trunc(bucket, c)
-    starts = F.sequence(trunc(F.col("ts")), F.greatest(trunc(F.col("ts")), trunc(F.col("maturity"))), size)
-    spread = entries.select("ticker", "ts", "tp", "sl", "maturity", F.explode(starts).alias("b"))
-    seen = prices.where("close is not null").select("ticker", F.col("ts").alias("at"), "close", trunc(F.col("ts").cast("timestamp")).alias("b"))
-    within = spread.withColumn("b", F.col("b").cast("timestamp")).join(seen, ["ticker", "b"]).where("at > ts AND at <= maturity AND (close >= tp OR close <= sl)")
-    hits = within.groupBy("ticker", "ts").agg(F.min_by(F.struct("at", "close"), "at").alias("hit"))
-
-    # the first price at or behind each maturity: latest first, the last price seen so far
-    month = lambda c: F.date_trunc("month", c.cast("timestamp"))
-    asks = entries.select("ticker", F.col("maturity").alias("at"), F.lit(0).alias("kind"), "ts", F.lit(None).cast("struct<at:timestamp_ntz,close:double>").alias("price"))
-    gives = prices.where("close is not null").select("ticker", F.col("ts").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(dict(entries.dtypes)["ts"]).alias("ts"), F.struct(F.col("ts").cast("timestamp_ntz").alias("at"), F.col("close").cast("double").alias("close")).alias("price"))
-    both = asks.unionByName(gives).withColumn("m", month(F.col("at")))
-    opening = both.groupBy("ticker", "m").agg(F.min_by("price", F.when(F.col("kind") == 1, F.col("at"))).alias("opening"))
-    onward = opening.withColumn("next", F.last("opening", True).over(Window.partitionBy("ticker").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1))).select("ticker", "m", "next")
+    kind = dict(entries.dtypes)["ts"]
+    given = prices.where("ticker is not null and ts is not null and close is not null").select("ticker", F.col("ts").cast("timestamp_ntz").alias("at"), F.col("close").cast("double").alias("close"))
+    given = written(placed(given, ["ticker"], "at", FAN).withColumn("__place", F.col(PLACE) - 1).drop(PLACE, BLOCK))
+    entries = written(entries)
+
+    # the first price at or behind each time asked for: latest first, the last price seen so far
+    month = F.date_trunc("month", F.col("at").cast("timestamp"))
+    asked = lambda what, at: entries.select("ticker", at.alias("at"), F.lit(0).alias("kind"), F.lit(what).alias("what"), "ts", F.lit(None).cast("struct<place:bigint,at:timestamp_ntz,close:double>").alias("price"))
+    gives = given.select("ticker", "at", F.lit(1).alias("kind"), F.lit("").alias("what"), F.lit(None).cast(kind).alias("ts"), F.struct(F.col("__place").alias("place"), "at", "close").alias("price"))
+    asks = asked("from", (F.col("ts") + F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp_ntz")).unionByName(asked("to", F.col("maturity").cast("timestamp_ntz")))
+    both = asks.unionByName(gives).withColumn("m", month)
+    opening = gives.withColumn("m", month).groupBy("ticker", "m").agg(F.min_by("price", "at").alias("opening"))
+    months = both.select("ticker", "m").distinct().join(opening, ["ticker", "m"], "left")
+    onward = months.withColumn("next", F.last("opening", True).over(Window.partitionBy("ticker").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1))).select("ticker", "m", "next")
     w = Window.partitionBy("ticker", "m").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    due = both.withColumn("mine", F.last("price", True).over(w)).where("kind = 0").join(onward, ["ticker", "m"], "left").select("ticker", "ts", F.coalesce("mine", "next").alias("due"))
+    seen = both.withColumn("mine", F.last("price", True).over(w)).where("kind = 0").join(onward, ["ticker", "m"], "left").select("ticker", "ts", "what", F.coalesce("mine", "next").alias("p"))
+    of = lambda what: F.max(F.when(F.col("what") == what, F.col("p")))
+    spans = seen.groupBy("ticker", "ts").agg(of("from").alias("__first"), of("to").alias("due"))
 
-    joined = entries.join(hits, ["ticker", "ts"], "left").join(due.dropDuplicates(["ticker", "ts"]), ["ticker", "ts"], "left")
-    price = F.coalesce("hit", F.struct(F.col("due.at").cast(dict(entries.dtypes)["ts"]).alias("at"), F.col("due.close").alias("close")))
+    wanted = written(entries.dropDuplicates(["ticker", "ts"]).select("ticker", "ts", "tp", "sl").join(spans, ["ticker", "ts"]))
+    hits = first_crossings(wanted.select("ticker", "ts", "tp", "sl", F.col("__first.place").alias("__from"), F.col("due.place").alias("__to")), given)
+    joined = entries.join(wanted.select("ticker", "ts", "due"), ["ticker", "ts"], "left").join(hits, ["ticker", "ts"], "left")
     close = F.col("__e.close")
-    kind = F.when(close >= F.col("tp"), "tp").when(close <= F.col("sl"), "sl").when(close.isNotNull(), "maturity")
-    out = joined.withColumn("__e", price).withColumn("exit_type", kind)
+    kinds = F.when(close >= F.col("tp"), "tp").when(close <= F.col("sl"), "sl").when(close.isNotNull(), "maturity")
+    out = joined.withColumn("__e", F.coalesce("hit", "due")).withColumn("exit_type", kinds)
     paid = F.when(F.col("exit_type") == "tp", F.col("tp")).when(F.col("exit_type") == "sl", F.col("sl")).otherwise(close)
-    return out.select(*entries.columns, F.when(close.isNotNull(), F.col("__e.at")).alias("exit_ts"), paid.alias("exit_price"), "exit_type")
+    return out.select(*entries.columns, F.when(close.isNotNull(), F.col("__e.at").cast(kind)).alias("exit_ts"), paid.alias("exit_price"), "exit_type")
 
 
 def chain(rows: DataFrame, key: str, at: str, wait: str, block: Column) -> DataFrame:

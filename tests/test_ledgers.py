@@ -146,3 +146,42 @@ def test_thinning_over_blocks(spark, restart, block, cooldown):
 
 def test_thinning_of_nothing(spark):
     assert signals.thinned(spark.createDataFrame([], "ticker string, ts timestamp, exit_ts timestamp")).count() == 0
+
+
+# Exits
+
+
+@pytest.mark.parametrize(("fan", "horizon"), [(4, 20000), (64, 3), (3, 400)])
+def test_first_exits_over_levels(spark, monkeypatch, fan, horizon):
+    """Long and short horizons over several months, prices with gaps and nulls, entries between, before and behind them, against a plain search."""
+    monkeypatch.setattr(signals, "FAN", fan)
+    rng = random.Random(fan)
+    prices, entries = [], []
+    for ticker in ("A", "B"):
+        level, minute = 100.0, 0
+        for _ in range(700):
+            minute += rng.choice([1, 1, 2, 500])
+            level *= math.exp(rng.gauss(0, 0.01))
+            prices.append((ticker, at(minute), None if rng.random() < 0.05 else level))
+        for m in sorted(rng.sample(range(-5, minute + 5), 60)):
+            entries.append((ticker, at(m), 100.0 * rng.uniform(1.01, 1.4), 100.0 * rng.uniform(0.7, 0.99), at(m + horizon)))
+    entries.append(("C", at(0), 1.0, 0.5, at(5)))
+    out = signals.first_exits(spark.createDataFrame(entries, "ticker string, ts timestamp, tp double, sl double, maturity timestamp"), spark.createDataFrame(prices, "ticker string, ts timestamp, close double"))
+    got = {(r["ticker"], r["ts"]): (r["exit_ts"], r["exit_price"], r["exit_type"]) for r in out.collect()}
+    assert len(got) == len(entries)
+    kinds = set()
+    for ticker, ts, tp, sl, maturity in entries:
+        later = [(t, p) for x, t, p in prices if x == ticker and t > ts and p is not None]
+        hit = next(((t, p) for t, p in later if p >= tp or p <= sl or t >= maturity), None)
+        want = (None, None, None) if hit is None else (hit[0], tp, "tp") if hit[1] >= tp else (hit[0], sl, "sl") if hit[1] <= sl else (*hit, "maturity")
+        assert got[ticker, ts] == want
+        kinds.add(want[2])
+    assert len(kinds) >= 3
+
+
+def test_no_exits(spark):
+    entries = spark.createDataFrame([], "ticker string, ts timestamp, tp double, sl double, maturity timestamp")
+    prices = spark.createDataFrame([("A", at(0), 1.0)], "ticker string, ts timestamp, close double")
+    assert signals.first_exits(entries, prices).count() == 0
+    one = spark.createDataFrame([("A", at(0), 1.0, 0.5, at(9))], entries.schema)
+    assert signals.first_exits(one, prices.limit(0)).first()["exit_type"] is None
