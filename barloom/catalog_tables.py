@@ -226,6 +226,22 @@ def long_series_sql() -> str:
     return duck.sql(ONE_TICKER_SQL, {n.lower(): indicators.build(g, n, parameters(n)) for n in LONG}, 4)
 
 
+HILBERT = [n for n in indicators.INDICATORS if n.startswith("HT_")]
+
+
+def long_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight Hilbert series of all events as one ticker, transformed in chunks."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bars = B.bars_from_ticks(e, F.lit("all"), F.col("ts"), F.date_trunc("hour", "ts").cast(dict(e.dtypes)["ts"]), F.col("value"), F.lit(1.0), [(F.col("event_id"), 63)])
+    wanted = {n.lower(): (n, parameters(n)) for n in HILBERT}
+    return rounded(indicators.series(bars, wanted, block=128).select("ticker", "ts", *wanted), list(wanted), 4)
+
+
+def long_hilbert_sql() -> str:
+    g = Graph()
+    return duck.sql(ONE_TICKER_SQL, {n.lower(): indicators.build(g, n, parameters(n)) for n in HILBERT}, 4)
+
+
 # Features
 
 CHOSEN = ["CLOSE", "SMA", "RSI", "MACD_SIGNAL", "BOP", "OBV", "AROONOSC", "WILLR", "VWAP", "ULTOSC"]
@@ -578,7 +594,7 @@ _QUERIES: dict[str, tuple[Query, str | Callable[[], str]]] = {
     "payload_bars": (payload_bars, PAYLOAD_SQL), "payload_indicator": (payload_indicator, payload_indicator_sql), "quotes": (quotes, QUOTES_SQL),
     "local_epochs": (local_epochs, "SELECT event_id, epoch(date_trunc('minute', ts))::BIGINT AS uts FROM events"), "spec_table": (spec_table, SPECS_SQL),
     "anomaly_repair": (repaired, repaired_sql), "anomaly_counts": (dropped, dropped_sql), "regular_grid": (grid, GRID_SQL), "market_session": (session, SESSION_SQL),
-    "latest_close": (latest_close, f"SELECT ticker, round(arg_max(close, ts), 6) AS close FROM ({USER_BARS_SQL}) GROUP BY ticker"), "chunked_ema": (chunked_ema, chunked_ema_sql), "long_series": (long_series, long_series_sql),
+    "latest_close": (latest_close, f"SELECT ticker, round(arg_max(close, ts), 6) AS close FROM ({USER_BARS_SQL}) GROUP BY ticker"), "chunked_ema": (chunked_ema, chunked_ema_sql), "long_series": (long_series, long_series_sql), "long_hilbert": (long_hilbert, long_hilbert_sql),
     "context_windows": (contexts, contexts_sql), "feature_report": (feature_report, feature_report_sql), "frame_mode": (frame_mode, lambda: frame_mode_sql(100)), "frame_mode_every_bar": (frame_mode_every_bar, lambda: frame_mode_sql(250)), "frame_features": (frame_features, lambda: frame_mode_sql(60, FRAME_FEATURES)),
     "agreement_entries": (lambda s, d: rounded(entries(s, d), LEVELS), f"SELECT ticker, ts, {rounded_sql(LEVELS)}, maturity FROM ({ENTRIES_SQL})"),
     "first_exits": (lambda s, d: rounded(exits(s, d), [*LEVELS, "exit_price"]), f"SELECT ticker, ts, {rounded_sql([*LEVELS, 'exit_price'])}, maturity, exit_ts, exit_type FROM ({EXITS_SQL})"),

@@ -1,8 +1,8 @@
 """The series of ``graph.compute`` for few, very long keys: cut into blocks of rows that are computed apart.
 
 Windows of a bounded length see the rows in front of their block as a halo; sums, counts and fills over all rows so far take what the blocks
-before give them, one row per block; exponential weights pass their states along the same way. So no task holds more than a block, but for
-what is sequential by nature: the parabolic stop runs along a key row by row, with a few numbers in memory.
+before give them, one row per block; exponential weights pass their states along the same way, and a Hilbert transform is a convolution in chunks. So no task
+holds more than a block, but for what is sequential by nature: the parabolic stop runs along a key row by row, with a few numbers in memory.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import scans
+from ..operators import fourier, scans
 from ..sources.scratch import scratch
 from .graph import Node, order_levels, window_sql, with_expressions
 
@@ -100,7 +100,7 @@ def with_scans(df: DataFrame, nodes: list[Node], keys: list[str], order: str) ->
             if n.what == "sar":
                 df = scans.stop_along(df, n.name, [d.name for d in n.deps], dict(n.params), keys, PLACE)
             elif n.what == "quadrature":
-                df = scans.run(df, [n], keys, PLACE)  # a transform of the whole series, which one task must hold
+                df = fourier.quadrature_blocks(df, n.name, n.deps[0].name, keys, PLACE)
         waiting = [n for n in waiting if n not in ready]
     return df
 
