@@ -124,6 +124,21 @@ def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.read_bars(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz")), SHOWN)
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features written to a table in buckets by ticker, and a moving average of one of them over the table as it is stored."""
+    table, _ = features.wide(B.bars_events(spark, sf_dir), [("RSI", {"time_period": 10, "series_type": "CLOSE"}), ("OBV", {})])
+    name = B.write_features(table.withColumnsRenamed({"f0": "close", "f1": "volume"}))
+    out = indicators.series(spark.table(name), {"smooth": ("SMA", {"time_period": 5, "series_type": "CLOSE"})})
+    shown = out.select("ticker", "ts", F.col("close").alias("rsi"), F.col("volume").alias("obv"), "smooth")
+    return rounded(shown, ["rsi", "obv", "smooth"])
+
+
+def stored_features_sql() -> str:
+    g = Graph()
+    made = duck.sql(BARS_SQL, {"rsi": indicators.build(g, "RSI", {"time_period": 10, "series_type": "CLOSE"}), "obv": indicators.build(g, "OBV", {})}, 12)
+    return f"""SELECT ticker, ts, round(rsi, 6) + 0.0 AS rsi, round(obv, 6) + 0.0 AS obv, round(CASE WHEN count(rsi) OVER w = 5 THEN avg(rsi) OVER w END, 6) + 0.0 AS smooth FROM ({made}) WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS 4 PRECEDING)"""
+
+
 def written_json(spark: SparkSession, rows: DataFrame) -> str:
     """One JSON object, from rows of (k, v), as a file in a folder of its own."""
     path = scratch(spark)
@@ -294,7 +309,7 @@ SELECT ticker, ts, feature, len(held)::DOUBLE AS n_values, {value('a')} AS oldes
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix of each time at which a last context ends: its columns' names and values, one row per value."""
-    table, plan = features.wide(B.bars_events(spark, sf_dir), chosen_specs()[:4])
+    table, plan = features.wide(B.bars_events(spark, sf_dir), chosen_specs())
     m = features.context_matrix(features.last_contexts(table, plan, DEPTH))
     columns = m.select("ts", F.posexplode(F.arrays_zip("features", "matrix")).alias("place", "c"))
     cells = columns.select("ts", "place", F.col("c.features").alias("feature"), F.posexplode("c.matrix").alias("pos", "value"))
@@ -303,21 +318,21 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matrix_sql() -> str:
     return f"""WITH k AS ({contexts_sql()}), e AS (SELECT ticker, max(ts) AS ts FROM ({BARS_SQL}) GROUP BY 1), p AS (SELECT ts, ticker, feature, (row_number() OVER (PARTITION BY ts ORDER BY feature, ticker) - 1)::INTEGER AS place FROM e, (SELECT DISTINCT feature FROM k))
-SELECT ts, place, feature, pos, value FROM k JOIN p USING (ticker, feature) WHERE feature IN ('f0', 'f1', 'f2', 'f3')""".replace("FROM e, (SELECT DISTINCT feature FROM k)", "FROM e, (SELECT DISTINCT feature FROM k WHERE feature IN ('f0', 'f1', 'f2', 'f3'))")
+SELECT ts, place, feature, pos, value FROM k JOIN p USING (ticker, feature)"""
 
 
-TICKERS = ["click", "purchase", "signup"]
+TICKERS = ["click", "error", "purchase", "signup", "view"]
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Close and SMA of three tickers side by side by time."""
+    """Close and SMA of all five tickers side by side by time."""
     table = indicators.series(B.bars_events(spark, sf_dir), {"sma": ("SMA", {"time_period": 10, "series_type": "CLOSE"})})
     out = features.aligned(table, TICKERS, ["close", "sma"])
     return rounded(out, [f"{t}_{c}" for t in TICKERS for c in ("close", "sma")])
 
 
 ALIGNED_SQL = f"""WITH b AS (SELECT ticker, ts, close, CASE WHEN count(*) OVER w = 10 THEN avg(close) OVER w END AS sma FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS 9 PRECEDING))
-SELECT ts, {', '.join(f"round(max({c}) FILTER (ticker = '{t}'), 6) + 0.0 AS {t}_{c}" for t in TICKERS for c in ("close", "sma"))} FROM b WHERE ticker IN ('click', 'purchase', 'signup') GROUP BY ts"""
+SELECT ts, {', '.join(f"round(max({c}) FILTER (ticker = '{t}'), 6) + 0.0 AS {t}_{c}" for t in TICKERS for c in ("close", "sma"))} FROM b GROUP BY ts"""
 
 
 def feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -604,7 +619,7 @@ _QUERIES: dict[str, tuple[Query, str | Callable[[], str]]] = {
     "forward_returns": (lambda s, d: as_doubles(labels(s, d), ["truth"]), f"SELECT ticker, ts, round(ret, 6) + 0.0 AS ret, truth::DOUBLE AS truth FROM ({EVALUATION_SQL})"), "confusion_metrics": (confusion, CONFUSION_SQL),
     "class_returns": (class_returns, f"SELECT truth, pred, count(*) AS n, round(avg(ret), 4) + 0.0 AS mean, round(quantile_cont(ret, 0.5), 4) + 0.0 AS median, round(stddev_samp(ret), 4) AS deviation FROM ({EVALUATION_SQL}) WHERE ret IS NOT NULL GROUP BY ALL"),
     "equity_days": (lambda s, d: equity(s, d).withColumn("day", F.col("day").cast("string")), f"SELECT day::VARCHAR AS day, {rounded_sql(['pnl', 'total', 'drawdown'], 4)} FROM ({EQUITY_SQL})"), "equity_metrics": (equity_metrics, EQUITY_METRICS_SQL), "walk_forward": (walk_forward, WALK_SQL),
-    "tracked_bars": (tracked_bars, TRACKED_SQL), "stored_bars": (stored_bars, PAYLOAD_SQL), "catalog_scan": (catalog_scan, CATALOG_SQL), "report_scan": (report_scan, "SELECT event_type AS name, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1"),
+    "tracked_bars": (tracked_bars, TRACKED_SQL), "stored_bars": (stored_bars, PAYLOAD_SQL), "stored_features": (stored_features, stored_features_sql), "catalog_scan": (catalog_scan, CATALOG_SQL), "report_scan": (report_scan, "SELECT event_type AS name, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1"),
     "context_windows_every_bar": (every_context, every_context_sql), "context_matrix": (matrix, matrix_sql), "aligned_features": (aligned, ALIGNED_SQL),
     "stored_ledger": (stored_ledger, f"SELECT * REPLACE ({', '.join(f'{c}::DOUBLE AS {c}' for c in IDS)}) FROM ({LEDGER_SQL})"),
     "stream_updates": (stream_updates, MINUTE_BARS_SQL), "stream_features": (stream_features, stream_features_sql), "stream_expiry": (stream_expiry, EXPIRY_SQL),

@@ -83,11 +83,21 @@ def ema(g, x, n, p):
     return ewm(g, x, span(n))
 
 
+ANCHOR = 1 << 16
+"""Row numbers start anew after so many, so that they don't take digits from what they are multiplied with."""
+
+
 def wma(g, x, n, p):
-    """Weights 1..n, the newest heaviest, from the sums of x and of x times its row number; null where the window has a null."""
-    rn = g.row_number()
-    weighted = rolling(g, "sum", g.expr("{0} * {1}", x, rn), n)
-    return g.expr("({0} - ({2} - " + str(n) + ") * {1}) / " + str(n * (n + 1) / 2), weighted, rolling(g, "sum", x, n), rn)
+    """Weights 1..n, the newest heaviest, from the sums of x and of x times its row number; null where the window has a null.
+
+    Row numbers are taken modulo ANCHOR from two starts, half of that apart; a window takes the one whose numbers don't start anew within it.
+    """
+    if n > ANCHOR // 2:
+        raise ValueError(f"a window of {n} rows: {ANCHOR // 2} at most")
+    plain, total = g.row_number(), rolling(g, "sum", x, n)
+    at, beside = g.expr(f"{{0}} % {ANCHOR}", plain), g.expr(f"({{0}} + {ANCHOR // 2}) % {ANCHOR}", plain)
+    one = lambda rn: g.expr("({0} - ({2} - " + str(n) + ") * {1}) / " + str(n * (n + 1) / 2), rolling(g, "sum", g.expr("{0} * {1}", x, rn), n), total, rn)
+    return g.expr("CASE WHEN {0} >= " + str(n) + " THEN {1} ELSE {2} END", at, one(at), one(beside))
 
 
 def dema(g, x, n, p):

@@ -55,6 +55,26 @@ def test_nan_bars_are_missing(spark):
     assert a == b and a[-1]["obv"] is not None
 
 
+def test_stored_features_need_no_exchange(spark):
+    from barloom.sources.bars import write_features
+
+    name = write_features(to_spark(spark, walk(30)), buckets=3)
+    out = indicators.series(spark.table(name), {"sma": ("SMA", {"time_period": 3, "series_type": "CLOSE"})})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
+    assert out.where("sma is not null").count() == 28
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_weighted_average_far_along_a_series(spark, monkeypatch):
+    """Over windows in which row numbers start anew, of either start."""
+    monkeypatch.setattr(indicators, "ANCHOR", 40)
+    f = walk(200)
+    out = indicators.series(to_spark(spark, f), {"wma": ("WMA", {"time_period": 7, "series_type": "CLOSE"})}).orderBy("ts").toPandas()
+    want = f.close.rolling(7).apply(lambda x: (x * range(1, 8)).sum() / 28, raw=True)
+    assert out.wma.isna().sum() == 6 and (out.wma - want.to_numpy()).abs().max() < 1e-12
+
+
 # Medians
 
 
