@@ -257,6 +257,42 @@ def long_hilbert_sql() -> str:
     return duck.sql(ONE_TICKER_SQL, {n.lower(): indicators.build(g, n, parameters(n)) for n in HILBERT}, 4)
 
 
+STOPS = {"slow": {"acceleration": 0.01, "maximum": 0.1}, "fast": {"acceleration": 0.05, "maximum": 0.4}}
+
+
+def long_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parabolic stops of all events as one ticker, each block started from the end of the one before."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bars = B.bars_from_ticks(e, F.lit("all"), F.col("ts"), F.date_trunc("hour", "ts").cast(dict(e.dtypes)["ts"]), F.col("value"), F.lit(1.0), [(F.col("event_id"), 63)])
+    out = indicators.series(bars, {name: ("SAR", p) for name, p in STOPS.items()}, block=64)
+    return rounded(out.select("ticker", "ts", *STOPS), list(STOPS))
+
+
+def long_stops_sql() -> str:
+    g = Graph()
+    return duck.sql(ONE_TICKER_SQL, {name: indicators.build(g, "SAR", p) for name, p in STOPS.items()})
+
+
+YEAR = 250
+WIDE_SERIES = ["SMA", "BBANDS_RUB", "WILLR", "MIDPRICE", "AROON_AU", "AROON_AD"]
+
+
+def wide_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators over the last 250 minutes of all events as one ticker: windows in pieces, not folded anew for each row."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bars = B.bars_from_ticks(e, F.lit("all"), F.col("ts"), F.date_trunc("minute", "ts").cast(dict(e.dtypes)["ts"]), F.col("value"), F.lit(1.0), [(F.col("event_id"), 63)])
+    wanted = {n.lower(): (n, {"time_period": YEAR, "series_type": "CLOSE", "matype": 0, "nbdevup": 2}) for n in WIDE_SERIES}
+    return rounded(indicators.series(bars, wanted, block=4096).select("ticker", "ts", *wanted), list(wanted))
+
+
+WIDE_SQL = f"""WITH bars AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM ({ONE_TICKER_SQL.replace("'hour'", "'minute'")})),
+w AS (SELECT ticker, ts, close, rn, avg(close) OVER w AS mean, stddev_samp(close) OVER w AS dev, max(high) OVER w AS top, min(low) OVER w AS bottom,
+  max({{'v': high, 'r': -rn}}) OVER w AS oldest_top, min({{'v': low, 'r': rn}}) OVER w AS oldest_bottom FROM bars WINDOW w AS (ORDER BY rn ROWS {YEAR - 1} PRECEDING))
+SELECT ticker, ts, {', '.join(f"CASE WHEN rn >= {YEAR} THEN round({x}, 6) + 0.0 END AS {name}" for name, x in {
+    "sma": "mean", "bbands_rub": "mean + 2 * dev", "willr": "(top - close) / (top - bottom) * -100", "midprice": "(top + bottom) / 2",
+    "aroon_au": f"({YEAR} - (rn + oldest_top.r)) / {YEAR}.0 * 100", "aroon_ad": f"({YEAR} - (rn - oldest_bottom.r)) / {YEAR}.0 * 100"}.items())} FROM w"""
+
+
 # Features
 
 CHOSEN = ["CLOSE", "SMA", "RSI", "MACD_SIGNAL", "BOP", "OBV", "AROONOSC", "WILLR", "VWAP", "ULTOSC"]
@@ -609,7 +645,7 @@ _QUERIES: dict[str, tuple[Query, str | Callable[[], str]]] = {
     "payload_bars": (payload_bars, PAYLOAD_SQL), "payload_indicator": (payload_indicator, payload_indicator_sql), "quotes": (quotes, QUOTES_SQL),
     "local_epochs": (local_epochs, "SELECT event_id, epoch(date_trunc('minute', ts))::BIGINT AS uts FROM events"), "spec_table": (spec_table, SPECS_SQL),
     "anomaly_repair": (repaired, repaired_sql), "anomaly_counts": (dropped, dropped_sql), "regular_grid": (grid, GRID_SQL), "market_session": (session, SESSION_SQL),
-    "latest_close": (latest_close, f"SELECT ticker, round(arg_max(close, ts), 6) AS close FROM ({USER_BARS_SQL}) GROUP BY ticker"), "chunked_ema": (chunked_ema, chunked_ema_sql), "long_series": (long_series, long_series_sql), "long_hilbert": (long_hilbert, long_hilbert_sql),
+    "latest_close": (latest_close, f"SELECT ticker, round(arg_max(close, ts), 6) AS close FROM ({USER_BARS_SQL}) GROUP BY ticker"), "chunked_ema": (chunked_ema, chunked_ema_sql), "long_series": (long_series, long_series_sql), "long_hilbert": (long_hilbert, long_hilbert_sql), "long_stops": (long_stops, long_stops_sql), "wide_series": (wide_series, WIDE_SQL),
     "context_windows": (contexts, contexts_sql), "feature_report": (feature_report, feature_report_sql), "frame_mode": (frame_mode, lambda: frame_mode_sql(100)), "frame_mode_every_bar": (frame_mode_every_bar, lambda: frame_mode_sql(250)), "frame_features": (frame_features, lambda: frame_mode_sql(60, FRAME_FEATURES)),
     "agreement_entries": (lambda s, d: rounded(entries(s, d), LEVELS), f"SELECT ticker, ts, {rounded_sql(LEVELS)}, maturity FROM ({ENTRIES_SQL})"),
     "first_exits": (lambda s, d: rounded(exits(s, d), [*LEVELS, "exit_price"]), f"SELECT ticker, ts, {rounded_sql([*LEVELS, 'exit_price'])}, maturity, exit_ts, exit_type FROM ({EXITS_SQL})"),

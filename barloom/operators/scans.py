@@ -1,7 +1,7 @@
 """Operators with state from row to row: exponential weights, parabolic stop-and-reverse, Hilbert quadrature.
 
-Each runs over the ordered rows of a key in one grouped pandas pass. ``ewm_blocks`` and ``stop_along`` are the forms for few, very long keys:
-the one computes blocks of rows apart and passes states along one row per block, the other goes along a key with a few numbers in memory.
+Each runs over the ordered rows of a key in one grouped pandas pass. ``ewm_blocks`` and ``stop_blocks`` are the forms for few, very long keys:
+they compute blocks of rows apart, the one passing states along one row per block, the other guessing them until all are right.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..sources.scratch import join_same, written
+
+
 def ewm(x: pd.Series, alpha: float) -> pd.Series:
     """y0 = x0, then y = (w y + a x) / (w + a) with w = (1 - a) ** (rows since the last value); nulls repeat y, leading ones stay."""
     return x.ewm(alpha=alpha, adjust=False, ignore_na=False).mean()
@@ -54,6 +57,21 @@ class Stop:
         self.before = ((high, low), *self.before[:1])
         return self.stop
 
+    def state(self) -> tuple[float, ...]:
+        """What the bars to come depend on, the last two bars aside; of the number of bars, whether there are more than one."""
+        return self.stop, self.extreme, self.pace, self.up, float(min(self.bars, 2))
+
+    def saved(self) -> list[float]:
+        """``STATE`` as numbers."""
+        return [*self.state(), *(v for bar in (*self.before, (np.nan, np.nan))[:2] for v in bar)]
+
+    @classmethod
+    def restored(cls, step: float, limit: float, saved: list[float]) -> Stop:
+        made = cls(step, limit, saved[3] > 0)
+        made.stop, made.extreme, made.pace, made.bars = *saved[:3], int(saved[4])
+        made.before = tuple(bar for bar in zip(saved[5::2], saved[6::2], strict=True) if not np.isnan(bar[0]))
+        return made
+
 
 def stop_and_reverse(high: np.ndarray, low: np.ndarray, close: np.ndarray, step: float, limit: float) -> np.ndarray:
     """The stop of a whole series. Series are filled, so they are null throughout or not at all; one bar alone has none."""
@@ -196,7 +214,99 @@ def ewm_blocks(df: DataFrame, nodes: list[tuple[str, str, float]], keys: list[st
                 rows[name] = ewm(pd.concat([seed, x], ignore_index=True), alpha).iloc[gap + 1 :].to_numpy()
         return rows[columns]
 
-    return df.join(states, at).groupBy(*at).applyInPandas(finish, schema)
+    return join_same(df, states, at).groupBy(*at).applyInPandas(finish, schema)
+
+
+STATE = ("stop", "extreme", "pace", "up", "bars", "high1", "low1", "high2", "low2")
+ROUNDS = 8
+"""Rounds of guesses; keys that have wrong ones then are gone along, one task a key."""
+
+
+def stop_from(entry: list[float], high: np.ndarray, low: np.ndarray, close: np.ndarray, step: float, limit: float) -> Stop | None:
+    """The stop before a block's first bar: as it was saved, or a new one; None for series of nulls and single bars."""
+    if not np.isnan(entry[0]):
+        return Stop.restored(step, limit, entry)
+    if len(close) < 2 or np.isnan([high[0], low[0], close[0], close[1]]).any():
+        return None
+    return Stop(step, limit, close[1] >= close[0])
+
+
+def stop_blocks(df: DataFrame, out: str, deps: list[str], params: dict, keys: list[str], order: str, block: str) -> DataFrame:
+    """``df`` with the parabolic stop of (high, low, close) as ``out``, for blocks of at least two rows (a column that ascends with ``order``) apart.
+
+    Each block first runs from a new stop; the state it ends with is the guess for the next. A block runs again from its guess beside its last run,
+    as far as the two differ: what differs in the beginning is mostly forgotten after a few reversals. As the first block of a key is
+    right, guesses that equal the ends before them all are, so the result is that of the plain scan to the last bit. A key with a state that goes through
+    whole blocks unforgotten (such as a pace through a flat market) for more than ROUNDS of them is gone along in order with a few numbers in memory.
+    """
+    at, step, limit = [*keys, block], params["step"], params["limit"]
+    bars = written(df.select(*dict.fromkeys([*at, order, *deps])))
+    key_fields = [f for f in df.schema.fields if f.name in at]
+    entries, ends = [f"__from_{s}" for s in STATE], [f"__to_{s}" for s in STATE]
+    state_schema = StructType(key_fields + [StructField(c, DoubleType()) for c in (*entries, *ends)])
+
+    def prices(rows: pd.DataFrame) -> list[np.ndarray]:
+        return [rows[d].astype(float).to_numpy() for d in deps]
+
+    def state_row(rows: pd.DataFrame, entry: list[float], end: list[float]) -> pd.DataFrame:
+        return pd.DataFrame({f.name: [rows[f.name].iloc[0]] for f in key_fields} | dict(zip(entries, [[v] for v in entry], strict=True)) | dict(zip(ends, [[v] for v in end], strict=True)))
+
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        high, low, close = prices(rows.sort_values(order, kind="stable"))
+        nothing = [np.nan] * len(STATE)
+        stop = stop_from(nothing, high, low, close, step, limit)
+        if stop is None:
+            return state_row(rows, nothing, nothing)
+        for h, x in zip(high.tolist(), low.tolist(), strict=True):
+            stop.advance(h, x)
+        return state_row(rows, nothing, stop.saved())
+
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        high, low, close = prices(rows)
+        last, entry, end = (rows[c].iloc[0].astype(float).tolist() for c in (entries, [f"__new_{s}" for s in STATE], ends))
+        stop, beside = (stop_from(e, high, low, close, step, limit) for e in (entry, last))
+        if stop is None:
+            return state_row(rows, entry, [np.nan] * len(STATE))
+        for i, (h, x) in enumerate(zip(high.tolist(), low.tolist(), strict=True)):
+            stop.advance(h, x)
+            if beside is not None:
+                beside.advance(h, x)
+                if i > 0 and stop.state() == beside.state():
+                    return state_row(rows, entry, end)
+        return state_row(rows, entry, stop.saved())
+
+    ahead = Window.partitionBy(*keys).orderBy(block)
+    struct = lambda prefix: F.struct(*[F.col(f"{prefix}{s}").alias(s) for s in STATE])
+
+    def guessed(states: DataFrame) -> DataFrame:
+        """One row per block, with the end of the block before it as __new_*."""
+        new = {f"__new_{s}": F.lag(f"__to_{s}").over(ahead) for s in STATE}
+        return states.withColumns(new).withColumn("__wrong", ~struct("__new_").eqNullSafe(struct("__from_")))
+
+    states = written(guessed(bars.groupBy(*at).applyInPandas(first, state_schema)))
+    for _ in range(ROUNDS):
+        wrong = states.where("__wrong")
+        if wrong.isEmpty():
+            break
+        redone = join_same(bars, wrong.drop("__wrong"), at).groupBy(*at).applyInPandas(again, state_schema)
+        states = written(guessed(states.where("NOT __wrong").select(*state_schema.names).unionByName(redone)))
+    open_keys = states.where("__wrong").select(*keys).distinct()
+    schema = StructType(df.schema.fields + [StructField(out, DoubleType())])
+    columns = [f.name for f in schema.fields]
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
+        high, low, close = prices(rows)
+        stop = stop_from(rows[entries].iloc[0].astype(float).tolist(), high, low, close, step, limit)
+        rows[out] = np.nan if stop is None else [stop.advance(h, x) for h, x in zip(high.tolist(), low.tolist(), strict=True)]
+        return rows[columns]
+
+    if open_keys.isEmpty():
+        return join_same(df, states.select(*at, *entries), at).groupBy(*at).applyInPandas(finish, schema)
+    settled = join_same(states, open_keys, keys, "left_anti").select(*at, *entries)
+    apart = join_same(df, settled, at).groupBy(*at).applyInPandas(finish, schema)
+    return apart.unionByName(stop_along(join_same(df, open_keys, keys, "left_semi"), out, deps, params, keys, order))
 
 
 def stop_along(df: DataFrame, out: str, deps: list[str], params: dict, keys: list[str], order: str) -> DataFrame:
@@ -207,15 +317,21 @@ def stop_along(df: DataFrame, out: str, deps: list[str], params: dict, keys: lis
     columns = [f.name for f in schema.fields]
 
     def run_along(batches):
-        state, key = None, object()
+        state, last = None, None
         for rows in batches:
+            if not len(rows):
+                continue
             found = np.full(len(rows), np.nan)
             high, low, close, following = (rows[c].astype(float).to_numpy() for c in (*deps, "__next"))
-            for i, name in enumerate(zip(*[rows[k] for k in keys], strict=True)):
-                if name != key:
-                    key, state = name, Stop(params["step"], params["limit"], following[i] >= close[i]) if not np.isnan([high[i], low[i], close[i], following[i]]).any() else None
+            key = key_runs(rows, keys)
+            starts = np.diff(key, prepend=-1) > 0
+            starts[0] = last is None or key_runs(pd.concat([last, rows.iloc[:1]]), keys)[-1] > 0
+            for i, starting in enumerate(starts.tolist()):
+                if starting:
+                    state = Stop(params["step"], params["limit"], following[i] >= close[i]) if not np.isnan([high[i], low[i], close[i], following[i]]).any() else None
                 if state is not None:
                     found[i] = state.advance(high[i], low[i])
+            last = rows.iloc[-1:]
             rows[out] = found
             yield rows[columns]
 

@@ -1,8 +1,8 @@
 """The series of ``graph.compute`` for few, very long keys: cut into blocks of rows that are computed apart.
 
 Windows of a bounded length see the rows in front of their block as a halo; sums, counts and fills over all rows so far take what the blocks
-before give them, one row per block; exponential weights pass their states along the same way, and a Hilbert transform is a convolution in chunks. So no task
-holds more than a block, but for what is sequential by nature: the parabolic stop runs along a key row by row, with a few numbers in memory.
+before give them, one row per block; exponential weights pass their states along the same way, a Hilbert transform is a convolution in chunks, and a
+parabolic stop starts each block from a guessed state until all guesses are right. So no task holds more than a block. A null key is a key.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import fourier, scans
-from ..sources.scratch import scratch
+from ..sources.scratch import join_same, scratch
 from .graph import Node, order_levels, window_sql, with_expressions
+from .wide import is_wide, with_wide
 
 PLACE, BLOCK, HALO = "__rn", "__block", "__halo"
 
@@ -32,7 +33,7 @@ def placed(df: DataFrame, keys: list[str], order: str, block: int) -> DataFrame:
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.groupBy(*keys, "__range").count().select(*keys, "__range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(order))
-    counted = ranged.withColumn("__own", own).join(before, [*keys, "__range"])
+    counted = join_same(ranged.withColumn("__own", own), before, [*keys, "__range"])
     return counted.withColumn(PLACE, F.col("__before") + F.col("__own")).withColumn(BLOCK, F.floor((F.col(PLACE) - 1) / block)).drop("__range", "__before", "__own")
 
 
@@ -51,7 +52,10 @@ def with_bounded(df: DataFrame, nodes: list[Node], keys: list[str], block: int)
         raise ValueError(f"a window reads {halo} rows back: blocks of {block} rows are too short")
     lent = df.where(F.col(PLACE) > (F.col(BLOCK) + 1) * block - halo).withColumn(BLOCK, F.col(BLOCK) + 1).withColumn(HALO, F.lit(True))
     both = df.withColumn(HALO, F.lit(False)).unionByName(lent)
-    return both.select("*", *[F.expr(window_sql(n, [*keys, BLOCK], PLACE)).alias(n.name) for n in nodes]).where(~F.col(HALO)).drop(HALO)
+    made = both.select("*", *[F.expr(window_sql(n, [*keys, BLOCK], PLACE)).alias(n.name) for n in nodes if not is_wide(n)])
+    if wide := [n for n in nodes if is_wide(n)]:
+        made = with_wide(made, wide, [*keys, BLOCK], PLACE)
+    return made.where(~F.col(HALO)).drop(HALO)
 
 
 def with_running(df: DataFrame, nodes: list[Node], keys: list[str]) -> DataFrame:
@@ -84,7 +88,7 @@ def with_running(df: DataFrame, nodes: list[Node], keys: list[str]) -> DataFrame
 
     totals = df.groupBy(*keys, BLOCK).agg(*[total(n).alias(f"__t_{n.name}") for n in nodes])
     carried = totals.select(*keys, BLOCK, *[passed_on(n).alias(f"__b_{n.name}") for n in nodes])
-    return df.join(carried, [*keys, BLOCK]).select(*df.columns, *[merged(n).alias(n.name) for n in nodes])
+    return join_same(df, carried, [*keys, BLOCK]).select(*df.columns, *[merged(n).alias(n.name) for n in nodes])
 
 
 def with_scans(df: DataFrame, nodes: list[Node], keys: list[str], order: str) -> DataFrame:
@@ -98,7 +102,7 @@ def with_scans(df: DataFrame, nodes: list[Node], keys: list[str], order: str) ->
             df = scans.ewm_blocks(df, weights, keys, PLACE, BLOCK)
         for n in ready:
             if n.what == "sar":
-                df = scans.stop_along(df, n.name, [d.name for d in n.deps], dict(n.params), keys, PLACE)
+                df = scans.stop_blocks(df, n.name, [d.name for d in n.deps], dict(n.params), keys, PLACE, BLOCK)
             elif n.what == "quadrature":
                 df = fourier.quadrature_blocks(df, n.name, n.deps[0].name, keys, PLACE)
         waiting = [n for n in waiting if n not in ready]
@@ -110,6 +114,8 @@ def compute(df: DataFrame, outputs: dict[str, Node], keys: list[str], order: str
 
     After each level the table is written, as its blocks are read several times by the next.
     """
+    if block < 2:
+        raise ValueError(f"blocks of {block} rows are too short")
     own, spark = df.columns, df.sparkSession
     nodes, level = order_levels(list(outputs.values()))
     wanted = {n.name for n in outputs.values()}

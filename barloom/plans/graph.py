@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scans
+from .wide import is_wide, with_wide
 
 
 @dataclass(frozen=True)
@@ -146,8 +147,10 @@ def compute(df: DataFrame, outputs: dict[str, Node], keys: list[str], order: str
         scanned = [n for n in here if n.kind == "scan"]
         if scanned:
             df = scans.run(df.select(*live), scanned, keys, order)
-        windows = [n for n in here if n.kind == "win"]
+        windows = [n for n in here if n.kind == "win" and not is_wide(n)]
         if windows:
             df = df.select("*", *[F.expr(window_sql(n, keys, order)).alias(n.name) for n in windows])
+        if wide := [n for n in here if is_wide(n)]:
+            df = with_wide(df, wide, keys, order)
         df = with_expressions(df, [n for n in here if n.kind == "expr"])
     return df.select(*[F.col(f"`{c}`") for c in own if c.lower() not in {o.lower() for o in outputs}], *[F.col(f"`{n.name}`").alias(name) for name, n in outputs.items()])

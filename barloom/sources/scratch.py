@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -29,3 +31,11 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_same(df: DataFrame, other: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with ``other`` where ``names`` are equal, null being equal to null; an equi-join, with the columns of ``names`` once."""
+    renamed = other.withColumnsRenamed({n: f"__same_{n}" for n in names})
+    equal = reduce(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.col(f"`__same_{n}`")) for n in names])
+    joined = df.join(renamed, equal, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__same_{n}" for n in names])
