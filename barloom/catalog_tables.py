@@ -257,7 +257,8 @@ def long_hilbert_sql() -> str:
     return duck.sql(ONE_TICKER_SQL, {n.lower(): indicators.build(g, n, parameters(n)) for n in HILBERT}, 4)
 
 
-STOPS = {"slow": {"acceleration": 0.01, "maximum": 0.1}, "fast": {"acceleration": 0.05, "maximum": 0.4}}
+STOPS = {"slow": {"acceleration": 0.0101234567, "maximum": 0.1}, "fast": {"acceleration": 0.0512345679, "maximum": 0.4}}
+"""Paces of many digits: with few, stops of prices in cents lie halfway between two rounded numbers, where two engines round differently."""
 
 
 def long_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
