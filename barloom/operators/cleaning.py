@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph, Node, compute
+from ..sources.scratch import join_same
 
 PRICES = ["open", "high", "low", "close"]
 
@@ -47,7 +48,7 @@ def regular_grid(bars: DataFrame, *, size: int = 250, step: str = "1 minute") ->
     """
     ends = bars.groupBy("ticker").agg(F.max("ts").alias("last"))
     grid = ends.select("ticker", F.explode(F.expr(f"sequence(last - {size - 1} * INTERVAL {step}, last, INTERVAL {step})")).alias("ts"))
-    rows = grid.join(bars, ["ticker", "ts"], "left")
+    rows = join_same(grid, bars, ["ticker", "ts"], "left")
     w = Window.partitionBy("ticker").orderBy("ts")
     fill = lambda c: F.coalesce(F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(c, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0))
     return rows.select("ticker", "ts", *[fill(c).alias(c) for c in PRICES], F.coalesce("volume", F.lit(0.0)).alias("volume"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import join_same
+
 NO_LOSS_FACTOR = 999.0
 """Profit factor where nothing was lost."""
 
@@ -56,7 +58,7 @@ def middle_values(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     places = F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))))
     wanted = keyed.groupBy(*by).agg(F.count("*").alias("n")).select(*by, places.alias("place")).select(*by, "place", F.col("place").alias("rest"), F.lit(None).cast("long").alias("begin"))
     for i, left in enumerate(DIGITS):
-        within = keyed.join(F.broadcast(wanted), by)
+        within = join_same(keyed, F.broadcast(wanted), by)
         if i:
             within = within.where(F.shiftright("__key", DIGITS[i - 1]) == F.col("begin"))
         counts = within.groupBy(*by, "place", "rest", F.shiftright("__key", left).alias("next")).agg(F.count("*").alias("c"), F.min("__v").alias("v"))
@@ -71,7 +73,7 @@ def class_returns(rows: DataFrame) -> DataFrame:
     by = ["truth", "pred"]
     valid = rows.where("pred is not null AND truth is not null AND ret is not null AND NOT isnan(ret)").select(*by, F.col("ret").cast("double").alias("ret"))
     stats = valid.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("deviation"))
-    return stats.join(middle_values(valid, by, "ret"), by).select(*by, "n", "mean", "median", "deviation")
+    return join_same(stats, middle_values(valid, by, "ret"), by).select(*by, "n", "mean", "median", "deviation")
 
 
 def equity(trades: DataFrame, quantity: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from ..plans.blocks import BLOCK, PLACE, placed
-from ..sources.scratch import written
+from ..sources.scratch import join_same, written
 
 TAKE_PROFIT, STOP_LOSS, STOP_GAP, SLIPPAGE = 0.008, 0.01, 0.03, 0.05
 HORIZON = "15 minutes"
@@ -228,7 +228,7 @@ def running(df: DataFrame, out: str, value: Column, keys: list[str], part: str,
     summed = df.withColumn("__value", value)
     earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     before = summed.groupBy(*keys, part).agg(F.sum("__value").alias("__sum")).select(*keys, part, F.sum("__sum").over(earlier).alias("__before"))
-    joined = summed.withColumn("__own", F.sum("__value").over(own)).join(before, [*keys, part])
+    joined = join_same(summed.withColumn("__own", F.sum("__value").over(own)), before, [*keys, part])
     return joined.withColumn(out, F.coalesce("__before", F.lit(0)) + F.coalesce("__own", F.lit(0))).drop("__value", "__own", "__before")
 
 

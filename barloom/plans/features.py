@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from ..functions.safe import without_nan
 from ..operators import indicators
+from ..sources.scratch import join_same
 from ..sources.specs import typed
 from . import blocks
 from .frames import frame_series
@@ -139,7 +140,7 @@ def frames(bars: DataFrame, size: int = 250, every: int = 1, keys: list[str] | N
     anchors = placed.where(F.col("__i") % every == 0).select(*keys, F.col("__i").alias("__a"), F.col("ts").alias("anchor_ts"))
     first = F.ceil(F.col("__i") / every) * every
     copies = placed.withColumn("__a", F.explode(F.when(first <= F.col("__i") + size - 1, F.sequence(first, F.col("__i") + size - 1, F.lit(every).cast("long")))))
-    return copies.join(anchors, [*keys, "__a"]).drop("__i", "__a")
+    return join_same(copies, anchors, [*keys, "__a"]).drop("__i", "__a")
 
 
 def frame_values(bars: DataFrame, wanted: Mapping[str, tuple[str, Mapping[str, object]]], size: int = 250, keys: list[str] | None = None) -> DataFrame:
@@ -155,7 +156,7 @@ def frame_values(bars: DataFrame, wanted: Mapping[str, tuple[str, Mapping[str, o
     out, rest = frame_series(bars, nodes, g, size, keys)
     if rest:
         copies = indicators.series(frames(bars, size, keys=keys), {name: wanted[name] for name in rest}, [*keys, "anchor_ts"])
-        out = out.join(copies.where("ts = anchor_ts").select(*keys, "ts", *rest), [*keys, "ts"])
+        out = join_same(out, copies.where("ts = anchor_ts").select(*keys, "ts", *rest), [*keys, "ts"])
     finished = {name: F.when(~F.isnan(F.col(name).cast("double")), F.col(name).cast("double")) for name in wanted}
     return out.withColumns(finished).select(*[c for c in bars.columns if c not in wanted], *wanted)
 

@@ -15,6 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import join_same
+
 WATERMARK = "2 minutes"
 LEAD_SECONDS = 5
 """A bar starts so long before the minute of its label."""
@@ -113,7 +115,8 @@ def upsert(rows: DataFrame, path: str, by: str = "hour") -> None:
     spark.createDataFrame([], new.schema).write.mode("append").partitionBy("part").parquet(path)  # so that there is a table
     parts = new.select("part").distinct()
     # in order of parts, of which a batch has few
-    there = spark.read.schema(new.schema).parquet(path).join(F.broadcast(parts), "part", "left_semi").join(new.select("ticker", "ts"), ["ticker", "ts"], "left_anti")
+    touched = spark.read.schema(new.schema).parquet(path).join(F.broadcast(parts), "part", "left_semi")
+    there = join_same(touched, new.select("ticker", "ts"), ["ticker", "ts"], "left_anti")
     there.select(*new.columns).unionByName(new).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 

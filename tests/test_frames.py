@@ -76,3 +76,26 @@ def test_empty_and_single(spark):
     row = features.frame_values(bars, wanted, 20).first()
     assert row["ema"] == row["close"] and row["rsi"] is None
     assert features.frame_values(bars.withColumn("x", F.lit(1)), wanted, 20).columns == [*bars.columns, "x", "ema", "rsi"]
+
+
+def test_a_null_ticker_is_a_ticker(spark):
+    """It has frames, copied or not, a grid, and upserts in place, as any other has."""
+    from barloom.operators import cleaning
+
+    wanted = {"ema": ("EMA", {"time_period": 5, "series_type": "CLOSE"}), "sar": ("SAR", {})}
+    named = some_bars(spark, 30, 0.0, ("a",))
+    nameless = named.withColumn("ticker", F.lit(None).cast("string"))
+    for make in (lambda b: features.frame_values(b, wanted, 8), lambda b: cleaning.regular_grid(b, size=40)):
+        one, other = (make(b).drop("ticker").orderBy("ts").toPandas() for b in (named, nameless))
+        assert len(one) > 0
+        pd.testing.assert_frame_equal(one, other)
+
+
+def test_upserts_of_a_null_ticker(spark, tmp_path):
+    from barloom.streaming import live
+
+    path = str(tmp_path / "table")
+    rows = some_bars(spark, 5, 0.0, ("a",))
+    for close in (1.0, 2.0):
+        live.upsert(rows.withColumn("ticker", F.lit(None).cast("string")).unionByName(rows).withColumn("close", F.lit(close)), path)
+    assert [(r["close"], r["count"]) for r in spark.read.parquet(path).groupBy("close").count().collect()] == [(2.0, 10)]
