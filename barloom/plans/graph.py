@@ -6,6 +6,7 @@ partitioning. Nodes that need state from row to row (scans) of one level run in
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -118,13 +119,18 @@ def window_sql(node: Node, keys: list[str], order: str) -> str:
     return f"{node.what}({x}) OVER ({part} {rows})"
 
 
+def in_doubles(template: str) -> str:
+    """``template`` with its fractions as doubles: Spark takes them as decimals, and cuts digits off their products with whole numbers."""
+    return re.sub(r"(?<![\w.])\d+\.\d+(?![\w.])", r"\g<0>D", template)
+
+
 def with_expressions(df: DataFrame, nodes: list[Node]) -> DataFrame:
     """Adds expressions, those of one depth in one projection, so that plans of many nodes stay flat."""
     waiting = list(nodes)
     while waiting:
         names = {n.name for n in waiting}
         ready = [n for n in waiting if not any(d.name in names for d in n.deps)]
-        df = df.withColumns({n.name: F.expr(n.what.format(*[f"`{d.name}`" for d in n.deps])) for n in ready})
+        df = df.withColumns({n.name: F.expr(in_doubles(n.what).format(*[f"`{d.name}`" for d in n.deps])) for n in ready})
         waiting = [n for n in waiting if n not in ready]
     return df
 

@@ -154,6 +154,20 @@ def test_quadrature(spark, n):
     near(run(spark, bars(x), "HT_PHASOR_PHASE", series_type="CLOSE"), x)
 
 
+def zeros_between(n=90):
+    """Mostly zeros, so that angles go from a quarter turn to its opposite: by half a turn to the last bit."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(n) < 0.3, rng.integers(1, 9, n) / 100, 0.0)
+    angle = np.arctan2(scans.quadrature(x), x)
+    assert {np.pi, -np.pi} <= set(np.diff(angle))
+    return x, np.unwrap(angle)
+
+
+def test_steps_of_half_a_turn_are_no_jumps(spark):
+    x, expected = zeros_between()
+    near(run(spark, bars(x), "HT_DCPHASE", series_type="CLOSE"), expected, 1e-8)
+
+
 def test_short_and_empty_tables(spark):
     for name in I.INDICATORS:
         params = {"time_period": 5, "series_type": "CLOSE", "fastperiod": 3, "slowperiod": 5, "signalperiod": 2, "matype": 1, "fastkperiod": 3, "slowkperiod": 2, "slowdperiod": 2, "fastdperiod": 2, "slowkmatype": 1, "slowdmatype": 1, "fastdmatype": 1, "nbdevup": 2, "nbdevdn": 2, "timeperiod1": 2, "timeperiod2": 3, "timeperiod3": 4}
