@@ -168,6 +168,12 @@ def test_steps_of_half_a_turn_are_no_jumps(spark):
     near(run(spark, bars(x), "HT_DCPHASE", series_type="CLOSE"), expected, 1e-8)
 
 
+def test_steps_of_half_a_turn_in_blocks(spark):
+    x, expected = zeros_between()
+    out = I.series(to_spark(spark, bars(x)), {"value": ("HT_DCPHASE", {"series_type": "CLOSE"})}, block=16).orderBy("ts").toPandas()
+    near(out["value"], expected, 1e-8)
+
+
 def test_short_and_empty_tables(spark):
     for name in I.INDICATORS:
         params = {"time_period": 5, "series_type": "CLOSE", "fastperiod": 3, "slowperiod": 5, "signalperiod": 2, "matype": 1, "fastkperiod": 3, "slowkperiod": 2, "slowdperiod": 2, "fastdperiod": 2, "slowkmatype": 1, "slowdmatype": 1, "fastdmatype": 1, "nbdevup": 2, "nbdevdn": 2, "timeperiod1": 2, "timeperiod2": 3, "timeperiod3": 4}
