@@ -6,6 +6,7 @@ watermark are dropped.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +21,8 @@ from ..sources.scratch import join_same
 WATERMARK = "2 minutes"
 LEAD_SECONDS = 5
 """A bar starts so long before the minute of its label."""
+DUE = "due__"
+"""The millisecond that a watermark must reach for a position to have expired; Spark renames columns with a leading underscore on the way to a processor."""
 
 
 def minute_bars(quotes: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -162,43 +165,74 @@ def cooled_entries(signals: DataFrame, seconds: float = 45, watermark: str = WAT
 
 
 class Maturing(StatefulProcessor):
-    """Positions of one ticker and maturity, held until a timer says that the watermark has passed it; those that come later than that go at once."""
+    """Positions of one ticker and span of maturities, held until the watermark has passed each; those that come later than that go at once.
+
+    What a batch brings is one element of the list, as pickled columns, so that a state call doesn't cost a row but a batch. The timer stands at the first
+    maturity held; when it fires, the positions that are due go, and it moves on to the first of the others.
+    """
 
     def __init__(self, schema: StructType):
-        self.names, self.fields = schema.names, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        self.names = schema.names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.fields)
+        self.held = handle.getListState("held", "rows binary")
+        self.first = handle.getValueState("first", "due bigint")
+
+    def packed(self, rows: pd.DataFrame) -> tuple[bytes]:
+        return (pickle.dumps([rows[c].to_numpy() for c in (*self.names, DUE)]),)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = int(key[1])
-        if due <= timerValues.getCurrentWatermarkInMs():
-            yield from (part[self.names] for part in rows)
-            return
-        if not self.held.exists():
-            self.handle.registerTimer(due)
+        passed = timerValues.getCurrentWatermarkInMs()
+        first = None
         for part in rows:
-            self.held.appendList([tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else None if pd.isna(x) else x for x in r) for r in part[self.names].itertuples(index=False)])
+            late = part[DUE] <= passed
+            if late.any():
+                yield part.loc[late, self.names]
+            if not late.all():
+                waiting = part[~late]
+                self.held.appendValue(self.packed(waiting))
+                least = int(waiting[DUE].min())
+                first = least if first is None else min(first, least)
+        if first is not None and (not self.first.exists() or first < self.first.get()[0]):
+            self.handle.registerTimer(first)
+            self.first.update((first,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = pd.DataFrame(list(self.held.get()), columns=self.names)
+        passed = timerValues.getCurrentWatermarkInMs()
+        if not self.first.exists() or self.first.get()[0] > passed:
+            return  # an earlier timer of this batch has seen to it
+        waiting: list[pd.DataFrame] = []
+        for (packed,) in self.held.get():
+            part = pd.DataFrame(dict(zip((*self.names, DUE), pickle.loads(packed), strict=True)))
+            late = part[DUE] <= passed
+            if late.any():
+                yield part.loc[late, self.names]
+            if not late.all():
+                waiting.append(part[~late])
         self.held.clear()
-        yield rows
+        self.first.clear()
+        if waiting:
+            self.held.put([self.packed(part) for part in waiting])
+            first = min(int(part[DUE].min()) for part in waiting)
+            self.handle.registerTimer(first)
+            self.first.update((first,))
 
     def close(self) -> None:
         pass
 
 
-def expired_positions(positions: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+def expired_positions(positions: DataFrame, watermark: str = WATERMARK, span: int = 3600) -> DataFrame:
     """Positions (ticker, ts, maturity, and more) of a stream, given out once the watermark has passed their maturity; start it with ``start_stateful``.
 
-    The state is a list for each ticker and maturity (to the millisecond, as watermarks are) with a timer of its own, so a ticker with many open positions has many
-    tasks, and a batch touches the lists that it adds to or that are due. Positions without a maturity never expire and are left out.
+    The state is a list for each ticker and ``span`` seconds of maturities with a timer at the first of them (to the millisecond, as watermarks are), so a ticker with many open positions
+    has many tasks, and a batch touches the lists that it adds to or that have positions due. A span that is short beside the time between a ticker's positions makes a list of each;
+    one that is long beside the time between batches writes the rest of a list anew in each. Positions without a maturity never expire and are left out.
     """
     stamped = positions.withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "maturity")}).withWatermark("ts", watermark)
-    dated = stamped.where("maturity IS NOT NULL").withColumn("__due", F.unix_millis("maturity") + 1)
-    return dated.groupBy("ticker", "__due").transformWithStateInPandas(Maturing(positions.schema), stamped.schema, "append", "eventTime")
+    dated = stamped.where("maturity IS NOT NULL").withColumn(DUE, F.unix_millis("maturity") + 1)
+    spans = dated.withColumn("__span", F.floor(F.col(DUE) / (span * 1000)))
+    return spans.groupBy("ticker", "__span").transformWithStateInPandas(Maturing(positions.schema), stamped.schema, "append", "eventTime")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", stateful: bool = False) -> DataFrame:

@@ -329,6 +329,19 @@ def test_many_open_positions_of_one_ticker(spark, tmp_path):
     assert done.where("n = 7").first()["maturity"] == at(12)
 
 
+def test_open_positions_of_many_maturities_are_few_lists(spark, tmp_path):
+    schema = "ticker string, ts timestamp, maturity timestamp, n long"
+    piece = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    piece([("A", at(0), at(5 + i / 600), i) for i in range(300)])
+    piece([("A", at(7.3), at(1000), 1000)])
+    stream = live.expired_positions(live.read_stream(spark, f"{tmp_path}/in", 1))
+    query = live.start_stateful(stream.writeStream.format("parquet").option("path", f"{tmp_path}/b").option("checkpointLocation", f"{tmp_path}/cb").trigger(availableNow=True), spark)
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 20
+    # the watermark is at 5.3 minutes: what is due goes, the rest of its list stays
+    assert sorted(r["n"] for r in spark.read.parquet(f"{tmp_path}/b").collect()) == list(range(180))
+
+
 def test_stream_of_entries_and_positions(spark, tmp_path):
     rows = spark.createDataFrame([("A", at(0), at(15)), ("A", at(0.5), at(15)), ("A", at(1), at(16)), ("B", at(0), at(600))], "ticker string, ts timestamp, maturity timestamp")
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
