@@ -161,13 +161,15 @@ def with_columns_from_text(df: DataFrame, text: str, fields: str, make: Callable
     taken = {n.lower() for n in made.names}
     keep = [c for c in dict.fromkeys(keep) if c.lower() not in taken]
     inner = [f"__in{i}" for i in range(len(keep))]
-    carried = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner, strict=True)], F.col(f"`{text}`").alias("__text"))
-    schema = StructType(carried.schema.fields[:-1] + made.fields)
+    # a text that is kept goes to Python once
+    read = inner[keep.index(text)] if text in keep else "__text"
+    carried = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner, strict=True)], *([] if text in keep else [F.col(f"`{text}`").alias(read)]))
+    schema = StructType(carried.schema.fields[: len(keep)] + made.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for batch in batches:
-            for part, texts in text_slices(batch, "__text"):
+            for part, texts in text_slices(batch, read):
                 columns = [part.column(c) for c in inner] + [pa.array(v, f.type) for f, v in zip(arrow, score(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([part.schema.field(c) for c in inner] + list(arrow)))
 

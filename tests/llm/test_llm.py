@@ -635,3 +635,15 @@ def test_pipeline_edges(spark):
         for _, stage in p.STAGES:
             docs = common.cut(stage(spark, docs, SF))
         assert docs.count() <= len(EDGES)
+
+
+def test_a_kept_text_goes_to_python_once(spark):
+    from barloom.llm.common import with_columns_from_text
+
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    lengths = lambda: lambda texts: [[len(t or "") for t in texts]]
+    whole = with_columns_from_text(df, "text", "n int", lengths, df.columns)
+    assert "__text" not in whole._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, whole.collect())) == [(1, "a b", 3), (2, None, 0)]
+    assert sorted(map(tuple, with_columns_from_text(df, "text", "text int", lengths, df.columns).collect())) == [(1, 3), (2, 0)]
+    assert sorted(map(tuple, with_columns_from_text(df, "text", "n int", lengths, ["id"]).collect())) == [(1, 3), (2, 0)]
