@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import BARS_SQL, USER_BARS_SQL, parameters
-from .functions.safe import clean_zero
+from .functions.safe import clean_double, clean_zero
 from .operators import cleaning, evaluate, indicators, scans, signals
 from .plans import duck, features
 from .plans.graph import Graph
@@ -249,7 +249,7 @@ def long_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     bars = B.bars_from_ticks(e, F.lit("all"), F.col("ts"), F.date_trunc("hour", "ts").cast(dict(e.dtypes)["ts"]), F.col("value"), F.lit(1.0), [(F.col("event_id"), 63)])
     wanted = {n.lower(): (n, parameters(n)) for n in HILBERT}
-    return rounded(indicators.series(bars, wanted, block=128).select("ticker", "ts", *wanted), list(wanted), 4)
+    return indicators.series(bars, wanted, block=128).select("ticker", "ts", *[clean_double(F.col(c), 4).alias(c) for c in wanted])
 
 
 def long_hilbert_sql() -> str:

@@ -37,6 +37,15 @@ def clean_zero(x: Column, digits: int) -> Column:
     return F.when(~F.isnan(x), F.round(x, digits) + F.lit(0.0))
 
 
+def clean_double(x: Column, digits: int) -> Column:
+    """As ``clean_zero``, with a double scaled, rounded half away from zero and scaled back, as other engines do.
+
+    Spark's own rounding goes by the shortest decimal of ``x``, which may lie on a half where ``x`` lies below or above it.
+    """
+    scale = F.lit(10.0**digits)
+    return F.when(~F.isnan(x), F.round(x * scale, 0) / scale + F.lit(0.0))
+
+
 def without_nan(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``df`` with null in place of NaN in those of ``columns`` that are floating-point columns of it: a value that is no number is a missing one."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType | FloatType)}
